@@ -55,25 +55,33 @@ def _arcs(before: np.ndarray, here: np.ndarray, n_shards: int) -> dict:
     return {"contexts": contexts, "shard": (contexts % np.uint64(n_shards)).astype(np.int64), "context_of": rank[at], "arcs": arcs, "arc_of": arc_of, "arc_context": (arcs >> _TAIL).astype(np.int64)}
 
 
-def _unigram_counts(batches, n_buckets: int):
-    for batch in batches:
-        rows = batch.filter(column(batch, "train"))
-        index, _, words = split_words(column(rows, "text"))
-        if not len(index):
-            continue
-        h = hash_words(words)
-        counts = np.bincount(index, minlength=len(h)).astype(np.int64)
-        bucket = (h % np.uint64(n_buckets)).astype(np.int64)
+def _vocabulary(batches, n_buckets: int, held: int = 1 << 20):
+    """Distinct word hashes by bucket, and in the first row of each message how many words they stand for."""
+    known, count = np.empty(0, np.uint64), 0
+
+    def message():
+        bucket = (known % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         got = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in got]), pa.array([h[g].tobytes() for g in got]), pa.array([counts[g].tobytes() for g in got])], names=["bucket", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in got]), pa.array([count] + [0] * (len(got) - 1)), pa.array([known[g].tobytes() for g in got])], names=["bucket", "n", "words"])
+
+    for batch in batches:
+        rows = batch.filter(column(batch, "train"))
+        index, _, words = split_words(column(rows, "text"))
+        if len(index):
+            known = np.unique(np.concatenate([known, hash_words(words)]), return_index=True)[0]
+            count += len(index)
+            if len(known) > held:
+                yield message()
+                known, count = known[:0], 0
+    if count:
+        yield message()
 
 
 def _distinct_words(rows):
-    h = np.frombuffer(b"".join(column(rows, "words").to_pylist()), np.uint64)
-    counts = np.frombuffer(b"".join(column(rows, "counts").to_pylist()), np.int64)
-    return pa.table({"n": pa.array([int(counts.sum())]), "v": pa.array([len(np.sort(h)) and int((np.diff(np.sort(h)) != 0).sum()) + 1])})
+    h = np.sort(np.frombuffer(b"".join(column(rows, "words").to_pylist()), np.uint64))
+    return pa.table({"n": pa.array([sum(column(rows, "n").to_pylist())]), "v": pa.array([int((h[1:] != h[:-1]).sum()) + 1])})
 
 
 def _asked(rows: pa.Table, block: int, n_shards: int) -> pa.Table:
@@ -150,7 +158,7 @@ def score_texts(docs: DataFrame, train: str = "crc32(coalesce(cast(doc_id as str
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
     n = block_count(corpus_bytes(rows), block_bytes)
     # Words of the training part: how many there are, and how many different ones.
-    words = rows.select("text", "train").mapInArrow(lambda b: _unigram_counts(b, n), "bucket long, words binary, counts binary")
+    words = rows.select("text", "train").mapInArrow(lambda b: _vocabulary(b, n), "bucket long, n long, words binary")
     ends = rows.agg(F.count_if("train")).first()[0]
     found = words.groupBy("bucket").applyInArrow(_distinct_words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n_tokens, n_kinds = (found[0] or 0) + ends, (found[1] or 0) + (ends > 0)
