@@ -42,7 +42,7 @@ def test_corpus(spark):
     me = box("Ich Selbst", "ich@me.de")
     rows = [
         ("1", 1, box("Schulz, Maria", "m.schulz@firma.de"), [me], [], "Hallo", "Hallo Herr Selbst, ruf Maria an: 030 1234567. maria@schulz-bau.de, info@firma.de, https://www.schulz-bau.de/x"),
-        ("2", 2, box("", "rechnung@firma.de"), [me, box("Max Muster", "max@gmx.de")], [], "Rechnung", "Liebe Grüße\nMaria Schulz"),
+        ("2", 2, box("", "rechnung@firma.de"), [me, box("Max Muster", "max@gmx.de")], [], "Rechnung", "Viele Grüße\nMaria Schulz"),
         ("3", 3, None, [box("Max Muster", "max@gmx.de")], [me], "", None),
     ]
     mails = spark.createDataFrame(rows, f"id string, position int, sender {p.MAILBOX}, to array<{p.MAILBOX}>, cc array<{p.MAILBOX}>, subject string, body string")
@@ -51,7 +51,7 @@ def test_corpus(spark):
     got = {r.id: r for r in records.collect()}
     assert got["1"].sender == "[PERSON_1] <[EMAIL_1]@firma.de>"
     assert got["1"].text == "Hallo [ICH], ruf [PERSON_1] an: [TELEFON]. [EMAIL_2]@[DOMAIN], info@firma.de, [URL:[DOMAIN]]"
-    assert got["2"].sender == "rechnung@firma.de" and got["2"].text == "Liebe Grüße\n[PERSON_1]" and got["2"].direct and got["2"].recipients == 2
+    assert got["2"].sender == "rechnung@firma.de" and got["2"].text == "Viele Grüße\n[PERSON_1]" and got["2"].direct and got["2"].recipients == 2
     assert got["3"].sender is None and not got["3"].direct and got["3"].text is None
     counts = dict(map(tuple, stats.collect()))
     assert counts["EMAIL"] == 2 and counts["URL"] == 1 and counts["PHONE"] == 1
