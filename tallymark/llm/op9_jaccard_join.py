@@ -6,8 +6,9 @@
    answer with those found in two classes or more. A text whose rarest shingles are its own alone
    can't reach the threshold with any other, so most texts end here (prefix filter, rarest first).
 3. What is left meets in size-banded tiles: one for each shared prefix shingle and band of set
-   sizes, with the next band as guests. Tiles with the same members are kept once, and large ones are
-   dealt into parts, so that no task gets an unbounded group.
+   sizes, with the next band as guests. Every text first goes to its largest tile alone. Of the others,
+   only tiles that hold more than one of the components found by then are looked into, those
+   with the same members once. Large tiles are dealt into parts, so that no task gets an unbounded group.
 4. In a tile, the bit count of two hashed bitmaps' difference bounds the overlap from above; pairs
    that pass are intersected exactly as sorted arrays. Pairs that are connected already are skipped,
    so a tile gives fewer links than it has members, not all pairs.
@@ -132,15 +133,16 @@ def _prefixes(rows: pa.Table, told: pa.Table, k: int, percent: int, n_shards: in
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["id", "n", "keys", "shared"])
 
 
-def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect whatever the tile's members at ``percent`` or more connect, and no more than that.
 
-    ``n`` are whole set sizes, ``sets`` the sorted shingles that some other text has too. Two guests
+    Members of one ``group`` are connected already. ``n`` are whole set sizes, ``sets`` the sorted shingles that some other text has too. Two guests
     are left to their own tile, and with ``part`` two members of one part to the task that has it.
     """
     order = np.argsort(n, kind="stable")
     ids, n, home, sets = ids[order], n[order], home[order], [sets[i] for i in order]
     part = part[order] if part is not None else None
+    group = np.arange(len(ids)) if group is None else group[order].copy()
     size = np.array([len(s) for s in sets])
     flat = np.concatenate(sets)
     start = np.concatenate([[0], np.cumsum(size)])
@@ -149,7 +151,6 @@ def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarra
     bitmap = np.packbits(bits, axis=1).view(np.uint64)
     _, flat = np.unique(flat, return_inverse=True)
     mark = np.zeros(int(flat.max(initial=-1)) + 1, bool)
-    group = np.arange(len(ids))
     links = []
     for i in range(1, len(ids)):
         ok = (100 * n[:i] >= percent * n[i]) & (group[:i] != group[i]) & (home[:i] | home[i])
@@ -174,14 +175,14 @@ def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarra
 
 def _linked(rows, percent: int):
     key, band, low, high, part = (np.asarray(column(rows, c)) for c in ("key", "band", "low", "high", "part"))
-    ids, n, home = (np.asarray(column(rows, c)) for c in ("id", "n", "home"))
+    ids, n, home, group = (np.asarray(column(rows, c)) for c in ("id", "n", "home", "component_id"))
     sets = [np.frombuffer(x, np.uint64) for x in column(rows, "shared").to_pylist()]
     order = np.lexsort((high, low, band, key))
     same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, band, low, high)])
     links: set[tuple[int, int]] = set()
     for at in np.split(order, np.flatnonzero(~same) + 1):
         if len(at) > 1:
-            links.update(tile_links(ids[at], n[at], home[at], None if low[at[0]] == high[at[0]] else part[at], [sets[i] for i in at], percent))
+            links.update(tile_links(ids[at], n[at], home[at], None if low[at[0]] == high[at[0]] else part[at], [sets[i] for i in at], percent, group[at]))
     return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
@@ -211,20 +212,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
 
     questions = blocks.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(asked, "shard long, block long, keys binary, counts binary")
     answers = questions.groupBy("shard").applyInArrow(_shared, "block long, shard long, keys binary, counts binary")
-    told = reps.unionByName(answers, allowMissingColumns=True)
-    left = written(blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary"))
+    messages = reps.unionByName(answers, allowMissingColumns=True)
+    left = written(blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary"))
 
     # A little wider than the threshold's ratio, so that rounding can't put linked sizes two bands apart.
     width = max(math.log(100 / percent), 1e-3) * 1.0001
     placed = left.select("id", "n", F.explode("keys").alias("key"), F.floor(F.log("n") / width).alias("own"))
     placed = placed.select("id", "n", "key", F.explode(F.array(F.struct(F.col("own").alias("band"), F.lit(True).alias("home")), F.struct((F.col("own") - 1).alias("band"), F.lit(False).alias("home")))).alias("x")).select("id", "n", "key", "x.*")
-    tiles = placed.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.bit_xor(F.xxhash64("id", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "id", "n")).alias("y")).where("members > 1 and homes > 0")
-    tiles = tiles.groupBy("members", "x", "y").agg(F.min(F.struct("key", "band")).alias("tile")).select("tile.*", F.ceil(F.col("members") / PART).alias("parts"))
-    dealt = placed.join(tiles, ["key", "band"]).select("*", F.pmod(F.xxhash64("id", F.lit(7)), "parts").alias("part"))
-    dealt = dealt.select("id", "n", "key", "band", "home", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("id", "n", "key", "band", "home", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    dealt = dealt.join(left.select("id", "n", "shared"), ["id", "n"]).withColumn("bucket", F.pmod(F.xxhash64("key", "band", "low", "high"), F.lit(4 * n)))
-    links = dealt.groupBy("bucket").applyInArrow(lambda rows: _linked(rows, percent), "a long, b long")
+    placed = written(placed)
+    sizes = placed.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")).where("members > 1 and homes > 0")
+
+    def linked(rows: DataFrame) -> DataFrame:
+        """Links between the members of tiles: ``rows(key, band, members, id, n, home, component_id)``."""
+        parts = F.ceil(F.col("members") / PART)
+        dealt = rows.select("id", "n", "key", "band", "home", "component_id", F.pmod(F.xxhash64("id", F.lit(7)), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+        dealt = dealt.select("id", "n", "key", "band", "home", "component_id", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        dealt = dealt.join(left.select("id", "n", "shared"), ["id", "n"]).withColumn("bucket", F.pmod(F.xxhash64("key", "band", "low", "high"), F.lit(4 * n)))
+        return written(dealt.groupBy("bucket").applyInArrow(lambda rows: _linked(rows, percent), "a long, b long"))
+
+    largest = placed.join(sizes, ["key", "band"]).groupBy("id", "n").agg(F.max(F.struct("members", "key", "band", "home")).alias("t")).select("id", "n", "t.*", F.col("id").alias("component_id"))
+    links = linked(largest)
+    joined = written(connected_components(links))
+    told = placed.join(joined, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    several = told.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.bit_xor(F.xxhash64("id", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "id", "n")).alias("y"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    several = several.where("homes > 0 and low <> high").groupBy("members", "x", "y").agg(F.min(F.struct("key", "band")).alias("tile")).select("tile.*", "members")
+    links = links.unionByName(linked(told.join(several, ["key", "band"])))
     joined = connected_components(links)
     named = classes.join(joined, classes["rep"] == joined["id"], "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
     return found.join(named, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
