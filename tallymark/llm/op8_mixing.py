@@ -141,7 +141,7 @@ def placed_rows(sized: DataFrame, plan: pd.DataFrame, rows_per_bucket: int) -> D
     return rows.select("doc_id", "source", "source_no", "size", "source_size", "target", (F.col("start") + F.col("upto") - F.col("size")).alias("first_word"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 128, shard_slots: int = 4096, rows_per_bucket: int = 50_000, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block_words: int = 128, shard_slots: int = 4096, rows_per_bucket: int = 5_000, seed: int = 1) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs(doc_id, source, text)``.
 
     Weights repeat over the sources in code-point order, null last. ``taken`` counts the words of a row
