@@ -9,6 +9,7 @@ each document the mix takes; this last stage returns the operator's table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallymark.llm.common import table, written
 from tallymark.llm.op1_decontamination import drop_contaminated
@@ -18,6 +19,10 @@ from tallymark.llm.op9_jaccard_join import near_duplicates
 from tallymark.llm.op10_secret_scan import redact
 
 
+#: Ids of dropped copies that go to every task, eight bytes each.
+MAX_BROADCAST_IDS = 2_000_000
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -26,6 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows without an id stay unless a text with an id has the same shingles; of rows with one id one stays."""
     groups = written(near_duplicates(docs))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    if gone.count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled to their ids
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     if groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
         named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
