@@ -23,12 +23,13 @@ from tallymark.llm.common import bounded_batches, column, split_words, table, to
 _RUN = re.compile(r"[^\W\d_]+")
 START = "▁"
 #: Longest piece in use, longest word in training, words summed at a time, words remembered by a worker.
-MAX_PIECE, MAX_TRAIN_WORD, CHUNK, REMEMBERED = 12, 40, 20_000, 200_000
+MAX_PIECE, MAX_TRAIN_WORD, CHUNK, REMEMBERED = 12, 40, 20_000, 500_000
 
 
 def letter_runs(word: str) -> list[str]:
     """Lower-case runs of letters in a word."""
-    return [r for r in _RUN.findall(word.lower()) if any(map(str.isalpha, r))]
+    low = word.lower()
+    return [low] if low.isalpha() else [r for r in _RUN.findall(low) if any(map(str.isalpha, r))]
 
 
 @functools.cache
@@ -42,6 +43,12 @@ def vocabulary(name: str) -> dict[str, int]:
     return {p: i for i, p in enumerate(dict.fromkeys(fit))}
 
 
+@functools.cache
+def _beginnings(pieces: tuple[str, ...]) -> dict[str, int]:
+    """Every beginning of a piece, with the piece's index if it is one itself, else -1."""
+    return {p[:n]: -1 for p in pieces for n in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
+
+
 class Lattice:
     """All pieces that fit into each of some words: an edge from where a piece begins to where it ends.
 
@@ -49,22 +56,24 @@ class Lattice:
     """
 
     def __init__(self, words: list[str], pieces: dict[str, int]):
-        word, start, end, piece = [], [], [], []
-        unknown = len(pieces)
+        unknown, edges = len(pieces), []
+        add, get = edges.append, _beginnings(tuple(pieces)).get
         for n, w in enumerate(words):
             s = START + w
             for i in range(len(s)):
-                for j in range(i + 1, min(len(s), i + MAX_PIECE) + 1):
-                    p = pieces.get(s[i:j], -1)
-                    if p < 0 and j == i + 1:
-                        p = unknown
+                head = (n << 24 | i) << 20  # word, start; then length and piece
+                p = get(s[i], -1)
+                add(head | 1 << 16 | (p if p >= 0 else unknown))
+                for j in range(i + 2, len(s) + 1):
+                    p = get(s[i:j])
+                    if p is None:
+                        break
                     if p >= 0:
-                        word.append(n)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
-        self.length = np.array([len(w) + 1 for w in words])
-        self.word, self.start, self.end, self.piece = (np.array(x, np.int64) for x in (word, start, end, piece))
+                        add(head | (j - i) << 16 | p)
+        code = np.array(edges, np.int64)
+        self.length = np.array([len(w) + 1 for w in words], np.int64)
+        self.word, self.start, self.piece = code >> 44, code >> 20 & 0xFFFFFF, code & 0xFFFF
+        self.end = self.start + (code >> 16 & 0xF)
 
     def _summed(self, p: np.ndarray, at: np.ndarray, source: np.ndarray, stops: range) -> tuple[np.ndarray, np.ndarray]:
         """Sums over all paths to each place, in rows by place and word, and their scales as logarithms, by word."""
@@ -136,7 +145,10 @@ class Scorer:
                 j = i + max(1, min(CHUNK, 600_000 // (len(flat[min(i + CHUNK, len(flat)) - 1]) + 1)))
                 logs[i : min(j, len(flat))] = Lattice(flat[i:j], self._pieces).log_sums(self._p)
                 i = j
-            rows = np.array([[*logs[[at[r] for r in x]].sum(0), 1.0] if x else [0.0] * (self._p.shape[1] + 1) for x in runs])
+            rows = np.zeros((len(new), self._p.shape[1] + 1))
+            owner = np.repeat(np.arange(len(new)), [len(x) for x in runs])
+            np.add.at(rows[:, :-1], owner, logs[[at[r] for x in runs for r in x]])
+            rows[owner, -1] = 1
             self._row.update((w, len(self._known) + i) for i, w in enumerate(new))
             self._known = np.concatenate([self._known, rows])
         return self._known[[self._row[w] for w in words]]
