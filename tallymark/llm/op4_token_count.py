@@ -52,7 +52,7 @@ class PartCounter:
         for text in texts:
             total = 0
             for parts in split_parts(text):
-                new = set(parts) - self._known.keys()
+                new = {x for x in parts if x not in self._known}
                 if len(self._known) + len(new) > REMEMBERED:
                     self._known.clear()
                     new = set(parts)
