@@ -9,8 +9,8 @@
    sizes, with the next band as guests. Every text first goes to its largest tile alone. Of the others,
    only tiles that hold more than one of the components found by then are looked into, those
    with the same members once. Large tiles are dealt into parts, so that no task gets an unbounded group.
-4. In a tile, the bit count of two hashed bitmaps' difference bounds the overlap from above; pairs
-   that pass are intersected exactly as sorted arrays. Pairs that are connected already are skipped,
+4. In a tile, the bit count of two hashed bitmaps' difference bounds the overlap from above. Only
+   members with a pair that passes send their sets, to be intersected exactly as sorted arrays. Pairs that are connected already are skipped,
    so a tile gives fewer links than it has members, not all pairs.
 5. Links between classes are closed to components by star steps.
 
@@ -33,6 +33,8 @@ from tallymark.llm.components import connected_components
 
 #: Members of a tile, or of one of its parts, that one task compares with each other.
 PART = 1024
+#: Bits of the bitmaps that are compared before sets are sent.
+SIGNATURE = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -129,8 +131,8 @@ def _prefixes(rows: pa.Table, told: pa.Table, k: int, percent: int, n_shards: in
         if own < prefix:
             rare = np.lexsort((shared, found_in[at[hit]]))[: prefix - own]
             if len(rare):
-                out.append((i, n, shared[rare].astype(np.int64).tolist(), shared.tobytes()))
-    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["id", "n", "keys", "shared"])
+                out.append((i, n, shared[rare].astype(np.int64).tolist(), shared.tobytes(), len(shared), signature(shared)))
+    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary()))], names=["id", "n", "keys", "shared", "size", "signature"])
 
 
 def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -173,6 +175,35 @@ def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarra
     return links
 
 
+def signature(s: np.ndarray) -> bytes:
+    """The hashed bitmap of a set, SIGNATURE bits."""
+    bits = np.zeros(SIGNATURE, bool)
+    bits[(s >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _promising(rows, percent: int):
+    """Members of tiles (or pairs of parts) that some other member may reach, going by sizes and bit counts alone."""
+    key, band, low, high, part = (np.asarray(column(rows, c)) for c in ("key", "band", "low", "high", "part"))
+    ids, n, home, group, size = (np.asarray(column(rows, c)) for c in ("id", "n", "home", "component_id", "size"))
+    bitmap = np.frombuffer(b"".join(column(rows, "signature").to_pylist()), np.uint64).reshape(len(ids), -1)
+    order = np.lexsort((n, high, low, band, key))
+    same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, band, low, high)])
+    hit = np.zeros(len(ids), bool)
+    for at in np.split(order, np.flatnonzero(~same) + 1):
+        for x in range(1, len(at)):
+            i, near = at[x], at[:x]
+            ok = (100 * n[near] >= percent * n[i]) & (group[near] != group[i]) & (home[near] | home[i])
+            if low[i] != high[i]:
+                ok &= part[near] != part[i]
+            near = near[ok]
+            most = (size[near] + size[i] - np.bitwise_count(bitmap[near] ^ bitmap[i]).sum(1, dtype=np.int64)) // 2
+            near = near[100 * most >= percent * (n[near] + n[i] - most)]
+            if len(near):
+                hit[near] = hit[i] = True
+    return rows.select(["id", "n", "key", "band", "home", "component_id", "part", "low", "high", "bucket"]).filter(pa.array(hit))
+
+
 def _linked(rows, percent: int):
     key, band, low, high, part = (np.asarray(column(rows, c)) for c in ("key", "band", "low", "high", "part"))
     ids, n, home, group = (np.asarray(column(rows, c)) for c in ("id", "n", "home", "component_id"))
@@ -213,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     questions = blocks.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(asked, "shard long, block long, keys binary, counts binary")
     answers = questions.groupBy("shard").applyInArrow(_shared, "block long, shard long, keys binary, counts binary")
     messages = reps.unionByName(answers, allowMissingColumns=True)
-    left = written(blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary"))
+    left = written(blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary, size long, signature binary"))
 
     # A little wider than the threshold's ratio, so that rounding can't put linked sizes two bands apart.
     width = max(math.log(100 / percent), 1e-3) * 1.0001
@@ -227,7 +258,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
         parts = F.ceil(F.col("members") / PART)
         dealt = rows.select("id", "n", "key", "band", "home", "component_id", F.pmod(F.xxhash64("id", F.lit(7)), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
         dealt = dealt.select("id", "n", "key", "band", "home", "component_id", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        dealt = dealt.join(left.select("id", "n", "shared"), ["id", "n"]).withColumn("bucket", F.pmod(F.xxhash64("key", "band", "low", "high"), F.lit(4 * n)))
+        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "band", "low", "high"), F.lit(4 * n)))
+        signed = dealt.join(left.select("id", "n", "size", "signature"), ["id", "n"])
+        dealt = written(signed.groupBy("bucket").applyInArrow(lambda rows: _promising(rows, percent), dealt.select("id", "n", "key", "band", "home", "component_id", "part", "low", "high", "bucket").schema))
+        dealt = dealt.join(left.select("id", "n", "shared"), ["id", "n"])
         return written(dealt.groupBy("bucket").applyInArrow(lambda rows: _linked(rows, percent), "a long, b long"))
 
     largest = placed.join(sizes, ["key", "band"]).groupBy("id", "n").agg(F.max(F.struct("members", "key", "band", "home")).alias("t")).select("id", "n", "t.*", F.col("id").alias("component_id"))
