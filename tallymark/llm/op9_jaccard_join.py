@@ -10,8 +10,10 @@
    only tiles that hold more than one of the components found by then are looked into, those
    with the same members once. Large tiles are dealt into parts, so that no task gets an unbounded group.
 4. In a tile, the bit count of two hashed bitmaps' difference bounds the overlap from above. Only
-   members with a pair that passes send their sets, to be intersected exactly as sorted arrays. Pairs that are connected already are skipped,
-   so a tile gives fewer links than it has members, not all pairs.
+   members with a pair that passes send their sets, to be intersected exactly as sorted arrays. Pairs
+   that are connected already are skipped, so a tile gives fewer links than it has members, not all
+   pairs. Texts that pass in many tiles send their sets to the fullest one first; where that leaves
+   components apart, wider bitmaps must pass too.
 5. Links between classes are closed to components by star steps.
 
 Shingles are told apart by 64-bit hashes.
@@ -35,6 +37,8 @@ from tallymark.llm.components import connected_components
 PART = 1024
 #: Bits of the bitmaps that are compared before sets are sent.
 SIGNATURE = 4096
+#: Most bits of the wider ones, which have eight or more for each shingle up to here.
+WIDE_SIGNATURE = 1 << 16
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -131,8 +135,8 @@ def _prefixes(rows: pa.Table, told: pa.Table, k: int, percent: int, n_shards: in
         if own < prefix:
             rare = np.lexsort((shared, found_in[at[hit]]))[: prefix - own]
             if len(rare):
-                out.append((i, n, shared[rare].astype(np.int64).tolist(), shared.tobytes(), len(shared), signature(shared)))
-    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary()))], names=["id", "n", "keys", "shared", "size", "signature"])
+                out.append((i, n, shared[rare].astype(np.int64).tolist(), shared.tobytes(), len(shared), signature(shared, SIGNATURE), signature(shared, wide_bits(n))))
+    return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.binary()))], names=["id", "n", "keys", "shared", "size", "signature", "wide"])
 
 
 def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarray | None, sets: list[np.ndarray], percent: int, group: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -175,29 +179,40 @@ def tile_links(ids: np.ndarray, n: np.ndarray, home: np.ndarray, part: np.ndarra
     return links
 
 
-def signature(s: np.ndarray) -> bytes:
-    """The hashed bitmap of a set, SIGNATURE bits."""
-    bits = np.zeros(SIGNATURE, bool)
-    bits[(s >> np.uint64(64 - SIGNATURE.bit_length() + 1)).astype(np.int64)] = True
+def signature(s: np.ndarray, n_bits: int) -> bytes:
+    """The hashed bitmap of a set; ``n_bits`` is a power of two."""
+    bits = np.zeros(n_bits, bool)
+    bits[(s & np.uint64(n_bits - 1)).astype(np.int64)] = True
     return np.packbits(bits).tobytes()
 
 
+def wide_bits(n: int) -> int:
+    return min(WIDE_SIGNATURE, max(SIGNATURE, 1 << (8 * n - 1).bit_length()))
+
+
+def folded(signatures: list[bytes]) -> np.ndarray:
+    """One row of 64-bit words for each bitmap, all as long as the shortest; bits that meet are joined."""
+    n = min(map(len, signatures)) // 8
+    return np.stack([np.bitwise_or.reduce(np.frombuffer(x, np.uint64).reshape(-1, n)) for x in signatures])
+
+
 def _promising(rows, percent: int):
     """Members of tiles (or pairs of parts) that some other member may reach, going by sizes and bit counts alone."""
     key, band, low, high, part = (np.asarray(column(rows, c)) for c in ("key", "band", "low", "high", "part"))
     ids, n, home, group, size = (np.asarray(column(rows, c)) for c in ("id", "n", "home", "component_id", "size"))
-    bitmap = np.frombuffer(b"".join(column(rows, "signature").to_pylist()), np.uint64).reshape(len(ids), -1)
+    signatures = column(rows, "signature").to_pylist()
     order = np.lexsort((n, high, low, band, key))
     same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, band, low, high)])
     hit = np.zeros(len(ids), bool)
     for at in np.split(order, np.flatnonzero(~same) + 1):
+        bitmap = folded([signatures[i] for i in at])
         for x in range(1, len(at)):
             i, near = at[x], at[:x]
             ok = (100 * n[near] >= percent * n[i]) & (group[near] != group[i]) & (home[near] | home[i])
             if low[i] != high[i]:
                 ok &= part[near] != part[i]
             near = near[ok]
-            most = (size[near] + size[i] - np.bitwise_count(bitmap[near] ^ bitmap[i]).sum(1, dtype=np.int64)) // 2
+            most = (size[near] + size[i] - np.bitwise_count(bitmap[:x][ok] ^ bitmap[x]).sum(1, dtype=np.int64)) // 2
             near = near[100 * most >= percent * (n[near] + n[i] - most)]
             if len(near):
                 hit[near] = hit[i] = True
@@ -244,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     questions = blocks.groupBy("block").cogroup(reps.groupBy("block")).applyInArrow(asked, "shard long, block long, keys binary, counts binary")
     answers = questions.groupBy("shard").applyInArrow(_shared, "block long, shard long, keys binary, counts binary")
     messages = reps.unionByName(answers, allowMissingColumns=True)
-    left = written(blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary, size long, signature binary"))
+    left = written(blocks.groupBy("block").cogroup(messages.groupBy("block")).applyInArrow(prefixes, "id long, n long, keys array<long>, shared binary, size long, signature binary, wide binary"))
 
     # A little wider than the threshold's ratio, so that rounding can't put linked sizes two bands apart.
     width = max(math.log(100 / percent), 1e-3) * 1.0001
@@ -253,25 +268,49 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     placed = written(placed)
     sizes = placed.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes")).where("members > 1 and homes > 0")
 
-    def linked(rows: DataFrame) -> DataFrame:
-        """Links between the members of tiles: ``rows(key, band, members, id, n, home, component_id)``."""
+    tile = ["key", "band", "low", "high"]
+    dealt_columns = ["id", "n", "key", "band", "home", "component_id", "part", "low", "high", "bucket"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows of tiles dealt into pairs of parts: ``rows(key, band, members, id, n, home, component_id)``."""
         parts = F.ceil(F.col("members") / PART)
-        dealt = rows.select("id", "n", "key", "band", "home", "component_id", F.pmod(F.xxhash64("id", F.lit(7)), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
-        dealt = dealt.select("id", "n", "key", "band", "home", "component_id", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-        dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("key", "band", "low", "high"), F.lit(4 * n)))
-        signed = dealt.join(left.select("id", "n", "size", "signature"), ["id", "n"])
-        dealt = written(signed.groupBy("bucket").applyInArrow(lambda rows: _promising(rows, percent), dealt.select("id", "n", "key", "band", "home", "component_id", "part", "low", "high", "bucket").schema))
-        dealt = dealt.join(left.select("id", "n", "shared"), ["id", "n"])
-        return written(dealt.groupBy("bucket").applyInArrow(lambda rows: _linked(rows, percent), "a long, b long"))
+        out = rows.select("id", "n", "key", "band", "home", "component_id", F.pmod(F.xxhash64("id", F.lit(7)), parts).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("other"))
+        out = out.select("id", "n", "key", "band", "home", "component_id", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        return out.withColumn("bucket", F.pmod(F.xxhash64(*tile), F.lit(4 * n))).select(dealt_columns)
+
+    def promising(rows: DataFrame, bitmap: str) -> DataFrame:
+        signed = rows.join(left.select("id", "n", "size", F.col(bitmap).alias("signature")), ["id", "n"])
+        return written(signed.groupBy("bucket").applyInArrow(lambda rows: _promising(rows, percent), rows.schema))
+
+    def linked(rows: DataFrame) -> DataFrame:
+        sets = rows.join(left.select("id", "n", "shared"), ["id", "n"])
+        return written(sets.groupBy("bucket").applyInArrow(lambda rows: _linked(rows, percent), "a long, b long"))
+
+    def told(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        return rows.join(joined, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+
+    def any_row(rows: DataFrame) -> bool:
+        return bool(rows.limit(1).count())
 
     largest = placed.join(sizes, ["key", "band"]).groupBy("id", "n").agg(F.max(F.struct("members", "key", "band", "home")).alias("t")).select("id", "n", "t.*", F.col("id").alias("component_id"))
-    links = linked(largest)
+    links = linked(promising(dealt(largest), "signature"))
     joined = written(connected_components(links))
-    told = placed.join(joined, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    several = told.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.bit_xor(F.xxhash64("id", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "id", "n")).alias("y"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+
+    rows = told(placed, joined)
+    several = rows.groupBy("key", "band").agg(F.count("*").alias("members"), F.count_if("home").alias("homes"), F.bit_xor(F.xxhash64("id", "home")).alias("x"), F.bit_xor(F.xxhash64("home", "id", "n")).alias("y"), F.min("component_id").alias("low"), F.max("component_id").alias("high"))
     several = several.where("homes > 0 and low <> high").groupBy("members", "x", "y").agg(F.min(F.struct("key", "band")).alias("tile")).select("tile.*", "members")
-    links = links.unionByName(linked(told.join(several, ["key", "band"])))
-    joined = connected_components(links)
+    passed = promising(dealt(rows.join(several, ["key", "band"])), "signature")
+    if any_row(passed):
+        fullest = passed.join(passed.groupBy(tile).agg(F.count("*").alias("members")), tile)
+        fullest = fullest.groupBy("id", "n").agg(F.max(F.struct("members", *tile, "home", "component_id", "part", "bucket")).alias("t")).select("id", "n", "t.*")
+        links = links.unionByName(linked(fullest.select(dealt_columns)))
+        joined = written(connected_components(links))
+        apart = told(passed.drop("component_id"), joined)
+        apart = apart.join(apart.groupBy(tile).agg(F.min("component_id").alias("a"), F.max("component_id").alias("b")).where("a <> b").select(tile), tile)
+        passed = promising(apart.select(dealt_columns), "wide")
+        if any_row(passed):
+            links = links.unionByName(linked(passed))
+            joined = connected_components(links)
     named = classes.join(joined, classes["rep"] == joined["id"], "left").select("set_hash", F.coalesce("component_id", "rep").alias("component_id"))
     return found.join(named, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
