@@ -23,8 +23,12 @@ _ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][S
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_SENSITIVE = re.compile(r"(?:key|pwd|pass|auth|cred|bearer|login|signature|private|session|salt|cert|secret|token)", re.IGNORECASE | re.ASCII)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,256}(?![A-Za-z0-9+/_=-])")
+_SENSITIVE = re.compile(r"(?:{0})(?:[-_/+]?(?:{0}))*".format("key|pwd|pass|auth|cred|bearer|login|signature|private|session|salt|cert|secret|token"), re.IGNORECASE | re.ASCII)
+#: What joins a sensitive word to a candidate; '=' and all else that no candidate has needs no mention.
+_JOINT = re.compile(r"[-_/+]*")
+#: '=' begins no candidate and ends one only as padding.
+_START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,256}(?![A-Za-z0-9+/_-])(?:=++(?![A-Za-z0-9+/_-]))?")
 #: Words of code and configuration that don't make a string new.
 IDENTIFIERS = (
     "access account address admin algorithm application authentication authorization background backend base bearer boolean bucket buffer build cache callback certificate character "
@@ -62,12 +66,22 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compressor.compress(tail + candidate.encode())) - len(compressor.compress(tail))) / len(candidate)
 
 
+def _runs(text: str, word_end: int, done: int, reach: int):
+    """Candidates that begin in reach of a sensitive word's end, the first maybe joined to it; none before ``done``."""
+    at, last = max(word_end, done), word_end + reach
+    if word_end >= done and (joint := _JOINT.match(text, word_end).end()) > word_end and (m := _RUN.match(text, joint)):
+        yield m
+        at = m.end()
+    while s := _START.search(text, at, max(at, last + 16)):
+        if m := _RUN.match(text, s.start()):
+            yield m
+        at = m.end() if m else s.end()
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, around: int, least: float) -> list[tuple[int, int, int]]:
     spans, done = [], -1
     for w in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(w.end(), done), min(len(text), w.end() + reach + 256)):
-            if m.start() > w.end() + reach:
-                break
+        for m in _runs(text, w.end(), done, reach):
             done = m.end()
             kinds = sum(any(f(c) for c in m[0]) for f in (str.islower, str.isupper, str.isdigit))
             if kinds < 2 or not any(map(str.isdigit, m[0])) or any(s < m.end() and m.start() < e for s, _, e in taken):

@@ -31,6 +31,16 @@ def test_novel_strings_and_plain_ones():
     assert m.redacted(f"auth {key}, password=abcdefgh.") == "auth [SECRET], [SECRET]"
 
 
+def test_candidates_joined_to_their_name():
+    key = "Zx81q8Zr2LmX0vTy7Kp4NdB1sWc9"
+    for name in ("AUTH_KEY=", "pwd=", "private_key=", "session=", "a&signature=", "login==", "key:", "cert='", "key_", "auth-", "session/", "salt+", "SECRET_KEY_"):
+        for end in ("", "==", "&x=1", "\n"):
+            spans = m.find_secrets(f"run {name}{key}{end}")
+            assert [x for x in spans if x[0] <= 4 + len(name) and x[2] >= 4 + len(name) + len(key)], (name, end)
+            assert key not in m.redacted(f"run {name}{key}{end}")
+    assert m.find_secrets(f"weather={key} x{key}") == []
+
+
 def test_odd_rows(spark):
     rows = [(i, t, 1, len(t or "")) for i, t in enumerate(ODD)] + [(None, ODD[2], 1, 0), (2, ODD[2], 1, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_hex int, n_chars long")
