@@ -1,15 +1,21 @@
 """Secrets in texts: fixed patterns, and strings that compression finds new where secrets stand.
 
 Beyond the patterns, every long string of mixed characters that follows a sensitive word closely is a
-candidate. A zstandard compressor is primed with the text around it and a dictionary of identifiers;
-how many bytes the candidate adds to its compressed surroundings is its novelty. Names, paths and
-repeated values add few bytes, keys and passwords nearly one for each character.
+candidate, and so is each that follows a candidate as closely (parts of a token, lines of a key). A
+zstandard compressor is primed with the text around it and a dictionary of identifiers; how many bytes
+the candidate adds to its compressed surroundings is its novelty. Names, paths and repeated values add
+few bytes, keys and passwords nearly as many as random characters of their alphabet. Strings of over
+PIECE characters are judged in pieces and are found whole if one piece is new.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import string
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -28,7 +34,11 @@ _SENSITIVE = re.compile(r"(?:{0})(?:[-_/+]?(?:{0}))*".format("key|pwd|pass|auth|
 _JOINT = re.compile(r"[-_/+]*")
 #: '=' begins no candidate and ends one only as padding.
 _START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,256}(?![A-Za-z0-9+/_-])(?:=++(?![A-Za-z0-9+/_-]))?")
+_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?")
+#: The last line of an armoured key may be shorter than a candidate.
+_LAST_LINE = re.compile(r"(?:\\[nr]|[\s\"',+])*([A-Za-z0-9+/]{1,15}=*)(?:\\[nr]|[\s\"',+])*-----END")
+PIECE = 256
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_-=")
 #: Words of code and configuration that don't make a string new.
 IDENTIFIERS = (
     "access account address admin algorithm application authentication authorization background backend base bearer boolean bucket buffer build cache callback certificate character "
@@ -66,28 +76,51 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return (len(compressor.compress(tail + candidate.encode())) - len(compressor.compress(tail))) / len(candidate)
 
 
-def _runs(text: str, word_end: int, done: int, reach: int):
-    """Candidates that begin in reach of a sensitive word's end, the first maybe joined to it; none before ``done``."""
-    at, last = max(word_end, done), word_end + reach
-    if word_end >= done and (joint := _JOINT.match(text, word_end).end()) > word_end and (m := _RUN.match(text, joint)):
-        yield m
-        at = m.end()
-    while s := _START.search(text, at, max(at, last + 16)):
-        if m := _RUN.match(text, s.start()):
-            yield m
-        at = m.end() if m else s.end()
+@lru_cache(4 * PIECE)
+def _random_novelty(n: int, alphabet: str) -> float:
+    return novelty("".join(random.Random(n).choices(alphabet, k=n)), "", "")
+
+
+def is_new(candidate: str, before: str, after: str, least: float) -> bool:
+    """Whether its novelty is ``least`` times that of random characters of its alphabet; the coder packs those from some 64 on."""
+    got = novelty(candidate, before, after)
+    return got >= least or len(candidate) > 32 and got >= least * _random_novelty(len(candidate), next(a for a in _ALPHABETS if set(candidate) <= set(a)))
+
+
+def _mixed(candidate: str) -> bool:
+    kinds = [any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper)]
+    return kinds[0] and sum(kinds) >= 2
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, around: int, least: float) -> list[tuple[int, int, int]]:
     spans, done = [], -1
+
+    def is_hit(start: int, end: int) -> bool:
+        if any(s < end and start < e for s, _, e in taken):
+            return False
+        step = math.ceil((end - start) / math.ceil((end - start) / PIECE))
+        pieces = ((i, min(end, i + step)) for i in range(start, end, step))
+        return any(is_new(text[i:j], text[max(0, i - around) : i], text[j : j + around], least) for i, j in pieces)
+
     for w in _SENSITIVE.finditer(text):
-        for m in _runs(text, w.end(), done, reach):
-            done = m.end()
-            kinds = sum(any(f(c) for c in m[0]) for f in (str.islower, str.isupper, str.isdigit))
-            if kinds < 2 or not any(map(str.isdigit, m[0])) or any(s < m.end() and m.start() < e for s, _, e in taken):
-                continue
-            if novelty(m[0], text[max(0, m.start() - around) : m.start()], text[m.end() : m.end() + around]) >= least:
-                spans.append((m.start(), 3, m.end()))
+        joint = _JOINT.match(text, w.end()).end()
+        if joint > w.end() and joint + 16 <= done and not (spans and spans[-1][2] > joint):
+            # Within a string that is not new as a whole: from here on it may be. One piece, as there may be many such words.
+            if _mixed(text[joint : min(done, joint + PIECE)]) and is_hit(joint, min(done, joint + PIECE)):
+                spans.append((joint, 3, done))
+        at, last = max(w.end(), done), w.end() + reach
+        m = _RUN.match(text, joint) if joint > w.end() >= done else None
+        while m or (s := _START.search(text, at, max(at, last + 16))):
+            m = m or _RUN.match(text, s.start())
+            at = done = m.end()
+            if _mixed(m[0]):
+                last = done + reach
+                if is_hit(m.start(), done):
+                    spans.append((m.start(), 3, done))
+                    if end := _LAST_LINE.match(text, done):
+                        spans.append((end.start(1), 3, end.end(1)))
+                        at = done = end.end(1)
+            m = None
     return spans
 
 
