@@ -24,7 +24,19 @@ from tallymark.llm.common import block_count, bounded_batches, column, corpus_by
 
 #: Stand for the start of a text and its end; no word has these hashes but by a chance of 2**-64.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-_TAIL = np.uint64(44)
+#: Bits of a bigram's second word that messages carry; its context has a sort key of its own, so any number of contexts fits.
+_TAIL_BITS = np.uint64(44)
+
+
+def _distinct(owner: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, sorted, as two arrays, and for each pair given which of them it is."""
+    order = np.lexsort((tail, owner))
+    o, t = owner[order], tail[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return o[new], t[new], which
 
 
 def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,10 +61,9 @@ def _arcs(before: np.ndarray, here: np.ndarray, n_shards: int) -> dict:
     order = np.lexsort((contexts, contexts % np.uint64(n_shards)))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    key = (rank[at].astype(np.uint64) << _TAIL) | (mixed(here) >> np.uint64(20))
-    arcs, arc_of = np.unique(key, return_inverse=True)
+    arc_context, tails, arc_of = _distinct(rank[at], mixed(here) >> (np.uint64(64) - _TAIL_BITS))
     contexts = contexts[order]
-    return {"contexts": contexts, "shard": (contexts % np.uint64(n_shards)).astype(np.int64), "context_of": rank[at], "arcs": arcs, "arc_of": arc_of, "arc_context": (arcs >> _TAIL).astype(np.int64)}
+    return {"contexts": contexts, "shard": (contexts % np.uint64(n_shards)).astype(np.int64), "context_of": rank[at], "tails": tails, "arc_of": arc_of, "arc_context": arc_context}
 
 
 def _vocabulary(batches, n_buckets: int, held: int = 1 << 20):
@@ -88,8 +99,8 @@ def _asked(rows: pa.Table, block: int, n_shards: int) -> pa.Table:
     before, here, out = _sequences(column(rows, "text"))
     a = _arcs(before, here, n_shards)
     train = np.repeat(np.asarray(column(rows, "train")), np.diff(out))
-    counts = np.bincount(a["arc_of"], weights=train, minlength=len(a["arcs"])).astype(np.uint32)
-    tails = a["arcs"] & np.uint64((1 << 44) - 1)
+    counts = np.bincount(a["arc_of"], weights=train, minlength=len(a["tails"])).astype(np.uint32)
+    tails = a["tails"]
     width = np.bincount(a["arc_context"], minlength=len(a["contexts"])).astype(np.uint32)
     first = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
     edges = np.flatnonzero(np.diff(a["shard"], prepend=-1, append=-1))
@@ -107,10 +118,8 @@ def _answered(rows):
     parts = {k: [np.frombuffer(x, t) for x in column(rows, k).to_pylist()] for k, t in (("contexts", np.uint64), ("widths", np.uint32), ("low", np.uint32), ("high", np.uint16), ("counts", np.uint32))}
     _, context = np.unique(np.concatenate(parts["contexts"]), return_inverse=True)
     owner = np.repeat(context, np.concatenate(parts["widths"]))
-    key = (owner.astype(np.uint64) << _TAIL) | (np.concatenate(parts["high"]).astype(np.uint64) << np.uint64(32)) | np.concatenate(parts["low"])
-    arcs, arc = np.unique(key, return_inverse=True)
-    totals = np.bincount(arc, weights=np.concatenate(parts["counts"]), minlength=len(arcs)).astype(np.int64)
-    arc_owner = (arcs >> _TAIL).astype(np.int64)
+    arc_owner, _, arc = _distinct(owner, (np.concatenate(parts["high"]).astype(np.uint64) << np.uint64(32)) | np.concatenate(parts["low"]))
+    totals = np.bincount(arc, weights=np.concatenate(parts["counts"]), minlength=len(arc_owner)).astype(np.int64)
     mass = np.bincount(arc_owner, weights=totals).astype(np.int64)[context]
     kinds = np.bincount(arc_owner, weights=totals > 0).astype(np.int64)[context]
     totals, a, c = totals[arc], 0, 0
@@ -162,7 +171,7 @@ def score_texts(docs: DataFrame, train: str = "crc32(coalesce(cast(doc_id as str
     ends = rows.agg(F.count_if("train")).first()[0]
     found = words.groupBy("bucket").applyInArrow(_distinct_words, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     n_tokens, n_kinds = (found[0] or 0) + ends, (found[1] or 0) + (ends > 0)
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     def asked(key, rows):
         return _asked(rows, key[0].as_py(), n)

@@ -3,6 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
+from tallymark.llm import op3_lm_score as m
 from tallymark.llm.op3_lm_score import op3_lm_score, score_texts
 
 
@@ -46,6 +50,27 @@ def test_matches_brute_force_on_odd_rows(spark):
     assert score_texts(df.limit(0)).count() == 0
 
 
+def test_over_a_million_contexts_in_one_block():
+    n = (1 << 20) + 5000
+    docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(f"w{i}" for i in range(n)), "w1 w2 unseen w3"], "train": [True, False]})
+    asked = m._asked(docs, 0, 1)
+    assert np.frombuffer(asked["widths"][0].as_py(), np.uint32).min() > 0
+    long, short = m._scored(docs, m._answered(asked), 1, n + 1, n + 1).to_pylist()
+    root = math.log10(2 / (2 * n + 3))  # every word and the end stand once
+    assert (long["n_tokens"], long["n_known"], short["n_known"]) == (n + 1, n + 1, 4)
+    assert math.isclose(long["base_score"], (n + 1) * root, rel_tol=1e-9)
+    assert math.isclose(long["score"], (n + 1) * math.log10((1 + 10**root) / 2), rel_tol=1e-9)
+
+
+def test_rows_of_one_id_spread_over_blocks(spark, monkeypatch):
+    seen = []
+    real = spark.createDataFrame([(None, f"text number {i} of many") for i in range(400)], "doc_id long, text string")
+    spy = type(real).groupBy
+    monkeypatch.setattr(type(real), "groupBy", lambda self, *c: (seen.append(self) if c == ("block",) else None) or spy(self, *c))
+    score_texts(real, block_bytes=1000)
+    assert seen[0].select("block").distinct().count() > 1
+
+
 def test_query_matches_brute_force(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     same(op3_lm_score(spark, small).collect(), brute(rows))
