@@ -15,7 +15,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.llm.common import bounded_batches, column, hash_words, split_words, table, window_hashes
@@ -135,8 +135,29 @@ def _verified(batches, k: int, coverage: float):
         out = []
         for r in rows:
             bench = Benchmark([r["item_id"]], [r["item"]], k)
-            out += [(r["doc_id"], r["item_id"], c, n) for _, _, c, n in covered(bench, pa.array([r["text"]], pa.string()), coverage)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], names=["doc_id", "item_id", "n_covered", "n_item_tokens"])
+            out += [(r["text_key"], r["item_key"], r["item_id"], c, n) for _, _, c, n in covered(bench, pa.array([r["text"]], pa.string()), coverage)]
+        columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["text_key", "item_key", "item_id", "n_covered", "n_item_tokens"])
+
+
+def _text_key(text: str = "text") -> Column:
+    """Stands for a text in joins, whatever ids its rows have; null texts count as empty."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _joined_pairs(docs: DataFrame, benchmark: DataFrame, k: int, coverage: float) -> DataFrame:
+    """``(text_key, item_key, item_id, n_covered, n_item_tokens)`` for every distinct text that covers an item.
+
+    An item's key is made of its id and text, null-safe; an item that stands repeatedly gives repeated rows.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", _text_key())
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").alias("item"))
+    items = items.withColumn("item_key", F.unhex(F.sha2(F.to_json(F.struct("item_id", "item")), 256)))
+    seeds = items.select("item_key", F.col("item").alias("text")).mapInArrow(lambda b: _seed_rows(b, "item_key", k), "item_key binary, seed long").distinct()
+    met = texts.mapInArrow(lambda b: _seed_rows(b, "text_key", k), "text_key binary, seed long").distinct().join(seeds, "seed").select("text_key", "item_key").distinct()
+    both = met.join(texts.dropDuplicates(["text_key"]), "text_key").join(items.dropDuplicates(["item_key"]), "item_key")
+    found = both.select("text_key", "item_key", "item_id", "text", "item").mapInArrow(lambda b: _verified(b, k, coverage), "text_key binary, item_key binary, item_id long, n_covered long, n_item_tokens long")
+    return found.join(items.select("item_key"), "item_key")
 
 
 def _held(benchmark: DataFrame, k: int) -> Benchmark | None:
@@ -153,7 +174,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. Null and empty texts match nothing, nor do
     items of fewer than ``min_match`` tokens. Repeated rows give repeated results. A benchmark of up to
-    MAX_HELD_SEEDS seeds goes to every task; a larger one meets the texts in a join on seeds.
+    MAX_HELD_SEEDS seeds goes to every task; a larger one meets the texts in a join on seeds, with the
+    same results: there texts and items are joined by keys of what they are, not by ids.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -161,19 +183,17 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, min_match: int = 5
         shared = docs.sparkSession.sparkContext.broadcast(bench)
         found = texts.mapInArrow(lambda b: _pairs(b, shared.value, coverage), _FOUND)
     else:
-        items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
-        seeds = items.mapInArrow(lambda b: _seed_rows(b, "item_id", min_match), "item_id long, seed long").distinct()
-        pairs = texts.mapInArrow(lambda b: _seed_rows(b, "doc_id", min_match), "doc_id long, seed long").distinct().join(seeds, "seed").select("doc_id", "item_id").distinct()
-        both = pairs.join(texts, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
-        found = both.select("doc_id", "item_id", "text", "item").mapInArrow(lambda b: _verified(b, min_match, coverage), _FOUND)
+        keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"))
+        found = keyed.join(_joined_pairs(docs, benchmark, min_match, coverage), "text_key").select("doc_id", "item_id", "n_covered", "n_item_tokens")
     return found.withColumn("coverage", F.col("n_covered") / F.col("n_item_tokens"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that cover no item, with all their columns."""
     if (bench := _held(benchmark, min_match)) is None:
-        bad = contaminated_pairs(docs, benchmark, min_match, coverage).select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+        bounded_batches(docs.sparkSession)
+        bad = _joined_pairs(docs, benchmark, min_match, coverage).select(F.col("text_key").alias("_bad_key")).distinct()
+        return docs.join(bad, _text_key() == F.col("_bad_key"), "left_anti")
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(bench)
 

@@ -66,6 +66,20 @@ def test_reordered_and_odd_rows(spark, monkeypatch):
     assert m.contaminated_pairs(docs.limit(0), bench).count() == 0 and m.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def test_large_benchmark_gives_the_same_rows(spark, monkeypatch):
+    rows = [(1, ITEM), (None, ITEM), (None, "clean text"), (5, ITEM), (5, "a clean row of the same id"), (5, ITEM), (6, None)]
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, item_id int, text_key string")
+    bench = spark.createDataFrame([(10, ITEM), (None, ITEM), (10, "another item " + ITEM[:40]), (13, ITEM), (13, ITEM), (14, None)], "item_id int, text string")
+    pairs, kept = [], []
+    for held in (10**6, 1):
+        monkeypatch.setattr(m, "MAX_HELD_SEEDS", held)
+        pairs.append(sorted(map(tuple, m.contaminated_pairs(docs, bench).collect()), key=str))
+        kept.append(sorted(map(tuple, m.drop_contaminated(docs, bench).collect()), key=str))
+    assert pairs[0] == pairs[1] and kept[0] == kept[1]
+    assert len([r for r in pairs[1] if r[0] is None]) == len([r for r in pairs[1] if r[0] == 1]) > 3
+    assert sorted((r[0], r[1]) for r in kept[1] if r[0]) == [(5, "a clean row of the same id"), (6, None)] and len(kept[1]) == 3
+
+
 def test_query_matches_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
     items = spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()
