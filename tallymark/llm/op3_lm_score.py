@@ -1,22 +1,26 @@
 """Language-model scores by a weighted backoff automaton.
 
-The model is a bigram model with Witten-Bell smoothing over an add-one unigram model. Seen bigrams
-are the arcs of an automaton whose states are contexts (a word, or the start of a text); a state
-without an arc for the next word follows its failure arc, whose weight is the mass that smoothing
-leaves to unseen words, to the root. One pass from left to right carries the state and adds up
-log10 probabilities.
+The model is a trigram model: each order is smoothed by the one below with a Dirichlet prior (MacKay
+and Peto), the lowest is an add-one unigram model. A state is a context of up to two words; a seen
+n-gram is an arc, a state without an arc for the next word follows its failure arc, whose weight
+``k / (c + k)`` is what smoothing leaves to unseen words, to the state of the shorter context. One pass
+from left to right carries the state and adds up log10 probabilities. The state after a word is
+fixed by the last two, so a block's texts take their steps as arrays.
 
 The automaton of a whole corpus fits no executor, so none is ever built whole. Texts are hashed into
-blocks. Each block sends its distinct bigrams, with their counts in the training part, to shards by
-context as packed arrays. A shard adds up all blocks' counts and answers each block in the same
-order. So every block gets exactly the part of the automaton that its texts can reach, and scores
-them. Both messages are pre-aggregated, so a frequent word costs one entry per block.
+blocks. Each block sends its distinct n-grams of all orders, with their counts in the training part, to
+shards as sorted, packed fingerprints; a shard adds up all blocks' counts and answers each block
+in the same order. A context's count is that of its own n-gram, so weights of arcs and failure arcs follow, and
+every block gets the part of the automaton that its texts can reach. N-grams are spread by
+their whole fingerprint: the successors of a frequent word lie in all shards, and a frequent n-gram
+costs one entry a block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,46 +28,67 @@ from tallymark.llm.common import block_count, bounded_batches, column, corpus_by
 
 #: Stand for the start of a text and its end; no word has these hashes but by a chance of 2**-64.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: Bits of a bigram's second word that messages carry; its context has a sort key of its own, so any number of contexts fits.
-_TAIL_BITS = np.uint64(44)
+#: Strength of the prior of bigrams and trigrams; the automaton's order is one more than there are.
+STRENGTH = (16.0, 2.0)
+#: Bits of a fingerprint besides those that tell shards apart; of the millions in a shard, one agrees with another by a chance of millions to 2**48.
+BITS = 48
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _distinct(owner: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs, sorted, as two arrays, and for each pair given which of them it is."""
-    order = np.lexsort((tail, owner))
-    o, t = owner[order], tail[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (o[1:] != o[:-1]) | (t[1:] != t[:-1])
-    which = np.empty(len(order), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return o[new], t[new], which
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """Numbers below 256 ** width by planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
-def _sequences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every token its context and itself as hashes, and offsets by text (each has its end as last token)."""
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, and offsets by text; each text has its end as last token."""
     index, offsets, words = split_words(texts)
-    n = len(offsets) - 1
-    out = offsets + np.arange(n + 1)
-    here = np.empty(out[-1], np.uint64)
-    is_end = np.zeros(out[-1], bool)
-    is_end[out[1:] - 1] = True
-    here[is_end] = END
-    here[~is_end] = hash_words(words)[index] if len(index) else np.empty(0, np.uint64)
-    before = np.empty_like(here)
-    before[1:] = here[:-1]
-    before[out[:-1]] = START
-    return before, here, out
-
-
-def _arcs(before: np.ndarray, here: np.ndarray, n_shards: int) -> dict:
-    """The block's distinct bigrams in an order that depends on nothing but which they are."""
-    contexts, at = np.unique(before, return_inverse=True)
-    order = np.lexsort((contexts, contexts % np.uint64(n_shards)))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    arc_context, tails, arc_of = _distinct(rank[at], mixed(here) >> (np.uint64(64) - _TAIL_BITS))
-    contexts = contexts[order]
-    return {"contexts": contexts, "shard": (contexts % np.uint64(n_shards)).astype(np.int64), "context_of": rank[at], "tails": tails, "arc_of": arc_of, "arc_context": arc_context}
+    out = offsets + np.arange(len(offsets))
+    here = np.full(out[-1], END, np.uint64)
+    is_word = np.ones(out[-1], bool)
+    is_word[out[1:] - 1] = False
+    if len(index):
+        here[is_word] = hash_words(words)[index]
+    return here, out
+
+
+def _shifted(x: np.ndarray, out: np.ndarray, first: np.ndarray | np.uint64) -> np.ndarray:
+    """For every token what the one before it has, ``first`` for a text's first."""
+    before = np.empty_like(x)
+    before[1:] = x[:-1]
+    before[out[:-1]] = first
+    return before
+
+
+def _grams(here: np.ndarray, out: np.ndarray, orders: int, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of the distinct n-grams of the orders 1 to ``orders``, sorted; their shards, which follow that order; by order and token which n-gram it is."""
+    codes, context, before = [], np.zeros_like(here), here
+    for n in range(orders):
+        codes.append(mixed((context + np.uint64(n + 1)) * _PRIME ^ here))
+        before = _shifted(before, out, START)
+        context = mixed(context * _PRIME + before)
+    drop = np.uint64(max(0, 64 - BITS - n_shards.bit_length()))
+    distinct, which = np.unique(np.concatenate(codes) >> drop, return_inverse=True)
+    shard = (((distinct >> (np.uint64(32) - drop)) * np.uint64(n_shards)) >> np.uint64(32)).astype(np.int64)
+    return distinct, shard, which.reshape(orders, -1)
+
+
+def walk(root: np.ndarray, counts: np.ndarray, contexts: np.ndarray, strength: tuple[float, ...]) -> np.ndarray:
+    """Log10 weight of each token's step: of the arc if its state has one, else of the failure arc and the step from there.
+
+    ``root`` are steps from the root; rows of ``counts`` and ``contexts`` are the longer orders, from short to long.
+    """
+    step = root
+    for n, c, k in zip(counts, contexts, strength, strict=True):
+        step = np.where(n > 0, np.log10((n + k * 10.0**step) / (c + k)), np.log10(k / (c + k)) + step)
+    return step
 
 
 def _vocabulary(batches, n_buckets: int, held: int = 1 << 20):
@@ -95,77 +120,66 @@ def _distinct_words(rows):
     return pa.table({"n": pa.array([sum(column(rows, "n").to_pylist())]), "v": pa.array([int((h[1:] != h[:-1]).sum()) + 1])})
 
 
-def _asked(rows: pa.Table, block: int, n_shards: int) -> pa.Table:
-    before, here, out = _sequences(column(rows, "text"))
-    a = _arcs(before, here, n_shards)
+def _asked(rows: pa.Table, block: int, orders: int, n_shards: int) -> pa.Table:
+    here, out = _tokens(column(rows, "text"))
+    codes, shard, which = _grams(here, out, orders, n_shards)
     train = np.repeat(np.asarray(column(rows, "train")), np.diff(out))
-    counts = np.bincount(a["arc_of"], weights=train, minlength=len(a["tails"])).astype(np.uint32)
-    tails = a["tails"]
-    width = np.bincount(a["arc_context"], minlength=len(a["contexts"])).astype(np.uint32)
-    first = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-    edges = np.flatnonzero(np.diff(a["shard"], prepend=-1, append=-1))
-    out_rows: dict[str, list] = {k: [] for k in ("shard", "block", "contexts", "widths", "low", "high", "counts")}
-    for i, j in zip(edges[:-1], edges[1:], strict=True):
-        s = slice(first[i], first[j])
-        for k, v in (("shard", int(a["shard"][i])), ("block", block), ("contexts", a["contexts"][i:j].tobytes()), ("widths", width[i:j].tobytes()), ("low", tails[s].astype(np.uint32).tobytes()), ("high", (tails[s] >> np.uint64(32)).astype(np.uint16).tobytes()), ("counts", counts[s].tobytes())):
-            out_rows[k].append(v)
-    return pa.table(out_rows, schema=pa.schema([("shard", pa.int64()), ("block", pa.int64()), *((k, pa.binary()) for k in ("contexts", "widths", "low", "high", "counts"))]))
+    counts = np.bincount(which.ravel(), weights=np.tile(train, orders), minlength=len(codes)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    got = [(int(shard[i]), block, _packed(np.diff(codes[i:j], prepend=np.uint64(0)), 8), _packed(counts[i:j], 5)) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["shard", "block", "keys", "counts"])
 
 
 def _answered(rows):
-    """Totals over all blocks: by bigram its count, by context its count and its number of distinct successors."""
-    blocks, shard = column(rows, "block").to_pylist(), column(rows, "shard").to_pylist()
-    parts = {k: [np.frombuffer(x, t) for x in column(rows, k).to_pylist()] for k, t in (("contexts", np.uint64), ("widths", np.uint32), ("low", np.uint32), ("high", np.uint16), ("counts", np.uint32))}
-    _, context = np.unique(np.concatenate(parts["contexts"]), return_inverse=True)
-    owner = np.repeat(context, np.concatenate(parts["widths"]))
-    arc_owner, _, arc = _distinct(owner, (np.concatenate(parts["high"]).astype(np.uint64) << np.uint64(32)) | np.concatenate(parts["low"]))
-    totals = np.bincount(arc, weights=np.concatenate(parts["counts"]), minlength=len(arc_owner)).astype(np.int64)
-    mass = np.bincount(arc_owner, weights=totals).astype(np.int64)[context]
-    kinds = np.bincount(arc_owner, weights=totals > 0).astype(np.int64)[context]
-    totals, a, c = totals[arc], 0, 0
-    answers = []
-    for x, y in zip(parts["contexts"], parts["low"], strict=True):
-        answers.append((mass[c : c + len(x)].tobytes(), kinds[c : c + len(x)].tobytes(), totals[a : a + len(y)].tobytes()))
-        a, c = a + len(y), c + len(x)
-    return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array(shard, pa.int64()), **{k: pa.array([x[i] for x in answers], pa.binary()) for i, k in enumerate(("mass", "kinds", "totals"))}})
-
-
-def _scored(docs: pa.Table, answers: pa.Table, n_shards: int, n_tokens: int, n_kinds: int) -> pa.Table:
-    before, here, out = _sequences(column(docs, "text"))
-    a = _arcs(before, here, n_shards)
-    got = sorted(zip(*(column(answers, k).to_pylist() for k in ("shard", "mass", "kinds", "totals")), strict=True))
-    mass, kinds, totals = (np.concatenate([np.frombuffer(x[i], np.int64) for x in got] or [np.empty(0, np.int64)]) for i in (1, 2, 3))
-    # Every word is the context of what follows it, so a context's count is the word's; an end has the start's.
-    order = np.argsort(a["contexts"])
-    words = np.where(here == END, START, here)
-    count = mass[order[np.searchsorted(a["contexts"], words, sorter=order)]]
-    root = np.log10((count + 1) / (n_tokens + n_kinds + 1))
-    state, arc = a["context_of"], totals[a["arc_of"]]
-    c, t = mass[state].astype(float), kinds[state].astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        by_arc = np.log10((arc + t * 10.0**root) / (c + t))
-        by_failure = np.where(c > 0, np.log10(t / (c + t)), 0.0) + root
-    step = np.where(arc > 0, by_arc, by_failure)
+    """For each block that asked, what all the others have besides its own counts."""
+    keys = [np.cumsum(_unpacked(x, 8), dtype=np.uint64) for x in column(rows, "keys").to_pylist()]
+    counts = [_unpacked(x, 5).astype(np.int64) for x in column(rows, "counts").to_pylist()]
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    own = np.concatenate(counts)
+    others = np.bincount(which, weights=own).astype(np.int64)[which] - own
+    cuts = np.cumsum([len(k) for k in keys])[:-1]
+    return pa.table({"block": column(rows, "block"), "shard": column(rows, "shard"), "others": pa.array([_packed(x, 6) for x in np.split(others, cuts)], pa.binary())})
+
+
+def _scored(docs: pa.Table, answers: pa.Table, n_shards: int, n_tokens: int, n_kinds: int, strength: tuple[float, ...]) -> pa.Table:
+    here, out = _tokens(column(docs, "text"))
+    codes, _, which = _grams(here, out, len(strength) + 1, n_shards)
+    train = np.repeat(np.asarray(column(docs, "train")), np.diff(out))
+    totals = np.bincount(which.ravel(), weights=np.tile(train, len(which)), minlength=len(codes)).astype(np.int64)
+    got = sorted(zip(column(answers, "shard").to_pylist(), column(answers, "others").to_pylist(), strict=True))
+    totals += np.concatenate([_unpacked(x, 6) for _, x in got] or [np.empty(0, np.uint64)]).astype(np.int64)
+    counts = totals[which]
+    # A context's count is that of its own n-gram where the word before stands; a start's is the number of texts, which every end has.
+    texts = counts[0][out[1:] - 1]
+    contexts = np.stack([_shifted(c, out, texts) for c in counts[:-1]])
+    root = np.log10((counts[0] + 1) / (n_tokens + n_kinds + 1))
+    step = walk(root, counts[1:], contexts, strength)
     return pa.table({
         "doc_id": column(docs, "doc_id"), "held_out": pa.array(~np.asarray(column(docs, "train"))), "n_tokens": pa.array(np.diff(out)),
-        "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), out[:-1])), "train_tokens": pa.array(np.full(len(out) - 1, n_tokens, np.int64)),
+        "n_known": pa.array(np.add.reduceat((counts[0] > 0).astype(np.int64), out[:-1])), "train_tokens": pa.array(np.full(len(out) - 1, n_tokens, np.int64)),
         "base_score": pa.array(np.round(np.add.reduceat(root, out[:-1]), 6)), "score": pa.array(np.round(np.add.reduceat(step, out[:-1]), 6)),
     })
 
 
-def score_texts(docs: DataFrame, train: str = "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2", block_bytes: int = 8 << 20) -> DataFrame:
+def sized_blocks(n_bytes: int, least: int = 8 << 20, most: int = 64 << 20, upto: int = 30 << 30) -> int:
+    """How many blocks: of ``least`` bytes for inputs up to ``upto``, then growing by the root of the input, so that messages between blocks and shards stay filled."""
+    return block_count(n_bytes, int(min(most, least * max(1.0, n_bytes / upto) ** 0.5)))
+
+
+def score_texts(docs: DataFrame, train: str = "crc32(coalesce(cast(doc_id as string), '')) % 7 <> 2", strength: tuple[float, ...] = STRENGTH, block_bytes: int | None = None) -> DataFrame:
     """Log10 probability of every text of ``docs(doc_id, text)`` under a model learnt from the rows where ``train`` holds.
 
-    Null texts count as empty; a text without words is its end alone. Rows are scored one by one, so
-    repeated rows and ids are too, and each counts as often as it stands. Without training rows every
-    token has the same probability. ``block_bytes`` bounds what one task holds; at very large
-    inputs choose it larger, so that messages between blocks and shards stay well filled. A single
-    text is never split. Scores are rounded to 6 decimals.
+    ``strength`` has the priors of the orders from two on, three orders in all by default. Null texts
+    count as empty; a text without words is its end alone. Rows are scored one by one, so repeated rows and
+    ids are too, and each counts as often as it stands; a row without id trains like id "". Without
+    training rows every token has the same probability. A block takes as much memory as its texts, and a single text is never split.
+    Scores are rounded to 6 decimals. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.expr(train), F.lit(True)).alias("train"))
-    n = block_count(corpus_bytes(rows), block_bytes)
+    n_bytes, orders = corpus_bytes(rows), len(strength) + 1
+    n = block_count(n_bytes, block_bytes) if block_bytes else sized_blocks(n_bytes)
     # Words of the training part: how many there are, and how many different ones.
     words = rows.select("text", "train").mapInArrow(lambda b: _vocabulary(b, n), "bucket long, n long, words binary")
     ends = rows.agg(F.count_if("train")).first()[0]
@@ -174,13 +188,13 @@ def score_texts(docs: DataFrame, train: str = "crc32(coalesce(cast(doc_id as str
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     def asked(key, rows):
-        return _asked(rows, key[0].as_py(), n)
+        return _asked(rows, key[0].as_py(), orders, n)
 
     def scored(texts, answers):
-        return _scored(texts, answers, n, n_tokens, n_kinds)
+        return _scored(texts, answers, n, n_tokens, n_kinds, strength)
 
-    messages = blocks.groupBy("block").applyInArrow(asked, "shard long, block long, contexts binary, widths binary, low binary, high binary, counts binary")
-    answers = messages.groupBy("shard").applyInArrow(_answered, "block long, shard long, mass binary, kinds binary, totals binary")
+    messages = blocks.groupBy("block").applyInArrow(asked, "shard long, block long, keys binary, counts binary")
+    answers = messages.groupBy("shard").applyInArrow(_answered, "block long, shard long, others binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -10,27 +10,30 @@ from tallymark.llm import op3_lm_score as m
 from tallymark.llm.op3_lm_score import op3_lm_score, score_texts
 
 
-def brute(rows):
+def brute(rows, strength=m.STRENGTH):
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     docs = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t))) for i, t in rows]
     train = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for i, _ in docs]
-    uni, bi, kinds = Counter(), Counter(), defaultdict(set)
+    orders = len(strength) + 1
+    grams, after = Counter(), Counter()
     for (_, w), ok in zip(docs, train, strict=True):
         if ok:
-            uni.update([*w, None])
-            for a, b in zip(["<s>", *w], [*w, None], strict=True):
-                bi[a, b] += 1
-                kinds[a].add(b)
-    n, v = sum(uni.values()), len(uni)
+            s = ["<s>"] * (orders - 1) + [*w, None]
+            for i in range(orders - 1, len(s)):
+                for n in range(orders):
+                    grams[tuple(s[i - n : i + 1])] += 1
+                    after[tuple(s[i - n : i])] += 1
+    n, v = after[()], sum(len(g) == 1 for g in grams)
     out = []
     for (i, w), ok in zip(docs, train, strict=True):
-        base = score = 0.0
-        for a, b in zip(["<s>", *w], [*w, None], strict=True):
-            p = (uni[b] + 1) / (n + v + 1)
+        s, base, score = ["<s>"] * (orders - 1) + [*w, None], 0.0, 0.0
+        for j in range(orders - 1, len(s)):
+            p = (grams[(s[j],)] + 1) / (n + v + 1)
             base += math.log10(p)
-            c, t = sum(bi[a, x] for x in kinds[a]) if a in kinds else 0, len(kinds.get(a, ()))
-            score += math.log10((bi[a, b] + t * p) / (c + t) if c else p)
-        out.append((i, not ok, len(w) + 1, sum(uni[b] > 0 for b in [*w, None]), n, base, score))
+            for x, k in enumerate(strength, 1):
+                p = (grams[tuple(s[j - x : j + 1])] + k * p) / (after[tuple(s[j - x : j])] + k)
+            score += math.log10(p)
+        out.append((i, not ok, len(w) + 1, sum(grams[(b,)] > 0 for b in [*w, None]), n, base, score))
     return out
 
 
@@ -51,15 +54,34 @@ def test_matches_brute_force_on_odd_rows(spark):
 
 
 def test_over_a_million_contexts_in_one_block():
-    n = (1 << 20) + 5000
+    n, k = (1 << 20) + 5000, m.STRENGTH
     docs = pa.table({"doc_id": pa.array([1, 2], pa.int64()), "text": [" ".join(f"w{i}" for i in range(n)), "w1 w2 unseen w3"], "train": [True, False]})
-    asked = m._asked(docs, 0, 1)
-    assert np.frombuffer(asked["widths"][0].as_py(), np.uint32).min() > 0
-    long, short = m._scored(docs, m._answered(asked), 1, n + 1, n + 1).to_pylist()
-    root = math.log10(2 / (2 * n + 3))  # every word and the end stand once
+    long, short = m._scored(docs, m._answered(m._asked(docs, 0, 3, 1)), 1, n + 1, n + 1, k).to_pylist()
+    p = 2 / (2 * n + 3)  # every word and the end stand once
     assert (long["n_tokens"], long["n_known"], short["n_known"]) == (n + 1, n + 1, 4)
-    assert math.isclose(long["base_score"], (n + 1) * root, rel_tol=1e-9)
-    assert math.isclose(long["score"], (n + 1) * math.log10((1 + 10**root) / 2), rel_tol=1e-9)
+    assert math.isclose(long["base_score"], (n + 1) * math.log10(p), rel_tol=1e-9)
+    for x in k:
+        p = (1 + x * p) / (1 + x)
+    assert math.isclose(long["score"], (n + 1) * math.log10(p), rel_tol=1e-9)
+
+
+def test_other_orders_and_packing(spark):
+    rows = [(i, f"a b {i % 3} a b c {i % 5} d") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for strength in ((2.0,), (3.0, 2.0, 1.0)):
+        same(score_texts(df, strength=strength, block_bytes=100).collect(), brute(rows, strength))
+    x = np.array([0, 1, 255, 256, 2**40 - 1], np.uint64)
+    assert (m._unpacked(m._packed(x, 5), 5) == x).all() and len(m._unpacked(m._packed(x[:0], 5), 5)) == 0
+    assert m.sized_blocks(1 << 30) == 128 and m.sized_blocks(100 << 40) <= (100 << 40) // (64 << 20) + 1
+
+
+def test_probabilities_add_up():
+    """Over all words that may follow a context, with the unknown one."""
+    rng = np.random.default_rng(0)
+    n2, n3 = rng.integers(0, 4, 50), rng.integers(0, 3, 50)
+    root = np.log10(rng.dirichlet(np.ones(50)))
+    step = m.walk(root, np.stack([n2, n3]), np.stack([np.full(50, n2.sum()), np.full(50, n3.sum())]), m.STRENGTH)
+    assert math.isclose((10.0**step).sum(), 1)
 
 
 def test_rows_of_one_id_spread_over_blocks(spark, monkeypatch):
