@@ -219,8 +219,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` that judge() keeps, with all their columns."""
-    name = "_allowed"
-    while name in docs.columns or f"{name}_lang" in docs.columns:
+    name, columns = "_allowed", docs.columns
+    while name in columns or f"{name}_lang" in columns:
         name = f"_{name}"
     rows = with_cutoffs(docs, *fit(measure(docs), labels, risk), name)
 
@@ -229,9 +229,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
             counts = np.array([counts_of(t) for t in column(batch, "text").to_pylist()], np.int64).reshape(-1, 6)
             allowed = np.array(column(batch, name).to_pylist(), np.int64).reshape(-1, len(SCORES))
             good = batch.filter(pa.array(~base_failed(counts) & (steps_of(counts) <= allowed).all(axis=1)))
-            yield good.select(docs.columns)
+            yield good.select(columns)
 
-    return rows.select(*docs.columns, name).mapInArrow(kept, docs.schema)
+    return rows.select(*columns, name).mapInArrow(kept, docs.schema)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
