@@ -1,7 +1,8 @@
 """Secrets in texts: fixed patterns, and strings that compression finds new where secrets stand.
 
 Beyond the patterns, every long string of mixed characters that follows a sensitive word closely is a
-candidate, and so is each that follows a candidate as closely (parts of a token, lines of a key). A
+candidate, and so is each that follows a candidate as closely (parts of a token, lines of a key). A string that a
+sensitive word assigns (``pwd=``, ``auth: ``) may be shorter, and one of letters alone must be long or change case often. A
 zstandard compressor is primed with the text around it and a dictionary of identifiers; how many bytes
 the candidate adds to its compressed surroundings is its novelty. Names, paths and repeated values add
 few bytes, keys and passwords nearly as many as random characters of their alphabet. Strings of over
@@ -37,6 +38,8 @@ _START = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}+(?:=++(?![A-Za-z0-9+/_-]))?")
 #: The last line of an armoured key may be shorter than a candidate.
 _LAST_LINE = re.compile(r"(?:\\[nr]|[\s\"',+])*([A-Za-z0-9+/]{1,15}=*)(?:\\[nr]|[\s\"',+])*-----END")
+#: What stands between a sensitive word and a value that it assigns, and such a value.
+_ASSIGNED = re.compile(r"""["']?\x20*(?::=|=>|[:=])\x20*["']?([A-Za-z0-9+/_!@#$%^&*.~-]{10,}+)""")
 PIECE = 256
 _ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/_-=")
 #: Words of code and configuration that don't make a string new.
@@ -88,8 +91,12 @@ def is_new(candidate: str, before: str, after: str, least: float) -> bool:
 
 
 def _mixed(candidate: str) -> bool:
-    kinds = [any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper)]
-    return kinds[0] and sum(kinds) >= 2
+    """Letters with digits, or letters alone that change case often or go on for 24 characters."""
+    digit, lower, upper = (any(map(f, candidate)) for f in (str.isdigit, str.islower, str.isupper))
+    if digit:
+        return lower or upper
+    changes = sum(a.isupper() != b.isupper() for a, b in zip(candidate, candidate[1:], strict=False) if a.isalpha() and b.isalpha())
+    return len(candidate) >= 24 and candidate.isalpha() and max(map(candidate.lower().count, set(candidate.lower()))) <= len(candidate) / 5 or changes * 6 >= len(candidate)
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, around: int, least: float) -> list[tuple[int, int, int]]:
@@ -108,6 +115,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, around
             # Within a string that is not new as a whole: from here on it may be. One piece, as there may be many such words.
             if _mixed(text[joint : min(done, joint + PIECE)]) and is_hit(joint, min(done, joint + PIECE)):
                 spans.append((joint, 3, done))
+        if (v := _ASSIGNED.match(text, w.end())) and len(v[1]) < 16 and v.start(1) >= done and _mixed(v[1]) and is_hit(v.start(1), v.end(1)):
+            spans.append((v.start(1), 3, v.end(1)))
+            done = v.end(1)
         at, last = max(w.end(), done), w.end() + reach
         m = _RUN.match(text, joint) if joint > w.end() >= done else None
         while m or (s := _START.search(text, at, max(at, last + 16))):
@@ -160,7 +170,11 @@ def _scanned(batches):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Counts, digest and spans of every row of ``docs(doc_id, text)``; null texts count as empty, without spans."""
+    """Counts, digest and spans of every row of ``docs(doc_id, text)``; other columns are ignored.
+
+    Null texts count as empty, without spans. Repeated rows are judged alike. Texts are scanned whole and candidates have
+    no upper length. A string of equal standing again within 512 characters is not new.
+    """
     bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 

@@ -64,6 +64,41 @@ def test_whole_secrets_of_any_length():
     assert m.find_secrets("auth " + "key/a1/" * 20_000) == []
 
 
+def test_lengths_at_both_offsets():
+    """Of secrets of any length, right after the sensitive word and further on, nothing is left."""
+    rng = random.Random(11)
+    for n in (257, 400, 100_000):
+        for gap in (" ", " " + "x " * 11):
+            key = "7A" + "".join(rng.choices(string.ascii_letters + string.digits, k=n - 2))
+            assert m.redacted(f"auth header{gap}{key} end") == f"auth header{gap}[SECRET] end", (n, gap)
+
+
+def test_precision_and_recall_on_planted_secrets():
+    """Strings that the base patterns miss, in code and prose, against plain ones in the same places."""
+    rng = random.Random(5)
+    draw = lambda n, alphabet: "".join(rng.choices(alphabet, k=n))
+    letters, mixed = string.ascii_letters, string.ascii_letters + string.digits
+    leads = ["auth header is ", "the login key ", "pwd=", "private_key: ", "session = '", "signature ", "Bearer ", "cred: "]
+    secrets = [lambda: draw(32, letters), lambda: "a1" + draw(22, mixed), lambda: "B7" + draw(38, mixed + "+/"), lambda: draw(40, "0123456789ABCDEF") + "A1"]
+    short = [lambda: f"S3{draw(6, letters)}!x9{draw(3, mixed)}", lambda: draw(6, letters) + "7" + draw(7, mixed)]
+    plain = ["configuration", "internationalization", "this_is_the_default_value", "com/example/service/handler", "some-long-kebab-case-name", "AuthenticationManagerFactory", "0123456789", "user_name_and_password_field", "Donaudampfschifffahrt", "2024-01-01T00:00:00"]
+    cases = [(lead, s()) for lead in leads for s in secrets for _ in range(20)] + [(lead, s()) for lead in ("pwd=", "cred: ", "auth: ") for s in short for _ in range(20)]
+    missed = [c for c in cases if c[1] in m.redacted(f"set {c[0]}{c[1]} then go on")]
+    wrong = [(lead, p) for lead in leads for p in plain if any(k == 3 for _, k, _ in m.find_secrets(f"set {lead}{p} then go on"))]
+    assert len(missed) <= 0.03 * len(cases), (len(missed), len(cases), missed[:5])
+    assert len(wrong) <= 0.05 * len(leads) * len(plain), wrong
+
+
+def test_nothing_but_base_spans_on_the_test_tables(spark):
+    """Every run of twelve characters with a digit and a letter there lies in a base span, so the method has nothing to add."""
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    for t in texts:
+        spans = m.base_spans(t)
+        runs = [x for x in re.finditer(r"[A-Za-z0-9+/_-]{12,}", t) if re.search("[0-9]", x[0]) and re.search("[A-Za-z]", x[0])]
+        assert all(any(a <= x.start() and x.end() <= b for a, _, b in spans) for x in runs)
+        assert m.find_secrets(t) == spans
+
+
 def test_odd_rows(spark):
     rows = [(i, t, 1, len(t or "")) for i, t in enumerate(ODD)] + [(None, ODD[2], 1, 0), (2, ODD[2], 1, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_hex int, n_chars long")
