@@ -90,6 +90,20 @@ def plan_sources(sized: DataFrame, weights: tuple[float, ...], share: float, mos
     return plan
 
 
+def summed_before(rows: DataFrame, by: str, at: str, amount: str, name: str, width: int = 1024) -> DataFrame:
+    """Adds what ``amount`` adds up to over the rows of the same ``by`` with a smaller ``at`` (unique there).
+
+    In two levels, by stretches of ``at`` and then over the stretches, so that no task sorts all rows of one ``by``.
+    """
+    rows = rows.withColumn("_stretch", F.floor(F.col(at) / width))
+    total = rows.groupBy(by, "_stretch").agg(F.sum(amount).alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(by, "_stretch", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(by, "_stretch").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return rows.join(total, [by, "_stretch"]).withColumn(name, F.col(name) + F.col("_earlier")).drop("_stretch", "_earlier")
+
+
 def draw_slots(spark: SparkSession, plan: pd.DataFrame, shard_slots: int, seed: int) -> DataFrame:
     """``(shard, source_no, pass_no, block, words)``, a row for each slot; ``words`` is null for a whole block."""
     slots, blocks, last = (plan[c].to_numpy(dtype=np.int64) for c in ("n_slots", "n_blocks", "last_words"))
@@ -113,15 +127,15 @@ def draw_slots(spark: SparkSession, plan: pd.DataFrame, shard_slots: int, seed:
                     yield pd.DataFrame({"shard": shard, "source_no": s, "pass_no": j // blocks[s], "block": permuted(j % blocks[s], int(blocks[s]), seed * 1_000_003 + int(s)), "words": words})
 
     counts = spark.range(shards if total else 0).mapInPandas(drawn, "shard long, source_no long, n long")
-    before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = written(summed_before(counts, "source_no", "shard", "n", "first"))
     # What the draws left short of the quota, in shards of the same length at the end.
     short = numbered.groupBy("source_no").agg(F.sum("n").alias("drawn"))
     quotas = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(slots) if n], "source_no long, n_slots long")
     short = quotas.join(short, "source_no", "left").select("source_no", F.coalesce("drawn", F.lit(0)).alias("drawn"), "n_slots").where("drawn < n_slots")
     more = short.select("source_no", F.explode(F.sequence("drawn", F.col("n_slots") - 1, F.lit(shard_slots).cast("long"))).alias("first"))
     numbered = numbered.select("shard", "source_no", "first", "n").unionByName(more.select(F.lit(shards).cast("long").alias("shard"), "source_no", "first", F.lit(shard_slots).cast("long").alias("n")))
-    return numbered.mapInPandas(placed, "shard long, source_no long, pass_no long, block long, words long")
+    # Slots are many more than these rows, so the rows are dealt out first, into tasks of a few shards each.
+    return numbered.repartition(max(1, math.ceil(shards / 8)), "shard", "first").mapInPandas(placed, "shard long, source_no long, pass_no long, block long, words long")
 
 
 def placed_rows(sized: DataFrame, plan: pd.DataFrame, rows_per_bucket: int) -> DataFrame:
@@ -132,10 +146,11 @@ def placed_rows(sized: DataFrame, plan: pd.DataFrame, rows_per_bucket: int) -> D
     spark = sized.sparkSession
     numbers = spark.createDataFrame(plan[["source", "source_no", "source_size", "target"]].astype({"source": object}), "source string, source_no long, source_size long, target double")
     n = max(1, math.ceil(sized.count() / rows_per_bucket))
-    rows = sized.join(F.broadcast(numbers.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # Its size is known, so that Spark broadcasts the sources' table if it is small.
+    rows = sized.join(numbers.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("start", F.sum("in_bucket").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("in_bucket")).drop("in_bucket")
+    sums = summed_before(sums, "source_no", "bucket", "in_bucket", "start").drop("in_bucket")
     inside = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside)).join(sums, ["source_no", "bucket"])
     return rows.select("doc_id", "source", "source_no", "size", "source_size", "target", (F.col("start") + F.col("upto") - F.col("size")).alias("first_word"))
@@ -145,7 +160,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs(doc_id, source, text)``.
 
     Weights repeat over the sources in code-point order, null last. ``taken`` counts the words of a row
-    that the mix has, repeats included. Null and empty texts have size 0 and nothing taken; a source
+    that the mix has, repeats included. Texts may be of any length; other columns are ignored. Null and empty texts have size 0 and nothing taken; a source
     of such texts alone has target 0. Repeated rows are rows like others. No row is taken more often
     than ``most`` says, rounded up to whole passes.
     """

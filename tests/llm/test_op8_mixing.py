@@ -49,6 +49,38 @@ def test_mix_meets_targets(spark, block):
     assert m.mix(docs.limit(0)).count() == 0
 
 
+def test_taken_equals_counting_word_by_word(spark):
+    rows = [(i, ["a", "b", None][i % 3 if i % 7 else 0], " ".join(["w"] * (i * 29 % 70))) for i in range(150)] + [(3, "a", "q r"), (3, "a", "q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    block = 8
+    sized = m.sized_rows(docs)
+    plan = m.plan_sources(sized, (5, 2, 1), 1.5, 2.0, block, 1)
+    size = dict(zip(plan["source_no"], plan["source_size"], strict=True))
+    uses = defaultdict(int)  # of every word, by source and place
+    slots = m.draw_slots(spark, plan, 16, 1).collect()
+    for r in slots:
+        words = range(r.block * block, min(size[r.source_no], (r.block + 1) * block))
+        for w in words[: r.words] if r.words is not None else words:
+            uses[r.source_no, w] += 1
+    for i, n in zip(plan["source_no"], plan["n_slots"], strict=True):
+        own = [(r.pass_no, r.block) for r in slots if r.source_no == i]
+        assert len(own) == len(set(own)) == n
+    placed = m.placed_rows(sized, plan, 20).collect()
+    for i, n in size.items():
+        assert sorted(w for r in placed if r.source_no == i for w in range(r.first_word, r.first_word + r["size"])) == list(range(n))
+    want = sorted((r.doc_id, r["size"], sum(uses[r.source_no, w] for w in range(r.first_word, r.first_word + r["size"]))) for r in placed)
+    assert sorted((r.doc_id, r["size"], r.taken) for r in m.mix(docs, block_words=block, shard_slots=16, rows_per_bucket=20).collect()) == want
+
+
+def test_sums_in_stretches(spark):
+    df = spark.range(5000).selectExpr("id % 3 as s", "id as at", "id % 7 as n")
+    got = {(r.s, r.at): r.x for r in m.summed_before(df, "s", "at", "n", "x", 100).collect()}
+    total = defaultdict(int)
+    for i in range(5000):
+        assert got[i % 3, i] == total[i % 3]
+        total[i % 3] += i % 7
+
+
 def test_query(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "source", "text").collect()]
     size, target = brute_targets(rows)
