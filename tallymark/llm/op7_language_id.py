@@ -22,8 +22,8 @@ from tallymark.llm.common import bounded_batches, column, split_words, table, to
 
 _RUN = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Longest piece in use, longest word in training, words summed at a time, words remembered by a worker.
-MAX_PIECE, MAX_TRAIN_WORD, CHUNK, REMEMBERED = 12, 40, 20_000, 500_000
+#: Training cuts letter runs into words of so many letters; words summed at a time; probabilities remembered and summed by a worker.
+TRAIN_WORD, CHUNK, CELLS = 64, 20_000, 4_000_000
 
 
 def letter_runs(word: str) -> list[str]:
@@ -39,7 +39,7 @@ def vocabulary(name: str) -> dict[str, int]:
 
     model = SentencePieceProcessor(model_file=tokenizer_path(name))
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)))
-    fit = [p for p in pieces if len(p) <= MAX_PIECE and (b := p.removeprefix(START)) == b.lower() and all(map(str.isalpha, b))]
+    fit = [p for p in pieces if (b := p.removeprefix(START)) == b.lower() and all(map(str.isalpha, b))]
     return {p: i for i, p in enumerate(dict.fromkeys(fit))}
 
 
@@ -61,7 +61,7 @@ class Lattice:
         for n, w in enumerate(words):
             s = START + w
             for i in range(len(s)):
-                head = (n << 24 | i) << 20  # word, start; then length and piece
+                head = (n << 24 | i) << 22  # word, start; then length and piece
                 p = get(s[i], -1)
                 add(head | 1 << 16 | (p if p >= 0 else unknown))
                 for j in range(i + 2, len(s) + 1):
@@ -72,41 +72,64 @@ class Lattice:
                         add(head | (j - i) << 16 | p)
         code = np.array(edges, np.int64)
         self.length = np.array([len(w) + 1 for w in words], np.int64)
-        self.word, self.start, self.piece = code >> 44, code >> 20 & 0xFFFFFF, code & 0xFFFF
-        self.end = self.start + (code >> 16 & 0xF)
+        self.word, self.start, self.piece = code >> 46, code >> 22 & 0xFFFFFF, code & 0xFFFF
+        size = code >> 16 & 0x3F
+        self.end, self.reach = self.start + size, int(size.max(initial=1))
 
-    def _summed(self, p: np.ndarray, at: np.ndarray, source: np.ndarray, stops: range) -> tuple[np.ndarray, np.ndarray]:
-        """Sums over all paths to each place, in rows by place and word, and their scales as logarithms, by word."""
-        n, deep = len(self.length), int(self.length.max(initial=0)) + 1
-        total, scale = np.zeros((deep, n, p.shape[1])), np.zeros((n, p.shape[1]))
+    def _by(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges by place and word, and where the edges of each place begin."""
         order = np.lexsort((self.word, at))
-        cut = np.searchsorted(at[order], np.arange(deep + 1))
+        return order, np.searchsorted(at[order], np.arange(int(self.length.max(initial=0)) + 2))
+
+    def _step(self, p: np.ndarray, e: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the edges ``e``, which lie together by word, from what is ``before`` each: words and their sums."""
+        w = self.word[e]
+        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        return w[first], np.add.reduceat(before * p[self.piece[e]], first)
+
+    def log_sums(self, p: np.ndarray) -> np.ndarray:
+        """Log-probability of each word (rows) in each language (columns of ``p``, rows of which are pieces).
+
+        Only as many places as the longest piece reaches back are held, so long words take no more memory than short ones.
+        """
+        order, cut = self._by(self.end)
+        turn = self.reach + 1
+        ring, scale = np.zeros((turn, len(self.length), p.shape[1])), np.zeros((len(self.length), p.shape[1]))
+        ring[0], out = 1, np.zeros_like(scale)
+        for t in range(1, int(self.length.max(initial=0)) + 1):
+            now = ring[t % turn]
+            now[:] = 0
+            if len(e := order[cut[t] : cut[t + 1]]):
+                w, sums = self._step(p, e, ring[self.start[e] % turn, self.word[e]])
+                now[w] = sums
+                if (low := (now < 1e-150) & (now > 0)).any():  # lift the stretch that later pieces can begin in
+                    ring[:, low] *= 1e150
+                    scale[low] -= 150 * math.log(10)
+                whole = self.length[w] == t
+                out[w[whole]] = np.log(now[w[whole]]) + scale[w[whole]]
+        return out
+
+    def _summed(self, p: np.ndarray, at: np.ndarray, source: np.ndarray, stops: range) -> np.ndarray:
+        """Sums over all paths to each place in one language, by place and word."""
+        n, deep = len(self.length), int(self.length.max(initial=0)) + 1
+        total = np.zeros((deep, n, 1))
+        order, cut = self._by(at)
         if stops.step < 0:
             total[self.length, np.arange(n)] = 1
         else:
             total[0] = 1
         for t in stops:
-            e = order[cut[t] : cut[t + 1]]
-            if len(e):
-                w = self.word[e]
-                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                total[t, w[first]] += np.add.reduceat(total[source[e], w] * p[self.piece[e]], first)
-                if stops.step > 0 and (low := (total[t] < 1e-150) & (total[t] > 0)).any():  # lift the stretch that later pieces can begin in
-                    total[max(0, t - MAX_PIECE) : t + 1, low] *= 1e150
-                    scale[low] -= 150 * math.log(10)
-        return total, scale
-
-    def log_sums(self, p: np.ndarray) -> np.ndarray:
-        """Log-probability of each word (rows) in each language (columns of ``p``, rows of which are pieces)."""
-        total, scale = self._summed(p, self.end, self.start, range(1, int(self.length.max(initial=0)) + 1))
-        return np.log(total[self.length, np.arange(len(self.length))]) + scale
+            if len(e := order[cut[t] : cut[t + 1]]):
+                w, sums = self._step(p, e, total[source[e], self.word[e]])
+                total[t, w] += sums
+        return total
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in one language, for words that occur so often."""
         p = p[:, None]
         deep = int(self.length.max(initial=0))
-        ahead, _ = self._summed(p, self.end, self.start, range(1, deep + 1))
-        back, _ = self._summed(p, self.start, self.end, range(deep - 1, -1, -1))
+        ahead = self._summed(p, self.end, self.start, range(1, deep + 1))
+        back = self._summed(p, self.start, self.end, range(deep - 1, -1, -1))
         whole = np.maximum(ahead[self.length, np.arange(len(self.length)), 0], 1e-300)
         use = ahead[self.start, self.word, 0] * p[self.piece, 0] * back[self.end, self.word, 0] * (counts / whole)[self.word]
         return np.bincount(self.piece, weights=use, minlength=len(p))
@@ -115,6 +138,8 @@ class Lattice:
 def fit_language(words: list[str], counts: np.ndarray, pieces: dict[str, int], rounds: int, alpha: float) -> np.ndarray:
     """Piece probabilities by expectation maximisation from equal ones, with ``alpha`` added to each expected count."""
     p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+    by_length = sorted(range(len(words)), key=lambda i: (len(words[i]), words[i]))
+    words, counts = [words[i] for i in by_length], counts[by_length]
     chunks = [(Lattice(words[i : i + CHUNK], pieces), counts[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
     for _ in range(rounds):
         p = sum(c.expected(p, n) for c, n in chunks) + alpha
@@ -133,7 +158,7 @@ class Scorer:
     def words(self, words: list[bytes]) -> np.ndarray:
         """A row for each word: its log-probabilities, and last whether it has a letter."""
         new = [w for w in words if w not in self._row]
-        if len(self._row) + len(new) > REMEMBERED:
+        if (len(self._row) + len(new)) * self._p.shape[1] > CELLS:
             self._row, self._known, new = {}, self._known[:0], words
         if new:
             runs = [letter_runs(w.decode()) for w in new]
@@ -142,7 +167,7 @@ class Scorer:
             logs = np.zeros((len(flat) + 1, self._p.shape[1]))
             i = 0
             while i < len(flat):
-                j = i + max(1, min(CHUNK, 600_000 // (len(flat[min(i + CHUNK, len(flat)) - 1]) + 1)))
+                j = i + max(1, min(CHUNK, 600_000 // (len(flat[min(i + CHUNK, len(flat)) - 1]) + 1), CELLS // (16 * self._p.shape[1])))
                 logs[i : min(j, len(flat))] = Lattice(flat[i:j], self._pieces).log_sums(self._p)
                 i = j
             rows = np.zeros((len(new), self._p.shape[1] + 1))
@@ -185,18 +210,19 @@ def _sample_words(batches):
         for i, lang in enumerate(langs):
             for w in index[offsets[i] : offsets[i + 1]].tolist():
                 for r in runs[w]:
-                    if len(r) <= MAX_TRAIN_WORD:
-                        counts[lang, r] = counts.get((lang, r), 0) + 1
+                    for x in range(0, len(r), TRAIN_WORD):
+                        key = lang, r[x : x + TRAIN_WORD]
+                        counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
 
-def learn(docs: DataFrame, vocabulary_name: str, max_docs_per_lang: int, max_langs: int, rounds: int = 4, alpha: float = 0.05) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, vocabulary_name: str, max_docs_per_lang: int, rounds: int = 4, alpha: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and their piece probabilities (a column each) from ``docs(text, lang, pick)``.
 
-    A language gives at most about ``max_docs_per_lang`` texts, those first by the hash ``pick``, and
-    at most the ``max_langs`` most frequent languages are learnt: bounds of the classifier's sample.
+    A language gives at most about ``max_docs_per_lang`` texts, those first by the hash ``pick``: the bound of
+    the classifier's sample. All languages are learnt; the driver gets one array of the vocabulary's size for each.
     """
-    per = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    per = docs.groupBy("lang").count().orderBy("lang").collect()
     if not per:
         return [], np.empty((len(vocabulary(vocabulary_name)) + 1, 0))
     share = F.create_map(*[F.lit(x) for r in per for x in (r[0], min(1.0, max_docs_per_lang / r[1]))])
@@ -212,19 +238,20 @@ def learn(docs: DataFrame, vocabulary_name: str, max_docs_per_lang: int, max_lan
     return [m[0] for m in models], np.stack([np.frombuffer(m[1], np.float32) for m in models], axis=1).astype(float) if models else np.empty((0, 0))
 
 
-def identify(docs: DataFrame, held_out: str = "crc32(coalesce(cast(doc_id as string), '')) % 4 = 2", vocabulary_name: str = "piece_bpe_32k.model", max_docs_per_lang: int = 1500, max_langs: int = 256) -> DataFrame:
+def identify(docs: DataFrame, held_out: str = "crc32(coalesce(cast(doc_id as string), '')) % 4 = 2", vocabulary_name: str = "piece_bpe_32k.model", max_docs_per_lang: int = 1500) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row of ``docs(doc_id, text, lang)``.
 
     Learns from rows with a language that are not held out; predicts from the text alone. ``score``
     is the language's posterior probability under equal priors. Null texts and texts without a letter
     are ``und`` with score 0, and so is everything if there is nothing to learn from. Equal
-    probabilities go to the first language by name. Repeated rows are judged alike.
+    probabilities go to the first language by name. Repeated rows are judged alike. A row without id trains like
+    id "". Texts and letter runs may be of any length; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select("doc_id", "text", "lang", F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"))
     train = rows.where("not held_out and lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("pick"))
-    langs, p = learn(train, vocabulary_name, max_docs_per_lang, max_langs)
+    langs, p = learn(train, vocabulary_name, max_docs_per_lang)
     model = spark.sparkContext.broadcast((langs, p))
     key = f"{spark.sparkContext.applicationId}-{model.id if hasattr(model, 'id') else id(model)}-{hash((tuple(langs), p.tobytes()))}"
     return rows.select("doc_id", "held_out", "text").mapInArrow(lambda b: _predicted(b, key, model, vocabulary_name), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -42,6 +42,15 @@ def test_long_words_do_not_underflow():
     assert got[1, 0] == pytest.approx(math.log(all_sums("ab", p[:, 0])))
 
 
+def test_very_long_runs_and_many_languages(spark):
+    p = np.full((len(PIECES) + 1, 50), 0.1)
+    assert m.Lattice(["ab" * 100_000], PIECES).log_sums(p).shape == (1, 50)
+    rows = [(i, f"word{'abcdefghijklmnopqrstuvwxyz'[i % 26] * 3} {chr(97 + i // 26)}zz " * 3, f"l{i:03}") for i in range(300)] + [(1000, "x" * 1_000_000, None), (1001, "wordaaa azz " * 100_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in m.identify(docs, held_out="false").collect()}
+    assert len({r.lang_pred for r in got.values()}) > 256 and got[1001].lang_pred == "l000"
+
+
 def test_expectations_raise_the_likelihood():
     words, counts = ["ab", "aba", "b", "abab"], np.array([5.0, 3, 1, 2])
     last = -math.inf
