@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,16 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared checkpoint folder and read back.
 
     Cuts the lineage, so that a lost executor costs no recomputation from the texts, and lets later
-    steps read single columns. The folder is the session's ``spark.checkpoint.dir``; only where that
-    is unset (tests) a temporary one is made.
+    steps read single columns. The folder is the session's ``spark.checkpoint.dir``; where that is
+    unset, a local session makes a temporary one, and on a cluster this is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import written
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """``(id, component_id)`` for every id in ``links(a, b)``; the component is named by its smallest id.
 
     Large-star, then small-star: every node hands its neighbours over to the smallest one it knows.
@@ -19,7 +19,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
@@ -31,7 +31,5 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     stars = pairs.select(F.col("b").alias("id"), F.col("a").alias("component_id"))
     return stars.unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("component_id"))).groupBy("id").agg(F.min("component_id").alias("component_id"))

@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, block_by
     found = written(rows.mapInArrow(lambda b: _profiles(b, words), "doc_id long, n_shingles long, set_hash binary"))
     classes = written(found.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block")
-    blocks = rows.select("*", block)
+    # A class is named by an id, so rows without one have nothing to send.
+    blocks = rows.where("doc_id is not null").select("*", block)
     reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "set_hash").select("*", block)
 
     def asked(key, texts, of):

@@ -44,6 +44,19 @@ def test_each_stage_takes_effect(spark, folder):
     assert "hunter2222" not in docs.where("doc_id = 103").first().text
 
 
+def test_rows_without_id_and_texts_under_one_id(spark):
+    long = " ".join(prose(9, 200_000))
+    texts = {x: " ".join(prose(x)) for x in range(1, 7)}
+    rows = [(1, texts[1]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[1]), (3, texts[3]), (3, texts[4]), (3, texts[3]), (4, texts[4]), (5, None), (6, None), (None, ""), (7, long), (8, long + " more")]
+    docs = spark.createDataFrame([(*r, "en", f"s{i}", 0, i) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _row int")
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    want = sorted([(1, texts[1]), (None, texts[2]), (3, texts[3]), (3, texts[4]), (5, None), (6, None), (None, ""), (7, long)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == want
+    again = corpus_pipeline.one_of_each_group(spark, docs.repartition(7), "")
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
+
+
 def test_run_agrees_with_the_parts_on_the_test_tables(spark, small):
     got = corpus_pipeline.run(spark, small).collect()
     texts = {r[0]: r[1] for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
