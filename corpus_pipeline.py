@@ -1,7 +1,7 @@
 """From raw documents to a mix for training, in five stages; each works on all that the one before kept.
 
 quality: texts that the rules reject go. near_duplicates: of each group of near copies (five-word
-shingles, similarity 0.8 or more) the document with the smallest id stays. decontaminate: texts that
+shingles, similarity 0.8 or more) the document with the smallest id stays (without one: the first by its text's hash). decontaminate: texts that
 cover a benchmark item go. secrets: secrets in texts are replaced by a mark. mix: how many words of
 each document the mix takes; this last stage returns the operator's table.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.functions.storage import numbered
 from tallymark.llm.common import table, written
 from tallymark.llm.op1_decontamination import drop_contaminated
 from tallymark.llm.op5_quality_rules import keep_good
@@ -27,17 +28,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """One row for each id and text, with a number ``name`` in the order of ids (null last) and of the texts' hashes.
+
+    Of rows with the same id and text the one stays whose other columns come first.
+    """
+    columns = docs.columns
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"{name}_text"))
+    once = keyed.groupBy(F.col("doc_id").alias(f"{name}_id"), f"{name}_text").agg(F.min(F.struct(*columns)).alias("row"))
+    order = [F.col(f"{name}_id").isNull(), F.coalesce(f"{name}_id", F.lit(0)), F.col(f"{name}_text")]
+    return numbered(once, order, name).select("row.*", F.col(name).cast("long").alias(name))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id stay unless a text with an id has the same shingles; of rows with one id one stays."""
-    groups = written(near_duplicates(docs))
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    """Of each group the row with the smallest id stays.
+
+    Rows without an id, and different texts under one id, are documents of their own and come after smaller ids, in the order
+    of their texts' hashes; a row that stands repeatedly counts once. Texts without words all stay.
+    """
+    columns, key = docs.columns, "doc_id"
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        key = "_row"
+        while key in columns:
+            key = f"_{key}"
+        docs = written(with_row_ids(docs, key))
+    groups = near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
     if gone.count() <= MAX_BROADCAST_IDS:  # else the texts are shuffled to their ids
         gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if groups.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count():
-        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.where("doc_id is null"))
-    return kept
+    return docs.join(gone, key, "left_anti").select(columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
