@@ -117,7 +117,7 @@ def mails(spark, sf_dir) -> DataFrame:
     sender = box(F.concat(F.lit("Maria Nummer"), F.lit("")), F.concat(F.lit("p"), (i % 11).cast("string"), F.lit("@"), "source", F.lit(".example")))
     return read(spark, sf_dir, "documents").select(
         "doc_id", i.cast("string").alias("id"), i.alias("position"), sender.alias("sender"), F.when(i % 3 == 0, F.array(me, other)).otherwise(F.array(other)).alias("to"), F.when(i % 3 == 1, F.array(me)).otherwise(F.array().cast(f"array<{pseudonyms.MAILBOX}>")).alias("cc"),
-        F.substring("text", 1, 60).alias("subject"), text.truncate_text(F.col("text")).alias("body"),
+        F.substring("text", 1, 60).alias("subject"), F.col("text").alias("body"),
     )
 
 
@@ -150,7 +150,8 @@ def infer_identity(spark, sf_dir):
     return spark.createDataFrame([pseudonyms.infer_identity(mails(spark, sf_dir))], "addr string, name string")
 
 
-_MENTIONS = "select doc_id as pos, [lower(w) for w in regexp_extract_all(left(text, 200), '[A-Za-z]{3,}')[1:1 + doc_id % 2]] as tokens from documents"
+#: Every word of every text begins a mention, of one word or of two in turn.
+_MENTIONS = "select doc_id * 1000000 + i as pos, w[i:i + i % 2] as tokens from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z]{3,}')] as w from documents))"
 
 
 @query(
@@ -162,8 +163,9 @@ ids as (select key, row_number() over (order by first, key) as person_id from ow
 select o.key, i.person_id from owned o join ids i on i.key = o.owner"""
 )
 def person_ids(spark, sf_dir):
-    words = F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[A-Za-z]{3,}"), F.lit(0))
-    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("at"), F.transform(F.slice(words, F.lit(1), (1 + F.col("doc_id") % 2).cast("int")), lambda w: F.lower(w)).alias("tokens"))
+    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
+    each = F.transform(words, lambda w, i: F.struct((F.col("doc_id") * 1_000_000 + i + 1).alias("at"), F.array_compact(F.array(w, F.when(i % 2 == 0, F.get(words, i + 1)))).alias("tokens")))
+    rows = read(spark, sf_dir, "documents").select(F.inline(each))
     return pseudonyms.person_ids(rows, [])
 
 

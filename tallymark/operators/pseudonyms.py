@@ -59,12 +59,6 @@ def person_ids(mentions: DataFrame, own_tokens: list[str]) -> DataFrame:
     return owned.join(ids, "owner").select("key", "person_id")
 
 
-def domain_has_name(domain: Column, tokens: Column) -> Column:
-    """Does a label of the domain, its last one aside, contain a name token?"""
-    labels = F.split(F.lower(domain), r"\.")
-    return F.exists(F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: F.exists(tokens, lambda t: F.contains(x, t)))
-
-
 def mask_domains(domains: DataFrame, tokens: DataFrame) -> DataFrame:
     """``(domain, has_name, shown)`` of distinct domains against ``tokens(token)``.
 
@@ -111,6 +105,9 @@ def find_spans(texts: DataFrame, tokens: DataFrame, recognized: DataFrame | None
     rows = texts.join(hits, ["id", "field"], "left")
     rows = rows.join(recognized, ["id", "field"], "left") if recognized is not None else rows.withColumn("found", F.lit(None).cast("array<struct<start:int,end:int>>"))
 
+    named = F.filter("found", lambda x: spans.plausible(F.substr("text", x.start + 1, x.end - x.start)))
+    rows = rows.withColumn("found", named)
+
     @F.pandas_udf(SPANS)
     def spans_of(text: pd.Series, known: pd.Series, found: pd.Series) -> pd.Series:
         one = lambda t, k, f: [tuple(s) for s in spans.find(t, set(k) if k is not None else set(), [(x["start"], x["end"]) for x in f] if f is not None else [])]
@@ -119,24 +116,31 @@ def find_spans(texts: DataFrame, tokens: DataFrame, recognized: DataFrame | None
     return rows.withColumn("spans", spans_of("text", "known", "found")).drop("known", "found")
 
 
-def rewritten(pieces: DataFrame) -> DataFrame:
-    """Texts with placeholders: ``pieces(id, field, text, start, end, shown)``, a row for each span."""
-    by_text = pieces.groupBy("id", "field").agg(F.first("text").alias("text"), F.array_sort(F.collect_list(F.struct("start", "end", "shown"))).alias("p"))
-    gap = F.transform("p", lambda x, i: F.concat(F.substring(F.col("text"), F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)["end"]) + 1, x.start - F.when(i == 0, F.lit(0)).otherwise(F.get("p", i - 1)["end"])), x.shown))
+def rewritten(texts: DataFrame, shown: DataFrame) -> DataFrame:
+    """``texts(id, field, text)`` with placeholders from ``shown(id, field, start, end, shown)``, a row for each span; texts without spans are left out."""
+    places = shown.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("start", "end", "shown"))).alias("p"))
+    last = lambda i: F.when(i > 0, F.get("p", i - 1)["end"]).otherwise(0)
+    pieces = F.transform("p", lambda x, i: F.concat(F.substring(F.col("text"), last(i) + 1, x.start - last(i)), x.shown))
     tail = F.substring(F.col("text"), F.element_at("p", -1)["end"] + 1, F.length("text"))
-    return by_text.select("id", "field", F.concat(F.array_join(gap, ""), tail).alias("text"))
+    return texts.join(places, ["id", "field"]).select("id", "field", F.concat(F.array_join(pieces, ""), tail).alias("text"))
+
+
+def owner_of(mails: DataFrame, own_addr: str | None) -> tuple[str | None, str | None]:
+    """The owner's address and name: as told, or inferred; a name is known only for the inferred address."""
+    addr, name = infer_identity(mails)
+    if own_addr:
+        return own_addr.lower(), name if own_addr.lower() == addr else None
+    return addr, name
 
 
 def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Messages with placeholders, and counts of replacements by kind.
 
-    Gives ``(id, sender, direct, recipients, subject, text)``. Two passes: people known from headers first,
-    then all texts. Domains are masked by all tokens, whatever their position.
+    Gives ``(id, date, sender, direct, recipients, is_list, attachments, subject, text)``, what render_email()
+    takes; date, is_list and attachments are null where ``mails`` has no such column. Two passes: people known from headers
+    first, then all texts. Domains are masked by all tokens, whatever their position. Texts are joined once, spans travel without them.
     """
-    found_addr, own_name = infer_identity(mails)
-    own = (own_addr or found_addr or "").lower() or None
-    if own != found_addr:
-        own_name = None
+    own, own_name = owner_of(mails, own_addr)
     spark = mails.sparkSession
     own_tokens = spark.createDataFrame([(own_name or "",)], "n string").select(names.name_tokens(names.normalize_name(F.col("n")))).first()[0]
     header = materialized(header_mentions(mails, own))
@@ -148,7 +152,8 @@ def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized:
     fields = F.explode(F.array(F.struct(F.lit(1).alias("field"), F.when(~person, F.col("sender.name")).alias("text")), F.struct(F.lit(2).alias("field"), F.col("subject").alias("text")), F.struct(F.lit(3).alias("field"), F.col("body").alias("text"))))
     texts = mails.select("id", "position", fields.alias("x")).select("id", "position", "x.*").where(F.length("text") > 0)
     marked = materialized(find_spans(texts, tokens, recognized))
-    each = marked.select("id", "position", "field", "text", F.explode("spans").alias("s")).select("id", "position", "field", "text", "s.*").withColumn("value", F.expr("substring(text, start + 1, end - start)"))
+    valued = F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"), F.substr("text", s.start + 1, s.end - s.start).alias("value")))
+    each = marked.select("id", "position", "field", F.explode(valued).alias("s")).select("id", "position", "field", "s.*")
     at = F.struct(F.lit(1).alias("step"), "position", "field", "start")
     each = materialized(each.select("*", at.alias("at"), names.name_tokens(names.normalize_name(F.col("value"))).alias("tokens")))
     senders = mails.where("sender is not null").select("id", F.struct(F.lit(1).alias("step"), "position", F.lit(0).alias("field"), F.lit(0).alias("start")).alias("at"), F.lower("sender.addr").alias("addr"), F.col("sender.name").alias("name"), person.alias("person"), names.name_tokens(names.normalize_name(F.coalesce(F.col("sender.name"), F.lit("")))).alias("tokens"))
@@ -169,12 +174,13 @@ def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized:
     out = shown_person(each).withColumn("addr", F.when(F.col("kind") == "EMAIL", F.lower("value"))).join(addresses, "addr", "left")
     out = out.withColumn("domain", F.when(F.col("kind") == "URL", url_host(F.col("value")))).join(domains, "domain", "left")
     url = F.when(F.col("domain").isNotNull(), F.concat(F.lit("[URL:"), F.coalesce("shown", "domain"), F.lit("]"))).otherwise("[URL]")
-    pieces = out.select("id", "field", "text", "start", "end", F.when(F.col("kind") == "PERSON", F.col("shown_person")).when(F.col("kind") == "EMAIL", F.col("placeholder")).when(F.col("kind") == "URL", url).otherwise(tags[F.col("kind")]).alias("shown"))
-    new = rewritten(pieces).groupBy("id").agg(*(F.max(F.when(F.col("field") == i, F.col("text"))).alias(f"new_{i}") for i in (1, 2, 3)))
+    pieces = out.select("id", "field", "start", "end", F.when(F.col("kind") == "PERSON", F.col("shown_person")).when(F.col("kind") == "EMAIL", F.col("placeholder")).when(F.col("kind") == "URL", url).otherwise(tags[F.col("kind")]).alias("shown"))
+    new = rewritten(marked.select("id", "field", "text"), pieces).groupBy("id").agg(*(F.max(F.when(F.col("field") == i, F.col("text"))).alias(f"new_{i}") for i in (1, 2, 3)))
     sent = shown_person(senders).join(addresses, "addr", "left").select("id", F.col("placeholder").alias("from_addr"), "shown_person", "name", "person")
     both = mails.join(new, "id", "left").join(sent, "id", "left")
     size = F.coalesce(F.size("to"), F.lit(0)) + F.coalesce(F.size("cc"), F.lit(0))
-    records = both.select("id", format_sender().alias("sender"), F.coalesce(F.exists("to", lambda m: m.addr == F.lit(own)), F.lit(False)).alias("direct"), size.alias("recipients"), F.coalesce("new_2", "subject").alias("subject"), F.coalesce("new_3", "body").alias("text"))
+    kept = lambda name, kind: (F.col(name) if name in mails.columns else F.lit(None)).cast(kind).alias(name)
+    records = both.select("id", kept("date", "string"), format_sender().alias("sender"), F.coalesce(F.exists("to", lambda m: m.addr == F.lit(own)), F.lit(False)).alias("direct"), size.alias("recipients"), kept("is_list", "boolean"), kept("attachments", "int"), F.coalesce("new_2", "subject").alias("subject"), F.coalesce("new_3", "body").alias("text"))
     return records, replacement_stats(marked)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.functions.labels import FIELDS, Field, label, long_form, rate, unlabel
+from tallymark.functions.labels import FIELDS, Field, long_form, rate, unlabel
 
 
 def draw_sample(records: DataFrame, n: int, seed: int, texts: tuple[str, ...] = ("text", "subject")) -> DataFrame:
@@ -149,7 +149,3 @@ def evaluation_set(emails: DataFrame, truth: DataFrame) -> DataFrame:
     if truth.join(emails, "id", "left_anti").limit(1).count():
         raise ValueError("labels without an email")
     return emails.join(truth, "id", "left_semi")
-
-
-def labels_text(struct: str, fields: tuple[Field, ...] = FIELDS) -> list[Column]:
-    return [label(F.col(f"{struct}.{f.name}"), f).alias(f.name) for f in fields]

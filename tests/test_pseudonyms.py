@@ -72,3 +72,16 @@ def test_recognizer_hook(spark):
     assert {r.id: [tuple(x) for x in r.found] for r in got.collect()} == {1: [(0, 4)], 2: []}
     marked = p.find_spans(texts, spark.createDataFrame([], "token string"), got)
     assert {r.id: len(r.spans) for r in marked.collect()} == {1: 1, 2: 0}
+
+
+def test_implausible_names_are_dropped(spark):
+    text = "Anna kam, Hallo Anna, Muster GmbH, anna"
+    places = [(0, 4), (10, 20), (22, 33), (35, 39)]
+    found = spark.createDataFrame([(1, "body", [{"start": a, "end": b} for a, b in places])], "id long, field string, found array<struct<start:int,end:int>>")
+    got = p.find_spans(spark.createDataFrame([(1, "body", text)], "id long, field string, text string"), spark.createDataFrame([], "token string"), found).first().spans
+    assert [(x.start, x.end) for x in got if x.start == 0] == [(0, 4)] and not any(x.start >= 22 for x in got)
+
+
+@pytest.mark.parametrize(("spans", "want"), [([(0, 5, "PERSON"), (3, 9, "EMAIL")], [(3, 9)]), ([(0, 5, "NUMBER"), (0, 7, "NUMBER")], [(0, 7)]), ([(0, 2, "PHONE"), (1, 3, "PHONE"), (2, 4, "PHONE")], [(0, 2), (2, 4)]), ([(4, 4, "URL")], [])])
+def test_overlaps(spans, want):
+    assert [(x.start, x.end) for x in s.resolved([s.Span(*x) for x in spans])] == want
