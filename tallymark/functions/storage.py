@@ -24,21 +24,27 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[Column], name: str, amount: Column | None = None) -> DataFrame:
-    """Adds row numbers from 1 over the whole table in an order without ties; or, with ``amount``, what was summed up before each row.
+def numbered(df: DataFrame, order: list[Column], name: str, amount: Column | None = None, within: tuple[str, ...] = ()) -> DataFrame:
+    """Adds row numbers from 1 in an order without ties, over the whole table or ``within`` groups; or, with ``amount``, what was summed up before each row.
 
-    A window without partitions would be one task. Here rows are dealt by ranges, numbered inside each
-    range, and shifted by the totals of the ranges before; only these totals, one row a range, meet
-    in one place. The dealt rows are written in between, since range bounds are sampled.
+    A window over the table or over a hot group would be one task. Here rows are dealt by ranges, numbered
+    inside each range, and shifted by the totals of the ranges before; only these totals, a row for each range and
+    group in it, meet. The dealt rows are written in between, since range bounds are sampled.
     """
-    keys = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    ranged = materialized(df.select("*", *keys).repartitionByRange(*[F.col(f"_o{i}") for i in range(len(order))]).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*[f"_o{i}" for i in range(len(order))])
+    keys = [*map(F.col, within), *order]
+    columns = [f"_o{i}" for i in range(len(keys))]
+    groups, inner = columns[: len(within)], columns[len(within) :]
+    ranged = materialized(df.select("*", *(k.alias(c) for k, c in zip(keys, columns, strict=True))).repartitionByRange(*map(F.col, columns)).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part", *groups).orderBy(*inner)
     each = F.lit(1) if amount is None else amount
-    totals = ranged.groupBy("_part").agg(F.sum(each).alias("_n"))
-    before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    totals = ranged.groupBy("_part", *groups).agg(F.sum(each).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("_part").alias("_at"), *(F.col(g).alias(f"_b{g}") for g in groups), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    same = F.col("_part") == F.col("_at")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_b{g}"))
     if amount is None:
         value = F.row_number().over(inside) + F.col("_before")
     else:
         value = F.coalesce(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.col("_before")
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, value).select(*df.columns, name)
+    return ranged.join(before if within else F.broadcast(before), same).withColumn(name, value).select(*df.columns, name)

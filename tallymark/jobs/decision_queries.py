@@ -94,6 +94,16 @@ def vote_summary(spark, log, sf_dir):
     return v.vote_summary(fx.truth(log), 3)
 
 
+@query(CTES + "select count(*) as emails, count_if(o > 0) as emails_open, cast(sum(o) as bigint) as fields_open, (select round(sum(cost_usd), 4) from log where model in ('j0','j1','j2')) as cost_usd from (select id, count_if(actual is null) as o from truth group by id)")
+def vote_totals(spark, log, sf_dir):
+    return v.vote_totals(fx.truth(log), fx.judges(log))
+
+
+@query(CTES + "select model, split_part(error, ':', 1) as kind, count(*) as n from log where model in ('j0','j1','j2') and error is not null group by all")
+def judge_error_kinds(spark, log, sf_dir):
+    return v.error_kinds(fx.judges(log), ["model"])
+
+
 @query(CTES + "select v.model, v.field, round(count_if(v.label = t.actual) / count(*), 3) as agreement from votes v join truth t using (id, field) where t.actual is not null group by all")
 def agreement_with_majority(spark, log, sf_dir):
     return v.agreement_with_majority(fx.judge_answers(log), fx.truth(log))
@@ -211,14 +221,8 @@ def certainty(spark, log, sf_dir):
     return log.select("seq", F.round(m.certainty("confidence", "noul"), 6).alias("certainty"))
 
 
-def first_runs(log: DataFrame, model: str) -> DataFrame:
-    """Of each id the last valid call of run 1, with its certainty."""
-    rows = log.where((F.col("model") == model) & (F.col("run") == 1) & F.col("answer").isNotNull()).withColumn("certainty", F.round(m.certainty("confidence", "noul"), 6))
-    return rows.groupBy("dataset", "id").agg(*(F.max_by(c, "seq").alias(c) for c in ("answer", "cost_usd", "latency_ms", "certainty")))
-
-
 def sweep_of(log: DataFrame) -> DataFrame:
-    return m.hybrid_sweep(first_runs(log, "primary"), first_runs(log, "fallback"), fx.truth(log))
+    return m.hybrid_sweep(m.first_runs(log, "primary"), m.first_runs(log, "fallback"), fx.truth(log))
 
 
 def _first(model: str) -> str:

@@ -217,8 +217,9 @@ def residual_audit(spark, sf_dir):
 
 @query()
 def prepare_summary(spark, sf_dir):
-    records, stats = pseudonyms.anonymize_corpus(mails(spark, sf_dir))
-    return pseudonyms.prepare_summary(records, stats, pseudonyms.residual_audit(records))
+    rows = mails(spark, sf_dir)
+    records, stats = pseudonyms.anonymize_corpus(rows)
+    return pseudonyms.prepare_summary(records, stats, pseudonyms.residual_audit(records), tokens=pseudonyms.header_names(rows)[-1])
 
 
 @query()
@@ -226,9 +227,22 @@ def draw_sample(spark, sf_dir):
     return votes.draw_sample(mails(spark, sf_dir).select("id", F.col("body").alias("text"), "subject"), 50, 42)
 
 
-@query("select doc_id, md5('&lt;' || source || '&gt; <mark>[PERSON_1]</mark>') as marked from documents")
+def _marked(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"regexp_replace({x}, '(\\[[A-Z_]+(_[0-9]+)?(:[^\\]]*)?\\])', '<mark>\\1</mark>', 'g')"
+
+
+_SHOWN = "regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL_1]', 'g')"
+
+
+@query(f"select doc_id, md5({_marked('text')}) as text_before, md5({_marked(_SHOWN)}) as text_after from documents where length(text) > 0")
 def review_sample(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(pseudonyms.mark_placeholders(F.concat(F.lit("<"), "source", F.lit("> [PERSON_1]")))).alias("marked"))
+    """All documents are drawn: the two sides of each, with addresses replaced on the second."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    records = docs.withColumn("text", F.regexp_replace("text", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL_1]"))
+    got = pseudonyms.review_sample(docs, records, docs.count(), 42, ("text",))
+    return got.select(F.col("id").alias("doc_id"), F.md5("text_before").alias("text_before"), F.md5("text_after").alias("text_after"))
 
 
 def _scenarios(spark, sf_dir) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.labels import FIELDS, Field, long_form, rate
+from tallymark.functions.labels import FIELDS, Field, long_form, quantiles, rate
 
 GROUP = ["dataset", "model"]
 THRESHOLDS = (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01)
@@ -81,9 +81,9 @@ def run_consistency(answers: DataFrame, fields: tuple[Field, ...] = FIELDS) -> D
     return rows.groupBy(*GROUP, "x.field").agg(rate(F.count_if("x.same"), F.count("*")).alias("consistency"))
 
 
-def latency_stats(log: DataFrame) -> DataFrame:
-    """Median, 95th percentile (interpolated) and mean over valid answers."""
-    p = F.percentile("latency_ms", F.array(F.lit(0.5), F.lit(0.95)))
+def latency_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Median, 95th percentile (interpolated; approximate with ``accuracy``) and mean over valid answers."""
+    p = quantiles(F.col("latency_ms"), [0.5, 0.95], accuracy)
     got = log.where("answer is not null").groupBy(*GROUP).agg(p.alias("p"), F.avg("latency_ms").alias("mean"))
     return got.select(*GROUP, F.round(F.col("p")[0], 1).alias("p50"), F.round(F.col("p")[1], 1).alias("p95"), F.round("mean", 1).alias("mean"))
 
@@ -118,6 +118,12 @@ def certainty(confidence: str | Column, noul: str | Column) -> Column:
     return F.coalesce(F.array_min(F.concat(known, far)), F.lit(0.0))
 
 
+def first_runs(log: DataFrame, model: str) -> DataFrame:
+    """Of each id the model's last valid call of run 1, with its certainty."""
+    rows = log.where((F.col("model") == model) & (F.col("run") == 1) & F.col("answer").isNotNull()).withColumn("certainty", F.round(certainty("confidence", "noul"), 6))
+    return rows.groupBy("dataset", "id").agg(*(F.max_by(c, "seq").alias(c) for c in ("answer", "cost_usd", "latency_ms", "certainty")))
+
+
 def hybrid_sweep(primary: DataFrame, fallback: DataFrame, truth: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """What routing gives: answers of the primary model, or the fallback's where certainty is below a threshold.
 
@@ -151,7 +157,7 @@ def hybrid_best(sweep: DataFrame, named: float) -> DataFrame:
 
 def generator_bias(flags: DataFrame, generators: DataFrame, families: dict[str, str]) -> DataFrame:
     """Share of all-correct answers by model and by the generator of the message, with its family."""
-    family = F.create_map(*(F.lit(x) for kv in families.items() for x in kv))[F.col("generator")]
+    family = F.create_map(*(F.lit(x) for kv in families.items() for x in kv))[F.col("generator")] if families else F.lit(None).cast("string")
     return flags.join(generators, "id").groupBy(*GROUP, "generator").agg(F.count("*").alias("n"), rate(F.count_if("correct"), F.count("*")).alias("all_correct")).withColumn("family", family)
 
 
@@ -209,12 +215,12 @@ def mcnemar_pairs(flags: DataFrame) -> DataFrame:
     return counts.withColumn("p", mcnemar_p("only_a", "only_b"))
 
 
-def latency_box(log: DataFrame) -> DataFrame:
-    """Quartiles and whiskers: the furthest valid latencies within 1.5 times the quartiles' distance."""
+def latency_box(log: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Quartiles (approximate with ``accuracy``) and whiskers: the furthest valid latencies within 1.5 times the quartiles' distance."""
     valid = log.where("answer is not null")
-    q = valid.groupBy(*GROUP).agg(F.percentile("latency_ms", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = valid.groupBy(*GROUP).agg(quantiles(F.col("latency_ms"), [0.25, 0.5, 0.75], accuracy).alias("q"))
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
-    both = valid.join(F.broadcast(q), GROUP).where(F.col("latency_ms").between(F.col("q")[0] - reach, F.col("q")[2] + reach))
+    both = valid.join(q, GROUP).where(F.col("latency_ms").between(F.col("q")[0] - reach, F.col("q")[2] + reach))
     got = both.groupBy(*GROUP).agg(F.first("q").alias("q"), F.min("latency_ms").alias("low"), F.max("latency_ms").alias("high"))
     return got.select(*GROUP, *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "low", "high")
 

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 from tallymark.functions import names, spans
 from tallymark.functions.storage import materialized, numbered
+from tallymark.functions.text import detect_language
+from tallymark.operators.votes import draw_sample
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
 MAILBOX = "struct<name:string,addr:string>"
@@ -133,13 +135,8 @@ def owner_of(mails: DataFrame, own_addr: str | None) -> tuple[str | None, str |
     return addr, name
 
 
-def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Messages with placeholders, and counts of replacements by kind.
-
-    Gives ``(id, date, sender, direct, recipients, is_list, attachments, subject, text)``, what render_email()
-    takes; date, is_list and attachments are null where ``mails`` has no such column. Two passes: people known from headers
-    first, then all texts. Domains are masked by all tokens, whatever their position. Texts are joined once, spans travel without them.
-    """
+def header_names(mails: DataFrame, own_addr: str | None = None) -> tuple[str | None, list[str], DataFrame, DataFrame]:
+    """The owner's address and name tokens, people in headers, and the known ``tokens(token)``: those of people in headers and of the owner."""
     own, own_name = owner_of(mails, own_addr)
     spark = mails.sparkSession
     own_tokens = spark.createDataFrame([(own_name or "",)], "n string").select(names.name_tokens(names.normalize_name(F.col("n")))).first()[0]
@@ -147,7 +144,17 @@ def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized:
     tokens = header.select(F.explode("tokens").alias("token"))
     if own_tokens:
         tokens = tokens.unionByName(spark.createDataFrame([(t,) for t in own_tokens], "token string"))
-    tokens = materialized(tokens.distinct())
+    return own, own_tokens, header, materialized(tokens.distinct())
+
+
+def anonymize_corpus(mails: DataFrame, own_addr: str | None = None, recognized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Messages with placeholders, and counts of replacements by kind.
+
+    Gives ``(id, date, sender, direct, recipients, is_list, attachments, subject, text)``, what render_email()
+    takes; date, is_list and attachments are null where ``mails`` has no such column. Two passes: people known from headers
+    first, then all texts. Domains are masked by all tokens, whatever their position. Texts are joined once, spans travel without them.
+    """
+    own, own_tokens, header, tokens = header_names(mails, own_addr)
     person = names.looks_like_person(F.col("sender.name"), F.col("sender.addr"))
     fields = F.explode(F.array(F.struct(F.lit(1).alias("field"), F.when(~person, F.col("sender.name")).alias("text")), F.struct(F.lit(2).alias("field"), F.col("subject").alias("text")), F.struct(F.lit(3).alias("field"), F.col("body").alias("text"))))
     texts = mails.select("id", "position", fields.alias("x")).select("id", "position", "x.*").where(F.length("text") > 0)
@@ -210,11 +217,12 @@ def residual_audit(records: DataFrame, columns: tuple[str, ...] = ("sender", "su
     return sums.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kept))).alias("x")).select("x.*")
 
 
-def prepare_summary(records: DataFrame, stats: DataFrame, residual: DataFrame, unreadable: int = 0) -> DataFrame:
-    """One row: written messages, those without text, replaced and left-over patterns as maps."""
+def prepare_summary(records: DataFrame, stats: DataFrame, residual: DataFrame, unreadable: int = 0, tokens: DataFrame | None = None) -> DataFrame:
+    """One row: files, unreadable ones, written messages, those without text, known name tokens (null if not given), replaced and left-over patterns as maps."""
     as_map = lambda df, n: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias(n))
-    row = records.agg(F.count("*").alias("written"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("without_text")).withColumn("unreadable", F.lit(unreadable))
-    return row.join(F.broadcast(as_map(stats, "replaced"))).join(F.broadcast(as_map(residual, "residual")))
+    row = records.agg(F.count("*").alias("written"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("without_text")).withColumn("unreadable", F.lit(unreadable)).withColumn("files", F.col("written") + F.col("unreadable"))
+    known = tokens.agg(F.count("*").alias("known_tokens")) if tokens is not None else records.sparkSession.createDataFrame([(None,)], "known_tokens long")
+    return row.join(F.broadcast(known)).join(F.broadcast(as_map(stats, "replaced"))).join(F.broadcast(as_map(residual, "residual")))
 
 
 def mark_placeholders(text: Column) -> Column:
@@ -224,13 +232,33 @@ def mark_placeholders(text: Column) -> Column:
     return F.regexp_replace(text, r"(\[[A-Z_]+(?:_[0-9]+)?(?::[^\]]*)?\])", "<mark>$1</mark>")
 
 
-def name_spans(texts: DataFrame, recognize: Callable[[list[str]], list[list[tuple[int, int]]]], batch: int = 64) -> DataFrame:
-    """Runs an external recognizer over ``texts(id, field, text)`` in batches; gives ``(id, field, found)``."""
+def review_sample(originals: DataFrame, records: DataFrame, n: int, seed: int, columns: tuple[str, ...] = ("subject", "text")) -> DataFrame:
+    """``n`` drawn records, always the same for a seed, beside their originals: ``<column>_before`` and ``<column>_after``, as HTML with placeholders marked."""
+    some = draw_sample(records.select("id", *columns), n, seed, columns).select("id", *(mark_placeholders(F.col(c)).alias(f"{c}_after") for c in columns))
+    return originals.select("id", *(mark_placeholders(F.col(c)).alias(f"{c}_before") for c in columns)).join(some, "id").select("id", *(f"{c}_{side}" for c in columns for side in ("before", "after")))
+
+
+Recognizer = Callable[[list[str]], list[list[tuple[int, int]]]]
+
+
+def name_spans(texts: DataFrame, recognize: Recognizer | dict[str, Recognizer], batch: int = 64) -> DataFrame:
+    """Runs an external recognizer over ``texts(id, field, text)`` in batches; gives ``(id, field, found)``.
+
+    With recognizers by language each text goes to the one of its detected language, without spans where there is none.
+    """
+    by_language = isinstance(recognize, dict)
+    lang = detect_language(F.coalesce("text", F.lit(""))) if by_language else F.lit("")
+
+    def spans_of(lang: str, part: list[str]) -> list[list[tuple[int, int]]]:
+        of = recognize.get(lang) if by_language else recognize
+        return of(part) if of else [[] for _ in part]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [x for i in range(0, len(pdf), batch) for x in recognize(pdf["text"].fillna("").tolist()[i : i + batch])]
-            yield pd.DataFrame({"id": pdf["id"], "field": pdf["field"], "found": [[{"start": a, "end": b} for a, b in x] for x in found]})
+            for lang, rows in pdf.groupby("lang", sort=False):
+                listed = rows["text"].fillna("").tolist()
+                found = [x for i in range(0, len(listed), batch) for x in spans_of(lang, listed[i : i + batch])]
+                yield pd.DataFrame({"id": rows["id"], "field": rows["field"], "found": [[{"start": a, "end": b} for a, b in x] for x in found]})
 
     schema = T.StructType([texts.schema["id"], texts.schema["field"], T.StructField("found", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    return texts.select("id", "field", "text").mapInPandas(run, schema)
+    return texts.select("id", "field", "text", lang.alias("lang")).mapInPandas(run, schema)

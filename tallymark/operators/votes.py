@@ -6,10 +6,11 @@ Logs have ``(seq, model, id, run, answer struct, error, latency_ms, tokens_in, t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.labels import FIELDS, Field, long_form, rate, unlabel
+from tallymark.functions.labels import FIELDS, Field, long_form, quantiles, rate, unlabel
+from tallymark.functions.storage import numbered
 
 
 def draw_sample(records: DataFrame, n: int, seed: int, texts: tuple[str, ...] = ("text", "subject")) -> DataFrame:
@@ -36,9 +37,12 @@ def pending_work(models: DataFrame, ids: DataFrame, log: DataFrame, runs: DataFr
 
 
 def budget_cutoff(calls: DataFrame, limit: float, per: list[str], spent: float = 0.0) -> DataFrame:
-    """Calls that start: in order of ``seq``, those before which less than the limit was spent; the last may overshoot."""
-    before = Window.partitionBy(*per).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return calls.withColumn("spent_before", F.coalesce(F.sum("cost_usd").over(before), F.lit(0.0)) + spent).where(F.col("spent_before") < limit)
+    """Calls that start: in order of ``seq``, those before which less than the limit was spent; the last may overshoot.
+
+    Sums go by ranges of ``per`` and ``seq``, so a model with most of the calls is not one task.
+    """
+    summed = numbered(calls, [F.col("seq")], "spent_before", F.coalesce("cost_usd", F.lit(0.0)), tuple(per))
+    return summed.withColumn("spent_before", F.col("spent_before") + spent).where(F.col("spent_before") < limit)
 
 
 def latest_answers(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,10 +87,10 @@ def apply_decisions(truth: DataFrame, decisions: DataFrame, fields: tuple[Field,
     return both.select("id", F.struct(*new).alias("truth"), "votes", "agreement", F.array_except("open", manual).alias("open"), manual.alias("manual"))
 
 
-def judge_stats(log: DataFrame) -> DataFrame:
-    """By model: valid and failed calls, cost, median latency of valid calls."""
+def judge_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """By model: valid and failed calls, cost, median latency of valid calls (approximate with ``accuracy``); ``error_kinds`` has the failures' kinds."""
     ok = F.col("answer").isNotNull()
-    return log.groupBy("model").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.percentile(F.when(ok, F.col("latency_ms")), 0.5), 0).alias("latency_p50_ms"))
+    return log.groupBy("model").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(quantiles(F.when(ok, F.col("latency_ms")), [0.5], accuracy)[0], 0).alias("latency_p50_ms"))
 
 
 def error_kinds(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,6 +105,12 @@ def vote_summary(truth: DataFrame, judges: int, fields: tuple[Field, ...] = FIEL
     return rows.groupBy("x.field").agg(F.count("*").alias("emails"), F.count_if(agreed == judges).alias("unanimous"), F.count_if("x.known").alias("with_majority"), F.count_if(~F.col("x.known")).alias("open"))
 
 
+def vote_totals(truth: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: messages, those with an open field, open fields over all messages, cost of all calls."""
+    row = truth.agg(F.count("*").alias("emails"), F.count_if(F.size("open") > 0).alias("emails_open"), F.coalesce(F.sum(F.size("open")), F.lit(0)).cast("long").alias("fields_open"))
+    return row.join(log.agg(F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 4).alias("cost_usd")))
+
+
 def agreement_with_majority(answers: DataFrame, truth: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """By judge and field: share of answers equal to the label, three digits."""
     a = answers.select("id", "model", long_form("answer", fields).alias("x")).select("id", "model", "x.*")
@@ -126,10 +136,10 @@ def answer_problems(raw: Column, fields: tuple[Field, ...] = FIELDS) -> Column:
 def call_cost(log: DataFrame, prices: DataFrame) -> DataFrame:
     """Adds ``cost_usd`` from a price list ``(model, usd_in, usd_out)`` in dollars for a million tokens.
 
-    A price list has a row for each model and is broadcast.
+    A price list has a row for each model, so that Spark broadcasts it by its size.
     """
     cost = (F.col("tokens_in") * F.col("usd_in") + F.coalesce("tokens_out", F.lit(0)) * F.col("usd_out")) / 1e6
-    return log.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", cost).drop("usd_in", "usd_out")
+    return log.join(prices, "model", "left").withColumn("cost_usd", cost).drop("usd_in", "usd_out")
 
 
 def parse_probabilities(raw: str, fields: tuple[Field, ...] = FIELDS, threshold: float = 0.5) -> list[Column]:

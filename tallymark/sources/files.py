@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymark.functions.labels import Field
 from tallymark.functions.text import text_of_html
+from tallymark.operators.votes import answer_problems, call_cost
 
 PARSED = "id string, date string, sender struct<name:string,addr:string>, to array<struct<name:string,addr:string>>, cc array<struct<name:string,addr:string>>, subject string, body string, attachments int, is_list boolean, error string"
 RESULT = "model string, id string, answer string, error string, latency_ms double, tokens_in long, tokens_out long, cost_usd double"
@@ -47,10 +49,20 @@ def markdown_table(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.orderBy(*columns[:2]).select(cells.alias("line"))
 
 
+def markdown_section(name: str, df: DataFrame) -> DataFrame:
+    """A small table as Markdown lines under a heading."""
+    columns = df.columns
+    head = [f"## {name}", "", f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]
+    lines = markdown_table(df, columns).select(F.lit(len(head)).alias("at"), "line")
+    above = df.sparkSession.createDataFrame(list(enumerate(head)), "at int, line string")
+    return above.unionByName(lines).coalesce(1).sortWithinPartitions("at", "line").select("line")
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
-    """Each aggregated table as one JSON file, the scorecard as Markdown besides."""
+    """Each aggregated table as one JSON file and as a section in Markdown, the scorecard's rows in ``summary``."""
     for name, df in tables.items():
         df.coalesce(1).write.mode("overwrite").json(f"{path}/{name}")
+        markdown_section(name, df).write.mode("overwrite").text(f"{path}/markdown/{name}")
     if "scorecard" in tables:
         markdown_table(tables["scorecard"], tables["scorecard"].columns).coalesce(1).write.mode("overwrite").text(f"{path}/summary")
 
@@ -119,10 +131,11 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(parsed, PARSED)
 
 
-def score_with(texts: DataFrame, classify: Callable[[str, str], dict]) -> DataFrame:
-    """Runs a batch classifier over ``texts(id, text)``; ``classify(id, text)`` gives the RESULT columns but the id.
+def score_with(texts: DataFrame, classify: Callable[[str, str], dict], fields: tuple[Field, ...] | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """Runs a classifier over ``texts(id, text)`` in batches; ``classify(id, text)`` gives the RESULT columns but the id.
 
-    A ValueError or TimeoutError becomes a row with an error and no answer; anything else ends the job.
+    A ValueError or TimeoutError becomes a row with an error and no answer; anything else ends the job. With
+    ``fields`` an answer off the schema becomes an error too; with ``prices(model, usd_in, usd_out)`` calls cost by their tokens.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,4 +150,12 @@ def score_with(texts: DataFrame, classify: Callable[[str, str], dict]) -> DataFr
                 rows.append(row)
             yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in RESULT.split(",")])
 
-    return texts.select("id", "text").mapInPandas(run, RESULT)
+    out = texts.select("id", "text").mapInPandas(run, RESULT)
+    columns = out.columns
+    if fields is not None:
+        wrong = F.when(F.col("answer").isNotNull(), answer_problems(F.col("answer"), fields))
+        out = out.withColumn("wrong", F.coalesce(wrong, F.array().cast("array<string>"))).withColumn("error", F.when(F.size("wrong") > 0, F.concat(F.lit("Schema: "), F.array_join("wrong", ", "))).otherwise(F.col("error")))
+        out = out.withColumn("answer", F.when(F.size("wrong") == 0, F.col("answer")))
+    if prices is not None:
+        out = call_cost(out.drop("cost_usd"), prices)
+    return out.select(columns)
