@@ -1,7 +1,7 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 Each source's words, its texts one after another, are cut into blocks of ``block_words`` words. For
-every output shard, how many of its slots each source fills is a multinomial draw; draws beyond a
+every output shard, how many of its slots each source fills is a multinomial draw (sources may be any number); draws beyond a
 source's quota are dropped and missing ones are dealt into further shards at the end, so that a
 source's words meet its target exactly. A source's slots are numbered through and sent through its
 pseudorandom permutation of block indices, once for every pass over the source, and the blocks are
@@ -18,25 +18,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallymark.functions.storage import numbered
 from tallymark.llm.common import WORD_PATTERN, table, written
 
-#: Sources for which the driver plans; each takes a row of a few dozen bytes.
-MAX_SOURCES = 1_000_000
+#: Sources whose first slots go to every task, 16 bytes each; for more, draws are joined to their sources, with the same rows.
+MAX_HELD_SOURCES = 1_000_000
 _KEYS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
 
-def water_fill(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Targets that share ``share`` times all sizes by weight, none above ``most`` times its size."""
-    left, unit = share * sum(sizes), 0.0
-    under = {i for i, s in enumerate(sizes) if s > 0}
-    while under:
-        unit = left / sum(weights[i] for i in under)
-        over = {i for i in under if unit * weights[i] > most * sizes[i]}
-        if not over:
-            break
-        left -= sum(most * sizes[i] for i in over)
-        under -= over
-    return [unit * weights[i] if i in under else most * s for i, s in enumerate(sizes)]
+def water_level(sources: DataFrame, share: float, most: float) -> float:
+    """What a weight of 1 gets, when ``share`` times all sizes go out by weight and none above ``most`` times its size.
+
+    Each round caps the sources that the level of the round before puts above; rounds grow with the logarithm of the sizes.
+    """
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    unit = 0.0
+    while True:
+        over = F.lit(unit) * F.col("weight") > F.lit(float(most)) * F.col("source_size")
+        sums = sources.where("source_size > 0").groupBy("weight").agg(F.coalesce(F.sum(F.when(over, F.col("source_size"))), F.lit(0)), F.count_if(~over)).orderBy("weight").collect()
+        under = sum(weight * n for weight, _, n in sums)
+        level = (share * total - most * sum(size for _, size, _ in sums)) / under if under else unit
+        if level <= unit:
+            return unit
+        unit = level
 
 
 def permuted(x: np.ndarray, n: int, seed: int, back: bool = False) -> np.ndarray:
@@ -76,20 +80,6 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")))
 
 
-def plan_sources(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, seed: int) -> pd.DataFrame:
-    """One row a source, by code point and null last: size, target, blocks, slots, words of its last slot."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rows = found.limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; map them to fewer before mixing")
-    rows.sort(key=lambda r: (r[0] is None, r[0] or ""))
-    plan = pd.DataFrame({"source": pd.Series([r[0] for r in rows], dtype=object), "source_size": [r[1] for r in rows], "source_no": np.arange(len(rows))})
-    plan["target"] = water_fill(plan["source_size"].tolist(), [weights[i % len(weights)] for i in range(len(rows))], share, most)
-    got = [quota(s, t, block_words, seed * 1_000_003 + i) for i, (s, t) in enumerate(zip(plan["source_size"], plan["target"], strict=True))]
-    plan["n_blocks"], plan["n_slots"], plan["last_words"] = ([g[i] for g in got] for i in range(3))
-    return plan
-
-
 def summed_before(rows: DataFrame, by: str, at: str, amount: str, name: str, width: int = 1024) -> DataFrame:
     """Adds what ``amount`` adds up to over the rows of the same ``by`` with a smaller ``at`` (unique there).
 
@@ -104,50 +94,95 @@ def summed_before(rows: DataFrame, by: str, at: str, amount: str, name: str, wid
     return rows.join(total, [by, "_stretch"]).withColumn(name, F.col(name) + F.col("_earlier")).drop("_stretch", "_earlier")
 
 
-def draw_slots(spark: SparkSession, plan: pd.DataFrame, shard_slots: int, seed: int) -> DataFrame:
-    """``(shard, source_no, pass_no, block, words)``, a row for each slot; ``words`` is null for a whole block."""
-    slots, blocks, last = (plan[c].to_numpy(dtype=np.int64) for c in ("n_slots", "n_blocks", "last_words"))
-    total = int(slots.sum())
-    shards = max(1, math.ceil(total / shard_slots))
+def plan_sources(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, block_words: int, seed: int) -> DataFrame:
+    """One row a source, numbered by code point and null last: size, target, blocks, slots, words of its last slot, slots of all before."""
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    found = numbered(found, [F.col("source").isNull(), F.coalesce("source", F.lit(""))], "nth").select("source", "source_size", (F.col("nth") - 1).cast("long").alias("source_no"))
+    found = written(found.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("source_no") % len(weights) + 1).cast("int"))))
+    target = F.least(F.lit(water_level(found, share, most)) * F.col("weight"), F.lit(float(most)) * F.col("source_size"))
+
+    def with_quotas(batches):
+        for pdf in batches:
+            got = [quota(int(s), t, block_words, seed * 1_000_003 + int(i)) for i, s, t in zip(pdf["source_no"], pdf["source_size"], pdf["target"], strict=True)]
+            yield pdf.assign(**{name: pd.Series([g[k] for g in got], index=pdf.index, dtype="int64") for k, name in enumerate(("n_blocks", "n_slots", "last_words"))})
+
+    found = found.select("source", "source_no", "source_size", target.alias("target"))
+    found = written(found.mapInPandas(with_quotas, "source string, source_no long, source_size long, target double, n_blocks long, n_slots long, last_words long"))
+    return written(summed_before(found.withColumn("one", F.lit(1)), "one", "source_no", "n_slots", "first_slot").drop("one"))
+
+
+def draw_counts(spark: SparkSession, plan: DataFrame, total: int, shard_slots: int, seed: int, max_held: int) -> DataFrame:
+    """``(shard, source_no, n)``: how many of a shard's slots each source fills, a multinomial draw by the sources' slots.
+
+    Each slot draws a place among all sources' slots; counting places by source makes the multinomial. Its cost
+    is a shard's slots, however many sources there are.
+    """
+    filled = plan.where("n_slots > 0").select("source_no", "first_slot", "n_slots")
+
+    def places(shard):
+        return np.random.default_rng([seed, shard]).integers(0, total, min(shard_slots, total - shard * shard_slots))
+
+    shards = spark.range(math.ceil(total / shard_slots))
+    if plan.count() <= max_held:
+        held = filled.orderBy("source_no").toPandas()
+        numbers, first = held["source_no"].to_numpy(np.int64), held["first_slot"].to_numpy(np.int64)
+
+        def counted(batches):
+            for pdf in batches:
+                for shard in pdf["id"]:
+                    at, n = np.unique(np.searchsorted(first, places(shard), side="right") - 1, return_counts=True)
+                    yield pd.DataFrame({"shard": shard, "source_no": numbers[at], "n": n})
+
+        return shards.mapInPandas(counted, "shard long, source_no long, n long")
 
     def drawn(batches):
         for pdf in batches:
             for shard in pdf["id"]:
-                n = np.random.default_rng([seed, shard]).multinomial(min(shard_slots, total - shard * shard_slots), slots / total)
-                at = np.flatnonzero(n)
-                yield pd.DataFrame({"shard": shard, "source_no": at, "n": n[at]})
+                yield pd.DataFrame({"shard": shard, "place": places(shard)})
+
+    # Places are uniform, so stretches of them get about as many draws each, whatever the sources' sizes.
+    stretch = lambda place: F.floor(place / F.lit(shard_slots))
+    upto = F.col("first_slot") + F.col("n_slots")
+    parts = filled.select("source_no", "first_slot", upto.alias("upto"), F.explode(F.sequence(stretch(F.col("first_slot")), stretch(upto - 1))).alias("stretch"))
+    rows = shards.mapInPandas(drawn, "shard long, place long").withColumn("stretch", stretch(F.col("place")))
+    return rows.join(parts, "stretch").where("place >= first_slot and place < upto").groupBy("shard", "source_no").agg(F.count("*").alias("n"))
+
+
+def draw_slots(spark: SparkSession, plan: DataFrame, shard_slots: int, seed: int, max_held: int | None = None) -> DataFrame:
+    """``(shard, source_no, pass_no, block, words)``, a row for each slot; ``words`` is null for a whole block."""
+    total = plan.agg(F.sum("n_slots")).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_slots))
 
     def placed(batches):
         for pdf in batches:
-            for shard, s, first, n in zip(pdf["shard"], pdf["source_no"], pdf["first"], pdf["n"], strict=True):
-                j = np.arange(first, min(first + n, slots[s]))
+            for shard, s, first, n, slots, blocks, last in pdf[["shard", "source_no", "first", "n", "n_slots", "n_blocks", "last_words"]].itertuples(index=False):
+                j = np.arange(first, min(first + n, slots))
                 if len(j):
-                    words = pd.array(np.full(len(j), last[s]), dtype="Int64")
-                    words[(j < slots[s] - 1) | (last[s] == 0)] = pd.NA
-                    yield pd.DataFrame({"shard": shard, "source_no": s, "pass_no": j // blocks[s], "block": permuted(j % blocks[s], int(blocks[s]), seed * 1_000_003 + int(s)), "words": words})
+                    words = pd.array(np.full(len(j), last), dtype="Int64")
+                    words[(j < slots - 1) | (last == 0)] = pd.NA
+                    yield pd.DataFrame({"shard": shard, "source_no": s, "pass_no": j // blocks, "block": permuted(j % blocks, int(blocks), seed * 1_000_003 + int(s)), "words": words})
 
-    counts = spark.range(shards if total else 0).mapInPandas(drawn, "shard long, source_no long, n long")
-    numbered = written(summed_before(counts, "source_no", "shard", "n", "first"))
+    counts = draw_counts(spark, plan, total, shard_slots, seed, MAX_HELD_SOURCES if max_held is None else max_held)
+    numbered_draws = written(summed_before(counts, "source_no", "shard", "n", "first"))
     # What the draws left short of the quota, in shards of the same length at the end.
-    short = numbered.groupBy("source_no").agg(F.sum("n").alias("drawn"))
-    quotas = spark.createDataFrame([(int(i), int(n)) for i, n in enumerate(slots) if n], "source_no long, n_slots long")
-    short = quotas.join(short, "source_no", "left").select("source_no", F.coalesce("drawn", F.lit(0)).alias("drawn"), "n_slots").where("drawn < n_slots")
+    drawn = numbered_draws.groupBy("source_no").agg(F.sum("n").alias("drawn"))
+    short = plan.where("n_slots > 0").join(drawn, "source_no", "left").select("source_no", F.coalesce("drawn", F.lit(0)).alias("drawn"), "n_slots").where("drawn < n_slots")
     more = short.select("source_no", F.explode(F.sequence("drawn", F.col("n_slots") - 1, F.lit(shard_slots).cast("long"))).alias("first"))
-    numbered = numbered.select("shard", "source_no", "first", "n").unionByName(more.select(F.lit(shards).cast("long").alias("shard"), "source_no", "first", F.lit(shard_slots).cast("long").alias("n")))
+    draws = numbered_draws.select("shard", "source_no", "first", "n").unionByName(more.select(F.lit(shards).cast("long").alias("shard"), "source_no", "first", F.lit(shard_slots).cast("long").alias("n")))
+    draws = draws.join(plan.select("source_no", "n_slots", "n_blocks", "last_words"), "source_no")
     # Slots are many more than these rows, so the rows are dealt out first, into tasks of a few shards each.
-    return numbered.repartition(max(1, math.ceil(shards / 8)), "shard", "first").mapInPandas(placed, "shard long, source_no long, pass_no long, block long, words long")
+    return draws.repartition(max(1, math.ceil(shards / 8)), "shard", "first").mapInPandas(placed, "shard long, source_no long, pass_no long, block long, words long")
 
 
-def placed_rows(sized: DataFrame, plan: pd.DataFrame, rows_per_bucket: int) -> DataFrame:
+def placed_rows(sized: DataFrame, plan: DataFrame, rows_per_bucket: int) -> DataFrame:
     """Adds the source's number and each row's first word in its source's sequence.
 
     Running sums go by buckets of rows and then over the buckets, so a hot source is many tasks' work.
     """
-    spark = sized.sparkSession
-    numbers = spark.createDataFrame(plan[["source", "source_no", "source_size", "target"]].astype({"source": object}), "source string, source_no long, source_size long, target double")
+    numbers = plan.select(F.col("source").alias("of"), "source_no", "source_size", "target")
     n = max(1, math.ceil(sized.count() / rows_per_bucket))
     # Its size is known, so that Spark broadcasts the sources' table if it is small.
-    rows = sized.join(numbers.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = sized.join(numbers, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(n)))
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("in_bucket"))
     sums = summed_before(sums, "source_no", "bucket", "in_bucket", "start").drop("in_bucket")

@@ -14,13 +14,29 @@ def test_permutation_and_inverse():
     assert (m.permuted(np.arange(1000), 1000, 5) != m.permuted(np.arange(1000), 1000, 6)).any()
 
 
-@pytest.mark.parametrize(("sizes", "weights", "share"), [([10, 100, 5], [5, 2, 1], 1.5), ([0, 10, 1], [5, 2, 1], 1.5), ([10], [5], 1.5), ([1, 1, 1000], [5, 2, 1], 1.9)])
-def test_water_fill(sizes, weights, share):
-    t = m.water_fill(sizes, weights, share, 2)
-    assert sum(t) == pytest.approx(share * sum(sizes))
-    assert all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes, strict=True))
+def water_fill(sizes, weights, share, most):
+    """Brute force: caps sources until none is above."""
+    left, unit = share * sum(sizes), 0.0
+    under = {i for i, s in enumerate(sizes) if s > 0}
+    while under:
+        unit = left / sum(weights[i] for i in under)
+        over = {i for i in under if unit * weights[i] > most * sizes[i]}
+        if not over:
+            break
+        left -= sum(most * sizes[i] for i in over)
+        under -= over
+    return [unit * weights[i] if i in under else most * s for i, s in enumerate(sizes)]
+
+
+@pytest.mark.parametrize(("sizes", "weights", "share"), [([10, 100, 5], [5, 2, 1], 1.5), ([0, 10, 1], [5, 2, 1], 1.5), ([10], [5], 1.5), ([1, 1, 1000], [5, 2, 1], 1.9), ([3, 4, 5], [5, 2, 1], 2.5), ([0, 0], [5, 2], 1.5), ([2**i for i in range(12)], [5, 2, 1] * 4, 1.5)])
+def test_water_level(spark, sizes, weights, share):
+    sources = spark.createDataFrame([(s, float(w)) for s, w in zip(sizes, weights, strict=True)], "source_size long, weight double")
+    unit = m.water_level(sources, share, 2)
+    t = [min(unit * w, 2 * s) for s, w in zip(sizes, weights, strict=True)]
+    assert sum(t) == pytest.approx(min(share, 2) * sum(sizes))
+    assert t == pytest.approx(water_fill(sizes, weights, share, 2))
     units = {round(x / w, 6) for x, w, s in zip(t, weights, sizes, strict=True) if s and x < 2 * s - 1e-9}
-    assert len(units) == 1 and all(2 * s / w <= min(units) + 1e-6 for x, w, s in zip(t, weights, sizes, strict=True) if s and x >= 2 * s - 1e-9)
+    assert len(units) <= 1 and all(2 * s / w <= min(units) + 1e-6 for x, w, s in zip(t, weights, sizes, strict=True) if units and s and x >= 2 * s - 1e-9)
 
 
 def brute_targets(rows):
@@ -28,7 +44,7 @@ def brute_targets(rows):
     for _, s, t in rows:
         size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
-    return size, dict(zip(names, m.water_fill([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2), strict=True))
+    return size, dict(zip(names, water_fill([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5, 2), strict=True))
 
 
 @pytest.mark.parametrize("block", [4, 7, 128])
@@ -54,10 +70,13 @@ def test_taken_equals_counting_word_by_word(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     block = 8
     sized = m.sized_rows(docs)
-    plan = m.plan_sources(sized, (5, 2, 1), 1.5, 2.0, block, 1)
+    sources = m.plan_sources(sized, (5, 2, 1), 1.5, 2.0, block, 1)
+    plan = sources.orderBy("source_no").toPandas()
+    assert plan["first_slot"].tolist() == [0, *plan["n_slots"].cumsum()][:-1]
     size = dict(zip(plan["source_no"], plan["source_size"], strict=True))
     uses = defaultdict(int)  # of every word, by source and place
-    slots = m.draw_slots(spark, plan, 16, 1).collect()
+    slots = m.draw_slots(spark, sources, 16, 1).collect()
+    assert sorted(map(str, slots)) == sorted(map(str, m.draw_slots(spark, sources, 16, 1, max_held=0).collect()))
     for r in slots:
         words = range(r.block * block, min(size[r.source_no], (r.block + 1) * block))
         for w in words[: r.words] if r.words is not None else words:
@@ -65,7 +84,7 @@ def test_taken_equals_counting_word_by_word(spark):
     for i, n in zip(plan["source_no"], plan["n_slots"], strict=True):
         own = [(r.pass_no, r.block) for r in slots if r.source_no == i]
         assert len(own) == len(set(own)) == n
-    placed = m.placed_rows(sized, plan, 20).collect()
+    placed = m.placed_rows(sized, sources, 20).collect()
     for i, n in size.items():
         assert sorted(w for r in placed if r.source_no == i for w in range(r.first_word, r.first_word + r["size"])) == list(range(n))
     want = sorted((r.doc_id, r["size"], sum(uses[r.source_no, w] for w in range(r.first_word, r.first_word + r["size"]))) for r in placed)
@@ -89,3 +108,15 @@ def test_query(spark, small):
     for s in size:
         assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= 0.5001
     assert all(r.taken <= 2 * r["size"] for r in got)
+
+
+def test_more_sources_than_a_task_holds(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id as string)) as source", "repeat('w ', cast(id % 40 as int)) as text")
+    want = sorted(map(str, m.mix(docs, block_words=8, shard_slots=64).collect()))
+    monkeypatch.setattr(m, "MAX_HELD_SOURCES", 100)
+    got = m.mix(docs, block_words=8, shard_slots=64).collect()
+    assert sorted(map(str, got)) == want
+    taken = defaultdict(int)
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(abs(taken[r.source] - r.target) <= 0.5001 for r in got)
