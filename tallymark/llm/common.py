@@ -26,8 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared checkpoint folder and read back.
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows, written as Parquet to the shared checkpoint folder, in a folder for each value of ``by``, and read back.
 
     Cuts the lineage, so that a lost executor costs no recomputation from the texts, and lets later
     steps read single columns. The folder is the session's ``spark.checkpoint.dir``; where that is
@@ -41,7 +41,7 @@ def written(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
