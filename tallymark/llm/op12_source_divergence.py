@@ -1,20 +1,23 @@
 """How far sources of a language differ in their words, from mergeable radix tries.
 
-Each task counts the terms of its documents in byte tries, one a language, with counters by source in the leaves. A trie
-that has grown to ``leaves`` is handed on and a new one begun. Leaves are dealt by ranges of (language, term bytes),
-so each task merges the tries of one prefix range; since tries are walked in the order of UTF-8 bytes, a merge is one pass over
-sorted leaves. The merged, kept terms are walked in that order again for each pair of blocks of sources: divergences of pairs
-are summed, and each group's best terms are kept, the first in byte order among equals.
+Each task counts the terms of its documents in byte tries, one a language, with a number of documents and counters by source in
+each leaf. A trie is kept in preorder: a leaf is the number of bytes it shares with the leaf before (where its edge
+branches off) and the rest of its label, so walking it gives terms in the order of UTF-8 bytes and merging needs no pointers. Tries are
+cut at common bounds, and each prefix range's pieces are merged by one task. The bounds come from a bounded sample of terms and
+decide who merges what, never what comes out. The merged, kept terms are walked in byte order for each pair of blocks of sources:
+divergences of pairs are summed, and each group's best terms are kept, the first in byte order among equals.
 
 Rows: null text, lang and source are ''; rows are documents, repeated ones too. A text without terms still makes its
-(lang, source) group. A language without kept terms has pairs of value 0 and no terms. An empty table gives no rows.
+(lang, source) group. A language without kept terms has pairs of value 0 and no terms. An empty table gives no rows. Memory
+follows the longest text and a range's distinct terms.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,60 +25,135 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import column, table, written
+from tallymark.llm.common import bounded_batches, column, table, written
 
 #: Bytes that are no part of a term become spaces; A-Z become a-z.
 _FOLD = bytes(c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in range(256))
 #: Shares are in billionths, with this much added to each count.
 SCALE, ADDED = 1_000_000_000, 2
-LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
+#: A leaf's edge branches off within so many bytes; what it shares beyond is spelt out.
+DEEPEST = 32
+#: Texts and terms looked at for the bounds of prefix ranges, and bytes of a bound.
+SAMPLED_TEXTS, SAMPLED_TERMS, BOUND_BYTES = 2000, 100_000, 64
+PIECE = "range int, lang string, shared binary, sizes binary, labels binary, docs binary, counters binary, source binary, n binary, sources array<string>"
+LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>, part int"
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + a.astype(kind).tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.dtype(f"u{b[0]}"), offset=1).astype(np.int64)
+
+
+def _sorted_codes(terms: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The distinct terms in the order of bytes, and each term's place among them."""
+    coded = terms.dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int64)
+    place[np.asarray(order)] = np.arange(len(order))
+    return place[np.asarray(coded.indices, dtype=np.int64)], coded.dictionary.take(order)
+
+
+@dataclass
 class RadixTrie:
-    """Byte strings with a number of documents and counters by source: edges are labelled with bytes, branches differ in their first byte."""
-
-    __slots__ = ("branches", "counters", "docs", "leaves")
-
-    def __init__(self):
-        self.branches: dict[int, list] = {}  # first byte -> [label, trie]
-        self.counters: dict[str, int] | None = None  # None: no term ends here
-        self.docs = self.leaves = 0
-
-    def at(self, term: bytes) -> RadixTrie:
-        """A term's place with its counters; made where there is none. ``leaves`` counts what was made through this trie."""
-        node, i, n = self, 0, len(term)
-        while i < n:
-            branch = node.branches.get(term[i])
-            if branch is None:
-                branch = node.branches[term[i]] = [term[i:], RadixTrie()]
-            label = branch[0]
-            if not term.startswith(label, i):
-                same = next(k for k in range(1, len(label)) if i + k == n or label[k] != term[i + k])
-                upper = RadixTrie()
-                upper.branches[label[same]] = [label[same:], branch[1]]
-                branch[:] = [label[:same], upper]
-                label = branch[0]
-            i += len(label)
-            node = branch[1]
-        if node.counters is None:
-            node.counters = {}
-            self.leaves += 1
-        return node
-
-    def walk(self) -> Iterator[tuple[bytes, RadixTrie]]:
-        """Terms and their places in the order of bytes."""
-        open_ = [(b"", self)]
-        while open_:
-            prefix, node = open_.pop()
-            if node.counters is not None:
-                yield prefix, node
-            branches = node.branches.values() if len(node.branches) < 2 else [node.branches[c] for c in sorted(node.branches, reverse=True)]
-            for label, below in branches:
-                open_.append((prefix + label, below))
+    """Leaves in preorder: terms in the order of bytes, documents of each, and its counters, ``first[i]`` to ``first[i + 1]``."""
+
+    terms: pa.Array
+    docs: np.ndarray
+    first: np.ndarray
+    source: np.ndarray
+    n: np.ndarray
+    sources: list[str]
+
+    @classmethod
+    def grown(cls, terms: pa.Array, leaf: np.ndarray, source: np.ndarray, n: np.ndarray, docs: np.ndarray, sources: list[str]) -> RadixTrie:
+        """From (leaf, source, occurrences, documents) in any order, ``leaf`` being a place in sorted ``terms``."""
+        keys, at = np.unique(leaf * len(sources) + source, return_inverse=True)
+        place, source = np.divmod(keys, max(1, len(sources)))
+        used = np.unique(place)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, at, n)
+        per_leaf = np.zeros(len(terms), np.int64)
+        np.add.at(per_leaf, leaf, docs)
+        return cls(terms.take(pa.array(used)), per_leaf[used], np.concatenate([np.searchsorted(place, used), [len(keys)]]), source, total, sources)
+
+    @classmethod
+    def merged(cls, tries: list[RadixTrie]) -> RadixTrie:
+        if len(tries) == 1:
+            return tries[0]
+        names: dict[str, int] = {}
+        source = np.concatenate([np.array([names.setdefault(s, len(names)) for s in t.sources], np.int64)[t.source] for t in tries])
+        place, terms = _sorted_codes(pa.concat_arrays([t.terms for t in tries]))
+        sizes = np.concatenate([np.diff(t.first) for t in tries])
+        docs = np.zeros(int(sizes.sum()), np.int64)  # a leaf's documents go with its first counter
+        docs[np.cumsum(sizes) - sizes] = np.concatenate([t.docs for t in tries])
+        return cls.grown(terms, np.repeat(place, sizes), source, np.concatenate([t.n for t in tries]), docs, list(names))
+
+    def part(self, a: int, z: int) -> RadixTrie:
+        b, c = int(self.first[a]), int(self.first[z])
+        return RadixTrie(self.terms.slice(a, z - a), self.docs[a:z], self.first[a : z + 1] - b, self.source[b:c], self.n[b:c], self.sources)
+
+    def cut(self, bounds: list[bytes]) -> Iterator[tuple[int, RadixTrie]]:
+        """Its prefix ranges: below the first bound, from each bound to the next, and from the last one on."""
+
+        class Terms:
+            __len__ = lambda _: len(self.terms)
+            __getitem__ = lambda _, i: self.terms[i].as_py()
+
+        ends = [0, *(bisect_left(Terms(), b) for b in bounds), len(self.terms)]
+        yield from ((r, self.part(a, z)) for r, (a, z) in enumerate(zip(ends, ends[1:], strict=False)) if a < z)
+
+    def row(self, lang: str, number: int) -> dict:
+        offsets = np.frombuffer(self.terms.buffers()[1], np.int64)[self.terms.offset : self.terms.offset + len(self.terms) + 1]
+        data = np.frombuffer(self.terms.buffers()[2], np.uint8)
+        sizes = np.diff(offsets)
+        at = np.minimum(offsets[:-1, None] + np.arange(DEEPEST), len(data) - 1)
+        heads = np.where(np.arange(DEEPEST) < sizes[:, None], data[at], 0)
+        shared = np.zeros(len(sizes), np.int64)
+        shared[1:] = np.cumprod((heads[1:] == heads[:-1]) & (heads[1:] > 0), axis=1).sum(axis=1)
+        spelt = np.ones(int(sizes.sum()), np.int64)  # where bytes that aren't shared lie
+        begin, rest = offsets[:-1] + shared, sizes - shared
+        rows = np.flatnonzero(rest)
+        spelt = np.repeat(begin[rows] - np.concatenate([[0], np.cumsum(rest[rows])[:-1]]), rest[rows]) + np.arange(int(rest.sum()))
+        used = np.unique(self.source)
+        return {
+            "range": number, "lang": lang, "shared": _packed(shared), "sizes": _packed(rest), "labels": data[spelt].tobytes(), "docs": _packed(self.docs), "counters": _packed(np.diff(self.first)),
+            "source": _packed(np.searchsorted(used, self.source)), "n": _packed(self.n), "sources": [self.sources[i] for i in used.tolist()],
+        }
+
+    @classmethod
+    def of_row(cls, r: dict) -> RadixTrie:
+        path, terms, at, labels = b"", [], 0, r["labels"]
+        for shared, size in zip(_unpacked(r["shared"]).tolist(), _unpacked(r["sizes"]).tolist(), strict=True):
+            path = path[:shared] + labels[at : at + size]
+            at += size
+            terms.append(path)
+        return cls(pa.array(terms, pa.large_binary()), _unpacked(r["docs"]), np.concatenate([[0], np.cumsum(_unpacked(r["counters"]))]), _unpacked(r["source"]), _unpacked(r["n"]), r["sources"])
+
+
+def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Terms of each text: place of every term among the distinct ones, the text it stands in, the distinct terms in byte order."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    folded = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_FOLD))
+    texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, folded], offset=texts.offset)
+    parts = pc.ascii_split_whitespace(texts)
+    sizes = np.asarray(pc.list_value_length(parts))
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    text = np.repeat(np.arange(len(texts)), sizes)[np.asarray(full)]
+    place, terms = _sorted_codes(flat.filter(full).cast(pa.large_binary()))
+    return place, text, terms
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.Table]:
-    """Batches put together up to about so many bytes, so that a term is looked up once for many documents."""
+    """Batches put together up to about so many bytes, so that a trie has many documents."""
     held, size = [], 0
     for b in batches:
         if b.num_rows:
@@ -88,102 +166,93 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator
         yield pa.Table.from_batches(held)
 
 
-def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Terms of each text: index of every term into the distinct terms, the text it stands in, distinct terms."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    _, offsets, data = texts.buffers()
-    folded = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(_FOLD))
-    texts = pa.Array.from_buffers(pa.large_string(), len(texts), [None, offsets, folded], offset=texts.offset)
-    parts = pc.ascii_split_whitespace(texts)
-    sizes = np.asarray(pc.list_value_length(parts))
-    flat = parts.flatten()
-    full = pc.greater(pc.binary_length(flat), 0)
-    text = np.repeat(np.arange(len(texts)), sizes)[np.asarray(full)]
-    coded = flat.filter(full).dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    return np.asarray(coded.indices, dtype=np.int64), text, coded.dictionary.cast(pa.large_binary()).to_pylist()
-
-
 def _numbered(values: pa.Array) -> tuple[np.ndarray, list[str]]:
     coded = values.dictionary_encode()
     return np.asarray(coded.indices, dtype=np.int64), coded.dictionary.to_pylist()
 
 
-def _counted(leaves: int):
+def _tries(bounds: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tries: dict[str, RadixTrie] = {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang in sorted(tries):
-                walk = tries[lang].walk()
-                while found := [(lang, term, x.docs, list(x.counters), list(x.counters.values())) for term, x in islice(walk, 10_000)]:
-                    yield _leaf_batch(found)
-
         for b in gathered(batches):
             (lang, langs), (source, sources) = (_numbered(column(b, c)) for c in ("lang", "source"))
             term, text, terms = terms_of(column(b, "text"))
-            if not terms:
+            if not len(terms):
                 continue
             pair, n = np.unique(text * len(terms) + term, return_counts=True)  # a document's term
             text, term = np.divmod(pair, len(terms))
-            keys, at = np.unique((lang[text] * len(terms) + term) * len(sources) + source[text], return_inverse=True)
-            counts, docs = np.bincount(at, weights=n).astype(np.int64).tolist(), np.bincount(at).tolist()
-            place, source = np.divmod(keys, len(sources))
-            source = source.tolist()
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-            last = [*first[1:].tolist(), len(place)]
-            for i, j, p in zip(first.tolist(), last, place[first].tolist(), strict=True):
-                name = langs[p // len(terms)]
-                trie = tries.get(name) or tries.setdefault(name, RadixTrie())
-                x = trie.at(terms[p % len(terms)])
-                mine = x.counters
-                for k in range(i, j):
-                    s = sources[source[k]]
-                    mine[s] = mine.get(s, 0) + counts[k]
-                    x.docs += docs[k]
-            if sum(t.leaves for t in tries.values()) >= leaves:
-                yield from rows()
-                tries.clear()
-        yield from rows()
+            for i, name in enumerate(langs):
+                own = np.flatnonzero(lang[text] == i)
+                if len(own):
+                    trie = RadixTrie.grown(terms, term[own], source[text[own]], n[own], np.ones(len(own), np.int64), sources)
+                    yield pa.RecordBatch.from_pylist([part.row(name, r) for r, part in trie.cut(bounds)], schema=_PIECE)
 
     return run
 
 
-def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["lang", "term", "docs", "sources", "counts"])
+_BINARY = ("shared", "sizes", "labels", "docs", "counters", "source", "n")
+_PIECE = pa.schema([("range", pa.int32()), ("lang", pa.string()), *((c, pa.binary()) for c in _BINARY), ("sources", pa.list_(pa.string()))])
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted leaves of many tries as leaves of one; a term's leaves lie next to each other."""
-    key, docs, counters = None, 0, {}
+def _merged(least_docs: int, most_leaves: int):
+    """Pieces of a range and language lie next to each other; they are merged whenever ``most_leaves`` have come together."""
 
-    def row() -> tuple:
-        return (*key, docs, list(counters), list(counters.values()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size = None, [], 0
+
+        def kept() -> Iterator[pa.RecordBatch]:
+            t = RadixTrie.merged(held)
+            some = np.flatnonzero(t.docs >= least_docs)
+            for a in range(0, len(some), 10_000):
+                i = some[a : a + 10_000]
+                sizes = t.first[i + 1] - t.first[i]
+                at = np.repeat(t.first[i] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                names = pa.array(t.sources).take(pa.array(t.source[at]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([key[1]] * len(i)), t.terms.take(pa.array(i)).cast(pa.binary()), pa.array(t.docs[i]), pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, pa.array(t.n[at])), pa.array([key[0]] * len(i), pa.int32())],
+                    names=["lang", "term", "docs", "sources", "counts", "part"],
+                )
 
-    for b in batches:
-        out = []
-        for lang, term, d, sources, counts in zip(*(column(b, c).to_pylist() for c in ("lang", "term", "docs", "sources", "counts")), strict=True):
-            if (lang, term) != key:
-                if key is not None:
-                    out.append(row())
-                key, docs, counters = (lang, term), 0, {}
-            docs += d
-            for s, n in zip(sources, counts, strict=True):
-                counters[s] = counters.get(s, 0) + n
-        if out:
-            yield _leaf_batch(out)
-    if key is not None:
-        yield _leaf_batch([row()])
-
-
-def term_counts(docs: DataFrame, least_docs: int, leaves: int = 200_000) -> DataFrame:
+        for b in batches:
+            for r in b.to_pylist():
+                if (r["range"], r["lang"]) != key:
+                    if held:
+                        yield from kept()
+                    key, held, size = (r["range"], r["lang"]), [], 0
+                held.append(RadixTrie.of_row(r))
+                size += len(held[-1].docs)
+                if size > most_leaves and len(held) > 1:
+                    held = [RadixTrie.merged(held)]
+                    most = len(held[0].docs)
+                    size = 0 if most > most_leaves // 2 else most  # a large trie is not merged again for every piece
+        if held:
+            yield from kept()
+
+    return run
+
+
+def range_bounds(rows: DataFrame, ranges: int) -> list[bytes]:
+    """Bounds between so many prefix ranges with about as many of a sample's distinct terms in each."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in gathered(batches):
+            terms = pc.binary_slice(terms_of(column(b, "text"))[2].cast(pa.binary()), 0, BOUND_BYTES)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(np.arange(0, len(terms), max(1, -(-len(terms) // 1000)))))], names=["term"])
+
+    sample = rows.select("text").limit(SAMPLED_TEXTS).mapInArrow(seen, "term binary").distinct().limit(SAMPLED_TERMS)
+    terms = sorted(bytes(r.term) for r in sample.collect())
+    return sorted({terms[len(terms) * i // ranges] for i in range(1, ranges)}) if terms else []
+
+
+def term_counts(docs: DataFrame, least_docs: int, ranges: int | None = None, most_leaves: int = 1_000_000) -> DataFrame:
     """``(lang, term, docs, sources, counts, part)``: terms in at least so many of a language's documents; ``part`` is the prefix range."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "lang", "source")))
-    tries = rows.mapInArrow(_counted(leaves), LEAF)
-    ranged = tries.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return written(ranged.mapInArrow(_merged, LEAF).where(F.col("docs") >= least_docs).withColumn("part", F.spark_partition_id()))
+    bounds = range_bounds(rows, ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = rows.mapInArrow(_tries(bounds), PIECE)
+    dealt = pieces.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "lang")
+    return written(dealt.mapInArrow(_merged(least_docs, most_leaves), LEAF))
 
 
 def shares(counts: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -253,32 +322,33 @@ class _Tile:
 
 
 def _compared(top: int, chunk: int):
-    """A tile's header (without a term) comes first, then its terms in the order of bytes."""
+    """A tile's header (without a term) comes first, then its terms in the order of bytes; where a language has no sources in a block there is no header and nothing to do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = None
+        tile = of = None
         for b in batches:
             for r in b.to_pylist():
-                if r["term"] is not None:
+                key = (r["lang"], r["a"], r["b"], r["part"])
+                if r["term"] is None:
+                    if tile is not None:
+                        yield tile.batch()
+                    tile, of = _Tile(r, top), key
+                elif tile is not None and key == of:
                     tile.add(r, chunk)
-                    continue
-                if tile is not None:
-                    yield tile.batch()
-                tile = _Tile(r, top)
         if tile is not None:
             yield tile.batch()
 
     return run
 
 
-def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = 256, leaves: int = 200_000, chunk: int = 4096) -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = 256, ranges: int | None = None, chunk: int = 4096) -> DataFrame:
     """``(lang, source, part, item, value, rank)`` of ``docs(text, lang, source)``.
 
     ``pair``: every other source of the language with the summed divergence of all kept terms; ``term``: the source's ``top``
     terms above the language's share. Sources are compared in blocks of about ``block``, so a task holds the sums of one pair of blocks; with
     one block nothing is sent twice. Each pair of blocks is shared by as many tasks as there are prefix ranges.
     """
-    kept = term_counts(docs, least_docs, leaves)
+    kept = term_counts(docs, least_docs, ranges)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
     each = kept.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(total).alias("lang_n"))
