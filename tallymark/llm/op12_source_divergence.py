@@ -341,12 +341,12 @@ def _compared(top: int, chunk: int):
     return run
 
 
-def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = 256, ranges: int | None = None, chunk: int = 4096) -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = 256, ranges: int | None = None, strip: int = 50_000, chunk: int = 4096) -> DataFrame:
     """``(lang, source, part, item, value, rank)`` of ``docs(text, lang, source)``.
 
     ``pair``: every other source of the language with the summed divergence of all kept terms; ``term``: the source's ``top``
     terms above the language's share. Sources are compared in blocks of about ``block``, so a task holds the sums of one pair of blocks; with
-    one block nothing is sent twice. Each pair of blocks is shared by as many tasks as there are prefix ranges.
+    one block nothing is sent twice. Each pair of blocks is shared by tasks for neighbouring prefix ranges of about ``strip`` terms together.
     """
     kept = term_counts(docs, least_docs, ranges)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)
@@ -357,7 +357,9 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int
     groups = written(groups.join(each, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", zero("n"), zero("v"), zero("lang_n")))
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     n_blocks = max(1, -(-most // block))
-    parts = (kept.agg(F.max("part")).first()[0] or 0) + 1
+    n_kept, last = kept.agg(F.count("*"), F.max("part")).first()
+    strips = -(-n_kept // strip) or 1
+    kept = kept.withColumn("part", F.expr(f"int(part * {strips} div {(last or 0) + 1})"))
     of = lambda source: F.pmod(F.xxhash64(source), F.lit(n_blocks)).cast("int")
 
     packs = groups.groupBy("lang", of("source").alias("a"), "v", "lang_n").agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("s"))
@@ -366,7 +368,7 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int
     sources = F.when(same, F.col("s")).otherwise(F.concat("s", "s_b"))
     role = F.when(same, F.transform("s", lambda x: F.lit(3))).otherwise(F.concat(F.transform("s", lambda x: F.lit(1)), F.transform("s_b", lambda x: F.lit(2))))
     heads = packs.join(other, "lang").withColumn("x", sources).select(
-        "lang", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("binary").alias("term"), F.col("v").alias("total"), F.col("x.source").alias("sources"), F.col("x.n").alias("counts"), role.alias("role"), "lang_n",
+        "lang", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("part"), F.lit(None).cast("binary").alias("term"), F.col("v").alias("total"), F.col("x.source").alias("sources"), F.col("x.n").alias("counts"), role.alias("role"), "lang_n",
     )
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     mine = kept.select("lang", "part", "term", total.alias("total"), F.arrays_zip("sources", "counts").alias("x"), F.explode(blocks).alias("at"))

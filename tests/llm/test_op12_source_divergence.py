@@ -68,7 +68,7 @@ def test_blocks_of_sources_and_small_tries_change_nothing(spark):
     rows = made(seed=2) + [(f"w{i % 7} common", "en", f"src{i % 23}") for i in range(300)]
     want = rows_of(m.divergence(frame(spark, rows)))
     assert want == brute(rows)
-    assert rows_of(m.divergence(frame(spark, rows).repartition(7), block=3, ranges=9, chunk=2)) == want
+    assert rows_of(m.divergence(frame(spark, rows).repartition(7), block=3, ranges=9, strip=3, chunk=2)) == want
 
 
 def test_empty_and_clashing_columns(spark):
