@@ -151,11 +151,13 @@ def infer_identity(spark, sf_dir):
 
 
 #: Every word of every text begins a mention, of one word or of two in turn.
-_MENTIONS = "select doc_id * 1000000 + i as pos, w[i:i + i % 2] as tokens from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, [lower(x) for x in regexp_extract_all(text, '[A-Za-z]{3,}')] as w from documents))"
+_MENTIONS = """select doc_id * 1000000 + i as pos, case when i % 2 = 1 and next is not null then [word, next] else [word] end as tokens
+from (select doc_id, i, word, lead(word) over (partition by doc_id order by i) as next
+from (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as i from (select doc_id, regexp_extract_all(lower(text), '[a-z]{3,}') as w from documents)))"""
 
 
 @query(
-    f"""with m as (select pos, tokens, array_to_string(tokens, ' ') as key from ({_MENTIONS}) where len(tokens) > 0),
+    f"""with m as (select pos, tokens, array_to_string(tokens, ' ') as key from ({_MENTIONS})),
 keys as (select key, any_value(tokens) as tokens, min(pos) as first from m group by key),
 owners as (select token, arg_min(key, first) as owner from (select key, first, unnest(tokens) as token from keys) group by token),
 owned as (select k.key, k.first, case when len(k.tokens) > 1 then k.key else o.owner end as owner from keys k left join owners o on o.token = k.key),
@@ -163,9 +165,9 @@ ids as (select key, row_number() over (order by first, key) as person_id from ow
 select o.key, i.person_id from owned o join ids i on i.key = o.owner"""
 )
 def person_ids(spark, sf_dir):
-    words = F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), lambda w: F.lower(w))
-    each = F.transform(words, lambda w, i: F.struct((F.col("doc_id") * 1_000_000 + i + 1).alias("at"), F.array_compact(F.array(w, F.when(i % 2 == 0, F.get(words, i + 1)))).alias("tokens")))
-    rows = read(spark, sf_dir, "documents").select(F.inline(each))
+    words = read(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)).alias("w"))
+    each = words.select("doc_id", F.posexplode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("i", "x"))
+    rows = each.select((F.col("doc_id") * 1_000_000 + F.col("i") + 1).alias("at"), F.when((F.col("i") % 2 == 0) & F.col("x.next").isNotNull(), F.array("x.word", "x.next")).otherwise(F.array("x.word")).alias("tokens"))
     return pseudonyms.person_ids(rows, [])
 
 
@@ -193,6 +195,32 @@ def email_ids(spark, sf_dir):
     return pseudonyms.email_ids(got, domains, None)
 
 
+#: Texts in which every "the", "und", "les" and "los" is a name with parts around apostrophes, and the first words of all texts as known names besides.
+_NAMED = "replace(regexp_replace(text, ' (the|und|les|los) ', ' O~Neil~s D~Arc ', 'g'), '~', chr(39))"
+_FIRST = "lower(regexp_extract(text, '^[A-Za-z]{3,}'))"
+
+
+@query(
+    f"""with runs as (select doc_id, unnest(x) as run, generate_subscripts(x, 1) as i from (select doc_id, regexp_extract_all({_NAMED}, '[\\p{{L}}\\p{{N}}_\\-]+(?:[\\x27’][\\p{{L}}\\p{{N}}_\\-]+)*|[^\\p{{L}}\\p{{N}}_\\-]+?') as x from documents)),
+placed as (select doc_id, run, sum(length(run)) over (partition by doc_id order by i) - length(run) as o from runs),
+pieces as (select doc_id, run, o, p, unnest(p) as piece, generate_subscripts(p, 1) as a from (select *, string_split(replace(run, '’', chr(39)), chr(39)) as p from placed where regexp_matches(run, '^[\\p{{L}}\\p{{N}}_\\-]'))),
+subs as (select doc_id, o + length(array_to_string(p[1:a - 1], chr(39))) + case when a > 1 then 1 else 0 end as s, substr(run, length(array_to_string(p[1:a - 1], chr(39))) + case when a > 1 then 2 else 1 end, length(array_to_string(p[a:z], chr(39)))) as word
+ from (select *, unnest(range(a, least(len(p), a + 1) + 1)) as z from pieces)),
+tokens as (select distinct {_FIRST} as token from documents where {_FIRST} <> '' union select unnest(['o' || chr(39) || 'neil', 'neil', 'd' || chr(39) || 'arc', 'arc'])),
+hits as (select doc_id, s, s + length(word) as e, word from subs where length(word) >= 3 and lower(word) in (select token from tokens)),
+longest as (select doc_id, s, max(e) as e, arg_max(word, e) as word from hits group by doc_id, s)
+select doc_id, s::int as "start", e::int as "end" from longest l where regexp_matches(word, '^\\p{{Lu}}') and not exists (select 1 from longest b where b.doc_id = l.doc_id and b.s < l.s and b.e > l.s)"""
+)
+def find_known_names(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    first = F.lower(F.regexp_extract("text", "^[A-Za-z]{3,}", 0))
+    own = spark.createDataFrame([(x,) for x in ("o'neil", "neil", "d'arc", "arc")], "token string")
+    tokens = docs.select(first.alias("token")).where("token <> ''").unionByName(own).distinct()
+    texts = docs.select(F.col("doc_id").alias("id"), F.lit(0).alias("field"), F.replace(F.regexp_replace("text", " (the|und|les|los) ", " O~Neil~s D~Arc "), F.lit("~"), F.lit("'")).alias("text"))
+    places = pseudonyms.known_names(texts, tokens)
+    return places.select(F.col("id").alias("doc_id"), "start", "end")
+
+
 @query()
 def find_spans(spark, sf_dir):
     texts = mails(spark, sf_dir).select("id", F.lit("body").alias("field"), F.col("body").alias("text"))

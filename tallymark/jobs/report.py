@@ -23,11 +23,11 @@ def hybrids(calls: DataFrame, truth: DataFrame, primary: str, fallbacks: list[st
     return sweep, reduce(DataFrame.unionByName, best)
 
 
-def report_tables(log: DataFrame, truth: DataFrame, emails: DataFrame | None = None, families: dict[str, str] | None = None, primary: tuple[str, ...] = ("primary",), named: float = 0.7) -> dict[str, DataFrame]:
+def report_tables(log: DataFrame, truth: DataFrame, emails: DataFrame | None = None, families: dict[str, str] | None = None, primary: tuple[str, ...] = ("primary",), named: float = 0.7, accuracy: int | None = None) -> dict[str, DataFrame]:
     """Sections by name. The joined pairs are written once and read by all of them.
 
     The first of the ``primary`` models is swept with each model that isn't one of them. ``emails(id, generator, intent)``
-    of the synthetic messages give bias and agreement with the intent.
+    of the synthetic messages give bias and agreement with the intent. ``accuracy`` makes percentiles approximate.
     """
     answers = materialized(fx.answers(log))
     pairs = materialized(m.pairs(answers, truth))
@@ -35,8 +35,8 @@ def report_tables(log: DataFrame, truth: DataFrame, emails: DataFrame | None = N
     calls = fx.candidates(log)
     classes = m.class_recall_precision(pairs)
     tables = {
-        "scorecard": m.scorecard(pairs, flags, answers, calls), "fields": m.field_accuracy(pairs), "classes": classes, "macro_f1": m.macro_f1(classes), "confusion": m.confusion_matrix(pairs), "consistency": m.run_consistency(answers), "latency": m.latency_stats(calls),
-        "latency_box": m.latency_box(calls), "tokens": m.token_means(calls), "baseline": m.majority_baseline(truth), "distribution": m.class_distribution(truth), "significance": m.significance_run1(flags), "mcnemar": m.mcnemar_pairs(flags),
+        "scorecard": m.scorecard(pairs, flags, answers, calls, accuracy=accuracy), "fields": m.field_accuracy(pairs), "classes": classes, "macro_f1": m.macro_f1(classes), "confusion": m.confusion_matrix(pairs), "consistency": m.run_consistency(answers), "latency": m.latency_stats(calls, accuracy),
+        "latency_box": m.latency_box(calls, accuracy), "tokens": m.token_means(calls), "baseline": m.majority_baseline(truth), "distribution": m.class_distribution(truth), "significance": m.significance_run1(flags), "mcnemar": m.mcnemar_pairs(flags),
         "errors": error_kinds(calls, m.GROUP),
     }
     models = {r.model for r in calls.select("model").distinct().collect()}  # a handful

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions.labels import FIELDS, Field, long_form, quantiles, rate
+from tallymark.functions.storage import materialized, numbered
 
 GROUP = ["dataset", "model"]
 THRESHOLDS = (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01)
@@ -81,11 +82,37 @@ def run_consistency(answers: DataFrame, fields: tuple[Field, ...] = FIELDS) -> D
     return rows.groupBy(*GROUP, "x.field").agg(rate(F.count_if("x.same"), F.count("*")).alias("consistency"))
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """``(dataset, model, q array)``: interpolated percentiles of groups of any size, by selecting ranks.
+
+    Equal values are counted first. The distinct ones are dealt by ranges of (group, value) and know from the counts of the ranges
+    before how many values lie below them, so the two values around a wanted rank are picked where they are: no task holds
+    a group, and only two rows a percentile and group meet.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*GROUP, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    below = numbered(counts, [F.col("v")], "below", amount=F.col("c"), within=tuple(GROUP)).withColumn("below", F.col("below").cast("long"))
+    totals = counts.groupBy(*GROUP).agg(F.sum("c").alias("n"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares))))
+    ranks = totals.select(*GROUP, wanted.alias("w")).select(*GROUP, "w.i", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
+    hit = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c"))
+    found = below.join(ranks, GROUP).where(hit)
+    weight = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("rank") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
+    each = found.groupBy(*GROUP, "i").agg(F.sum(weight * F.col("v")).alias("q"))
+    return each.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x.q).alias("q"))
+
+
+def group_quantiles(df: DataFrame, value: str, shares: list[float], accuracy: int | None = None) -> DataFrame:
+    """Percentiles by group, exact or, with ``accuracy``, approximate in one pass."""
+    if accuracy is None:
+        return exact_quantiles(df, value, shares)
+    return df.groupBy(*GROUP).agg(quantiles(F.col(value), shares, accuracy).alias("q"))
+
+
 def latency_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Median, 95th percentile (interpolated; approximate with ``accuracy``) and mean over valid answers."""
-    p = quantiles(F.col("latency_ms"), [0.5, 0.95], accuracy)
-    got = log.where("answer is not null").groupBy(*GROUP).agg(p.alias("p"), F.avg("latency_ms").alias("mean"))
-    return got.select(*GROUP, F.round(F.col("p")[0], 1).alias("p50"), F.round(F.col("p")[1], 1).alias("p95"), F.round("mean", 1).alias("mean"))
+    valid = log.where("answer is not null")
+    got = valid.groupBy(*GROUP).agg(F.avg("latency_ms").alias("mean")).join(group_quantiles(valid, "latency_ms", [0.5, 0.95], accuracy), GROUP, "left")
+    return got.select(*GROUP, F.round(F.col("q")[0], 1).alias("p50"), F.round(F.col("q")[1], 1).alias("p95"), F.round("mean", 1).alias("mean"))
 
 
 def cost_per_1000(log: DataFrame) -> DataFrame:
@@ -128,24 +155,36 @@ def hybrid_sweep(primary: DataFrame, fallback: DataFrame, truth: DataFrame, thre
     """What routing gives: answers of the primary model, or the fallback's where certainty is below a threshold.
 
     Both inputs: ``(dataset, id, answer, cost_usd, latency_ms)`` of run 1, one row an id, the primary's with
-    ``certainty``. Escalated messages cost the sum of both and take as long as both. Thresholds are a
-    handful of rows and multiply the joined rows inside one partial aggregation.
+    ``certainty``. Escalated messages cost the sum of both and take as long as both. Rows are summed once by bucket of certainty (how many
+    thresholds lie at or below it), both ways; a threshold then takes the fallback's sums of the buckets below it and the primary's of the
+    others, over a handful of rows, so what is shuffled doesn't depend on the number of thresholds.
     """
     whole = F.lit(True)
     for f in fields:
         whole &= F.col(f"truth.{f.name}").isNotNull()
-    p = primary.select("dataset", "id", "certainty", F.col("answer").alias("a"), F.col("cost_usd").alias("ca"), F.col("latency_ms").alias("la"))
+    ts = sorted(thresholds)
+    bucket = sum((F.when(F.col("certainty") >= t, 1).otherwise(0) for t in ts), F.lit(0)).alias("bucket")
+    p = primary.select("dataset", "id", bucket, F.col("answer").alias("a"), F.col("cost_usd").alias("ca"), F.col("latency_ms").alias("la"))
     q = fallback.select("dataset", "id", F.col("answer").alias("b"), F.col("cost_usd").alias("cb"), F.col("latency_ms").alias("lb"))
     rows = p.join(q, ["dataset", "id"]).join(truth.where(whole).select("id", "truth"), "id")
-    rows = rows.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).withColumn("up", F.col("certainty") < F.col("threshold"))
-    right = {f.name: F.coalesce(F.when(F.col("up"), F.col(f"b.{f.name}")).otherwise(F.col(f"a.{f.name}")) == F.col(f"truth.{f.name}"), F.lit(False)) for f in fields}
-    every = F.lit(True)
-    for r in right.values():
-        every &= r
-    n = F.count("*")
-    return rows.groupBy("dataset", "threshold").agg(
-        n.alias("n"), rate(F.count_if("up"), n).alias("escalated"), *(rate(F.count_if(r), n).alias(f"acc_{k}") for k, r in right.items()), rate(F.count_if(every), n).alias("acc_all"),
-        F.round(F.sum(F.col("ca") + F.when(F.col("up"), F.col("cb")).otherwise(0.0)) / n * 1000, 4).alias("cost_per_1000"), F.round(F.sum(F.col("la") + F.when(F.col("up"), F.col("lb")).otherwise(0.0)) / n, 1).alias("latency_mean"),
+
+    def right(side: str) -> dict[str, Column]:
+        each = {f.name: F.coalesce(F.col(f"{side}.{f.name}") == F.col(f"truth.{f.name}"), F.lit(False)) for f in fields}
+        every = F.lit(True)
+        for r in each.values():
+            every &= r
+        return {**each, "all": every}
+
+    counts = [F.count_if(r).alias(f"{side}_{k}") for side in "ab" for k, r in right(side).items()]
+    sums = rows.groupBy("dataset", "bucket").agg(F.count("*").alias("n"), *counts, *(F.sum(c).alias(c) for c in ("ca", "cb", "la", "lb")))
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(ts))))
+    up = F.col("bucket") <= F.col("x.i")
+    n = F.sum("n")
+    either = lambda k: F.sum(F.when(up, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")))
+    both = lambda k: F.sum(F.col(f"{k}a") + F.when(up, F.col(f"{k}b")).otherwise(0.0))
+    return sums.select("*", at.alias("x")).groupBy("dataset", F.col("x.threshold").alias("threshold")).agg(
+        n.alias("n"), rate(F.sum(F.when(up, F.col("n")).otherwise(0)), n).alias("escalated"), *(rate(either(f.name), n).alias(f"acc_{f.name}") for f in fields), rate(either("all"), n).alias("acc_all"),
+        F.round(both("c") / n * 1000, 4).alias("cost_per_1000"), F.round(both("l") / n, 1).alias("latency_mean"),
     )
 
 
@@ -187,19 +226,26 @@ def significance_run1(flags: DataFrame) -> DataFrame:
 def mcnemar_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     """Exact two-sided binomial p-value, four digits, for counts of any size.
 
-    Terms fall off from the largest, at min(a, b), by factors of k / (n - k + 1), so those beyond a stretch of a few standard
-    deviations are nothing; the sum ends where they are.
+    Terms fall off from the largest, at min(a, b), by factors of k / (n - k + 1); the sum ends where they are nothing, and memory
+    doesn't grow with the counts.
     """
-    from math import lgamma, log, sqrt
+    from math import exp, lgamma, log, log1p, pi
 
     def one(a: int, b: int) -> float:
         n, k = a + b, min(a, b)
         if a == b:
             return 1.0
-        back = np.arange(min(k, 40 * int(sqrt(n) + 1)))
-        steps = np.concatenate([[0.0], np.cumsum(np.log(k - back) - np.log(n - k + back + 1))])
-        top = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)
-        return round(min(1.0, 2 * float(np.exp(top) * np.exp(steps).sum())), 4)
+        if k < 1000:
+            top = lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2)
+        else:  # by Stirling's series, which loses nothing to differences of huge logarithms
+            x = (n - 2 * k) / n
+            top = -(log(2 * pi * k * ((n - k) / n)) + n * ((1 - x) * log1p(-x) + (1 + x) * log1p(x))) / 2 + (1 / n - 1 / k - 1 / (n - k)) / 12
+        total, log_term, i = 1.0, 0.0, 0
+        while i < k and log_term > -40:  # in stretches; a term of e**-40 of the largest is below the sum's last digit
+            back = np.arange(i, min(k, i + 100_000))
+            steps = log_term + np.cumsum(np.log(k - back) - np.log(n - k + back + 1))
+            total, log_term, i = total + float(np.exp(steps).sum()), float(steps[-1]), i + len(back)
+        return round(min(1.0, 2 * exp(top) * total), 4)
 
     return pd.Series([one(int(a), int(b)) for a, b in zip(only_a, only_b, strict=True)])
 
@@ -218,22 +264,22 @@ def mcnemar_pairs(flags: DataFrame) -> DataFrame:
 def latency_box(log: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Quartiles (approximate with ``accuracy``) and whiskers: the furthest valid latencies within 1.5 times the quartiles' distance."""
     valid = log.where("answer is not null")
-    q = valid.groupBy(*GROUP).agg(quantiles(F.col("latency_ms"), [0.25, 0.5, 0.75], accuracy).alias("q"))
+    q = materialized(group_quantiles(valid, "latency_ms", [0.25, 0.5, 0.75], accuracy))
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     both = valid.join(q, GROUP).where(F.col("latency_ms").between(F.col("q")[0] - reach, F.col("q")[2] + reach))
     got = both.groupBy(*GROUP).agg(F.first("q").alias("q"), F.min("latency_ms").alias("low"), F.max("latency_ms").alias("high"))
     return got.select(*GROUP, *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "low", "high")
 
 
-def scorecard(p: DataFrame, flags: DataFrame, answers: DataFrame, log: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
-    """One row for each dataset and model; all parts are small once aggregated."""
+def scorecard(p: DataFrame, flags: DataFrame, answers: DataFrame, log: DataFrame, fields: tuple[Field, ...] = FIELDS, accuracy: int | None = None) -> DataFrame:
+    """One row for each dataset and model; all parts are small once aggregated. ``accuracy`` makes percentiles approximate."""
     acc = field_accuracy(p).groupBy(*GROUP).pivot("field", [f.name for f in fields]).agg(F.first("accuracy"))
     acc = acc.select(*GROUP, *(F.col(f.name).alias(f"acc_{f.name}") for f in fields))
     hits = lambda f, c: rate(F.count_if((F.col("field") == f) & (F.col("actual") == c) & (F.col("pred") == c)), F.count_if((F.col("field") == f) & (F.col("actual") == c)))
     recall = p.groupBy(*GROUP).agg(hits("urgency", '"now"').alias("recall_now"), hits("phishing", "true").alias("recall_phishing"))
     same = run_consistency(answers, fields).where("field = 'all'").select(*GROUP, "consistency")
     out = call_errors(log)
-    for part in (acc, recall, all_fields_correct(flags).select(*GROUP, "all_correct"), same, latency_stats(log).select(*GROUP, "p50", "p95"), cost_per_1000(log)):
+    for part in (acc, recall, all_fields_correct(flags).select(*GROUP, "all_correct"), same, latency_stats(log, accuracy).select(*GROUP, "p50", "p95"), cost_per_1000(log)):
         out = out.join(part, GROUP, "left")
     return out
 

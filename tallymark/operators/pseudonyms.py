@@ -95,27 +95,66 @@ def url_host(url: Column) -> Column:
     return F.when(F.length(host) > 0, host)
 
 
-def find_spans(texts: DataFrame, tokens: DataFrame, recognized: DataFrame | None = None) -> DataFrame:
-    """Adds ``spans`` to ``texts(id, field, text)``.
+#: Known name tokens up to so many bytes together go to every task; more are joined with the texts' words.
+MAX_HELD_TOKENS = 16_000_000
+_PLACE = "array<struct<start:int,end:int>>"
+
 
-    Each text's words are joined with the name tokens, so the dictionary may be of any size; the words found
-    go into the span function as a column. ``recognized(id, field, found)`` are spans of an external recognizer.
+def name_matches(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(id, field, places)``: where words of ``texts(id, field, text)`` are ``tokens(token)``.
+
+    Every place where a name could stand is a row with its offsets and its word, joined with the tokens and brought back
+    as offsets, so texts are not searched again. Names have as many words between apostrophes as the longest token.
     """
-    words = texts.select("id", "field", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\w\-]+(?:['’][\w\-]+)*"), F.lit(0)))).alias("w"))
-    parts = words.select("id", "field", F.explode(F.array_distinct(F.concat(F.array("w"), F.split("w", "['’]")))).alias("token"))
-    hits = parts.join(tokens.select("token").distinct(), "token").groupBy("id", "field").agg(F.collect_set("token").alias("known"))
-    rows = texts.join(hits, ["id", "field"], "left")
-    rows = rows.join(recognized, ["id", "field"], "left") if recognized is not None else rows.withColumn("found", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    known = tokens.select(F.lower("token").alias("token")).where(F.length("token") >= names.MIN_TOKEN).distinct()
+    most = known.agg(F.max(F.size(F.split("token", "['’]")))).first()[0] or 0
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            each = [[(a, b, t[a:b].lower()) for a, b in spans.name_places(t, most)] if t else [] for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "field": pdf["field"], "w": each})
+
+    word = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("token", T.StringType())]))
+    rows = texts.select("id", "field", "text").mapInPandas(words, T.StructType([texts.schema["id"], texts.schema["field"], T.StructField("w", word)]))
+    hits = rows.select("id", "field", F.inline("w")).join(known, "token")
+    return hits.groupBy("id", "field").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+
 
-    named = F.filter("found", lambda x: spans.plausible(F.substr("text", x.start + 1, x.end - x.start)))
-    rows = rows.withColumn("found", named)
+def known_names(texts: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``(id, field, start, end)`` of known names in ``texts(id, field, text)``, by the match join."""
+
+    @F.pandas_udf(_PLACE)
+    def chosen(text: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([[(s.start, s.end) for s in spans.known_at(t, [(p["start"], p["end"]) for p in x])] for t, x in zip(text, places, strict=True)])
+
+    found = texts.select("id", "field", "text").join(name_matches(texts, tokens), ["id", "field"])
+    return found.select("id", "field", F.inline(chosen("text", "places")))
+
+
+def find_spans(texts: DataFrame, tokens: DataFrame, recognized: DataFrame | None = None, held_bytes: int = MAX_HELD_TOKENS) -> DataFrame:
+    """Adds ``spans`` to ``texts(id, field, text)``.
+
+    Known name tokens of a measured size of up to ``held_bytes`` are broadcast and looked up where the texts lie; beyond that, the texts'
+    words are joined with them (``name_matches``), with the same spans. ``recognized(id, field, found)`` are spans of an external recognizer.
+    """
+    size = tokens.agg(F.coalesce(F.sum(F.octet_length("token") + 60), F.lit(0))).first()[0]
+    rows = texts
+    if held := size <= held_bytes:
+        known = texts.sparkSession.sparkContext.broadcast(frozenset(r[0].lower() for r in tokens.select("token").distinct().collect() if r[0]))
+        rows = rows.withColumn("places", F.lit(None).cast(_PLACE))
+    else:
+        known = None
+        rows = rows.join(name_matches(texts, tokens), ["id", "field"], "left").withColumn("places", F.coalesce("places", F.array().cast(_PLACE)))
+    rows = rows.join(recognized, ["id", "field"], "left") if recognized is not None else rows.withColumn("found", F.lit(None).cast(_PLACE))
+    rows = rows.withColumn("found", F.filter("found", lambda x: spans.plausible(F.substr("text", x.start + 1, x.end - x.start))))
 
     @F.pandas_udf(SPANS)
-    def spans_of(text: pd.Series, known: pd.Series, found: pd.Series) -> pd.Series:
-        one = lambda t, k, f: [tuple(s) for s in spans.find(t, set(k) if k is not None else set(), [(x["start"], x["end"]) for x in f] if f is not None else [])]
-        return pd.Series([one(*x) for x in zip(text, known, found, strict=True)])
+    def spans_of(text: pd.Series, places: pd.Series, found: pd.Series) -> pd.Series:
+        pairs = lambda x: [(p["start"], p["end"]) for p in x] if x is not None else []
+        tokens = known.value if held else frozenset()
+        return pd.Series([[tuple(s) for s in spans.find(t, tokens, pairs(f), None if held else pairs(p))] for t, p, f in zip(text, places, found, strict=True)])
 
-    return rows.withColumn("spans", spans_of("text", "known", "found")).drop("known", "found")
+    return rows.withColumn("spans", spans_of("text", "places", "found")).drop("places", "found")
 
 
 def rewritten(texts: DataFrame, shown: DataFrame) -> DataFrame:

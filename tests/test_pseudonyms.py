@@ -85,3 +85,47 @@ def test_implausible_names_are_dropped(spark):
 @pytest.mark.parametrize(("spans", "want"), [([(0, 5, "PERSON"), (3, 9, "EMAIL")], [(3, 9)]), ([(0, 5, "NUMBER"), (0, 7, "NUMBER")], [(0, 7)]), ([(0, 2, "PHONE"), (1, 3, "PHONE"), (2, 4, "PHONE")], [(0, 2), (2, 4)]), ([(4, 4, "URL")], [])])
 def test_overlaps(spans, want):
     assert [(x.start, x.end) for x in s.resolved([s.Span(*x) for x in spans])] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "tokens", "want"),
+    [
+        ("Das ist O'Neil's Haus", ["o'neil"], "Das ist <PERSON>'s Haus"), ("O’Neil’s", ["o’neil"], "<PERSON>’s"), ("o'Neil kam", ["o'neil", "neil"], "o'Neil kam"), ("D'Arc'Ys'La'Mar's Pferd", ["d'arc'ys'la'mar"], "<PERSON>'s Pferd"),
+        ("x'Maria's", ["maria"], "x'<PERSON>'s"), ("Maria's-Luise", ["maria"], "<PERSON>'s-Luise"), ("O'Neil-Weber", ["o'neil"], "O'Neil-Weber"), ("'Maria' und Maria", ["maria"], "'<PERSON>' und <PERSON>"),
+    ],
+)
+def test_names_around_apostrophes(text, tokens, want):
+    assert tagged(text, tokens) == want
+
+
+def test_match_join_gives_the_same_spans(spark):
+    texts = ["Das ist O'Neil's Haus, sagt Maria-Luise zu maria und MARIA", "o'Neil, O'neil'S Maria's", "", None, "A'" * 3000 + "Maria's", "Maria " * 2000, "Maria Maria"]
+    df = spark.createDataFrame([(i, 3, t) for i, t in enumerate(texts)], "id long, field int, text string")
+    tokens = spark.createDataFrame([("maria",), ("o'neil",), ("neil",), ("maria",), ("xx",), (None,)], "token string")
+    both = [{r.id: [tuple(x) for x in r.spans or []] for r in p.find_spans(df, tokens, held_bytes=size).collect()} for size in (p.MAX_HELD_TOKENS, 0)]
+    assert both[0] == both[1] and [len(both[0][i]) for i in range(7)] == [2, 2, 0, 0, 1, 1, 1]
+    places = p.known_names(df, tokens).where("id = 5").collect()
+    assert len(places) == 2000 and {r.end - r.start for r in places} == {5}
+
+
+def test_no_name_stays_in_a_mail(spark):
+    rows = [("1", 1, box("Sean O'Neil", "sean@firma.de"), [box("Me", "me@x.de")], [], "Hi", "das ist in O'Neil's Haus")]
+    mails = spark.createDataFrame(rows, f"id string, position int, sender {p.MAILBOX}, to array<{p.MAILBOX}>, cc array<{p.MAILBOX}>, subject string, body string")
+    assert p.anonymize_corpus(mails)[0].first().text == "das ist in [PERSON_1]'s Haus"
+
+
+def test_person_ids_take_time_in_proportion(spark, tmp_path):
+    import time
+
+    import __spark_entry__ as entry
+
+    def seconds(words):
+        path = str(tmp_path / str(words))
+        spark.createDataFrame([(1, "abc def " * (words // 2))], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+        start = time.perf_counter()
+        got = entry.queries()["person_ids"](spark, path)
+        assert got.count() == 2
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(1_000_000) < 20 * seconds(100_000) + 5
