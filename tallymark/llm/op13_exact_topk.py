@@ -2,8 +2,8 @@
 
 The index cuts vectors into blocks. In a block, each dimension's postings (vector, component) lie in segments of
 equal quantised component. A query takes segments from the largest possible impact (query component times the
-segment's largest component) downwards and adds them to its vectors' scores. After segments of impact c at least, a vector with m
-dimensions to go scores at most (sum so far) + m * c. A query stops when all vectors that could still be among its k
+segment's largest component) downwards and adds them to its vectors' scores. A vector with m dimensions to go scores at most what
+it has so far and the m largest impacts that dimensions have left. A query stops when all vectors that could still be among its k
 best, by this bound, are few enough to be scored exactly, which costs less than going on; they then are. Nothing is left out without that proof.
 
 Equal vectors are one entry with their k + 1 smallest ids: no other of their ids can be among anyone's k best. Equal queries are
@@ -27,7 +27,9 @@ from tallymark.llm.common import table, written
 #: Components that fall into one segment: this many neighbouring values.
 WIDTH = 4
 #: Shares of all postings after which a query looks whether it can stop.
-STOPS = (0.2, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95)
+STOPS = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9)
+#: A posting adds its part of the score and one of these, so that one sum gives both the score so far and the dimensions met.
+ONE = 2.0**-13
 
 
 def quantised(df: DataFrame, scale: int = 64) -> DataFrame:
@@ -37,66 +39,76 @@ def quantised(df: DataFrame, scale: int = 64) -> DataFrame:
 
 
 class Block:
-    """The index of one block: postings of each dimension by descending component, cut into segments."""
+    """The index of one block: each dimension's postings by descending component, cut into segments, one dimension after the other."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors = vectors
         n, self.dims = vectors.shape
+        self.vectors, self.real = vectors, vectors.astype(np.float64)
         order = np.argsort(-vectors, axis=0, kind="stable")
-        self.ids = np.ascontiguousarray(order.T).astype(np.int32)  # by dimension
-        self.values = np.ascontiguousarray(np.take_along_axis(vectors, order, axis=0).T).astype(np.float64)
-        dim, begin, end, low, high = [], [], [], [], []
-        for d in range(self.dims):
-            level = np.floor_divide(self.values[d], WIDTH)
-            cut = np.concatenate([[0], np.flatnonzero(level[1:] != level[:-1]) + 1, [n]])
-            dim += [d] * (len(cut) - 1)
-            begin += cut[:-1].tolist()
-            end += cut[1:].tolist()
-            high += self.values[d, cut[:-1]].tolist()
-            low += self.values[d, cut[1:] - 1].tolist()
-        self.dim, self.begin, self.end = (np.array(x, np.int64) for x in (dim, begin, end))
-        self.reach = np.maximum(np.abs(np.array(low)), np.abs(np.array(high)))  # largest component of a segment, whatever its sign
+        self.ids = np.ascontiguousarray(order.T).ravel()
+        self.values = np.ascontiguousarray(np.take_along_axis(self.real, order, axis=0).T).ravel()
+        level = np.floor_divide(self.values, WIDTH).reshape(self.dims, n)
+        new = np.ones((self.dims, n), bool)
+        new[:, 1:] = level[:, 1:] != level[:, :-1]
+        self.begin = np.flatnonzero(new)
+        self.end = np.append(self.begin[1:], n * self.dims)
+        self.dim = self.begin // n
+        self.first = np.flatnonzero(np.append(True, self.dim[1:] != self.dim[:-1]))  # segment of each dimension
+        self.reach = np.maximum(np.abs(self.values[self.begin]), np.abs(self.values[self.end - 1]))  # a segment's largest component, whatever its sign
+        self.largest = float(self.reach.max(initial=0))
+        self.some_ids, self.parts = np.empty(n * self.dims, np.int64), np.empty(n * self.dims)
+        self.stop = len(STOPS) // 2  # where queries have stopped lately; they begin to look just before
 
     def best(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of all vectors that score as much as the k-th best of this block, or more."""
-        n = len(self.vectors)
-        exact = lambda at: self.vectors[at] @ query
-        at = np.arange(n)
-        if n > 4 * k and float(np.abs(query).max(initial=0)) * float(self.reach.max(initial=0)) * self.dims < 2**52:
-            at = self._possible(query.astype(np.float64), k, exact)
-        scores = exact(at)
+        n, size = len(self.vectors), float(np.abs(query).max(initial=0)) * self.largest * self.dims
+        if size >= 2**52:  # beyond what floating point holds exactly
+            at, scores = np.arange(n), self.vectors @ query
+        else:
+            real = query.astype(np.float64)
+            at = self._possible(real, k) if n > 4 * k and size < 2**38 and self.dims < 1 / ONE else np.arange(n)
+            scores = (self.real[at] @ real).astype(np.int64)
         if len(at) > k:
             least = np.partition(scores, len(at) - k)[len(at) - k]
             at, scores = at[scores >= least], scores[scores >= least]
         return at, scores
 
-    def _possible(self, query: np.ndarray, k: int, exact) -> np.ndarray:
+    def _take(self, segments: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """What these segments add to each vector: score, and ONE for each dimension."""
+        first = np.concatenate([[True], (np.diff(segments) != 1) | (np.diff(self.dim[segments]) != 0)])
+        begin, end = self.begin[segments[first]], self.end[segments[np.append(first[1:], True)]]
+        m, slices = 0, []
+        for a, b, q in zip(begin.tolist(), end.tolist(), query[self.dim[segments[first]]].tolist(), strict=True):
+            np.multiply(self.values[a:b], q, out=self.parts[m : m + b - a])
+            slices.append(self.ids[a:b])
+            m += b - a
+        self.parts[:m] += ONE
+        np.concatenate(slices, out=self.some_ids[:m])
+        return np.bincount(self.some_ids[:m], weights=self.parts[:m], minlength=len(self.vectors))
+
+    def _possible(self, query: np.ndarray, k: int) -> np.ndarray:
         """Places of a superset of the k best, proven by bounds on what is left."""
         n = len(self.vectors)
         impact = np.abs(query[self.dim]) * self.reach
-        order = np.argsort(-impact, kind="stable")
+        order = np.argsort(-impact)
         upto = np.cumsum((self.end - self.begin)[order])
-        total, sums, seen, taken, i = n * self.dims, np.zeros(n), np.zeros(n, np.int64), 0, 0
-        for stop in STOPS:
-            z = int(np.searchsorted(upto, stop * total)) + 1
-            ids, add = [], []
-            for s in order[i:z].tolist():
-                a, b, d = self.begin[s], self.end[s], self.dim[s]
-                ids.append(self.ids[d, a:b])
-                add.append(self.values[d, a:b] * query[d])
-            i = min(z, len(order))
-            if not ids:
-                break
-            at = np.concatenate(ids)
-            taken += len(at)
-            sums += np.bincount(at, weights=np.concatenate(add), minlength=n)
-            seen += np.bincount(at, minlength=n)
-            left = impact[order[i]] if i < len(order) else 0.0
-            known = exact(np.argpartition(-sums, k)[: k + 1])
-            least = np.partition(known, len(known) - k)[len(known) - k]  # k vectors are known to score this much
-            possible = np.flatnonzero(sums + (self.dims - seen) * left >= least)
-            if len(possible) * self.dims <= max(total - taken, 1) * 0.25 or i == len(order):
+        got, taken = np.zeros(n), np.zeros(len(impact), bool)
+        for i in range(max(0, self.stop - 1), len(STOPS)):
+            lowest = impact[order[min(int(np.searchsorted(upto, STOPS[i] * n * self.dims)), len(order) - 1)]]
+            now = np.flatnonzero((impact >= lowest) & ~taken)
+            if len(now):
+                got += self._take(now, query)
+                taken[now] = True
+            left = np.maximum.reduceat(np.where(taken, 0.0, impact), self.first)  # of each dimension, no posting that is left adds more
+            rest = np.concatenate([[0.0], np.cumsum(np.sort(left)[::-1])])  # what any so many dimensions can still add
+            sums = np.floor(got)
+            bound = sums + rest[self.dims - ((got - sums) / ONE).astype(np.int64)]
+            known = self.real[np.argpartition(-sums, k)[:k]] @ query
+            possible = np.flatnonzero(bound >= known.min())  # k vectors are known to score that much
+            if len(possible) <= 0.2 * n:  # scoring them costs less than what is left
+                self.stop = i
                 return possible
+        self.stop = len(STOPS) - 1
         return np.arange(n)
 
 
@@ -130,7 +142,7 @@ def _tile_search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_entries: int = 1 << 19, query_entries: int = 1 << 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_entries: int = 1 << 20, query_entries: int = 1 << 16) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``queries(vec_id, vector)`` the k best of ``vectors(vec_id, vector)`` but itself.
 
     A block holds about ``block_entries`` components, a group of queries ``query_entries``; both follow from the data's
