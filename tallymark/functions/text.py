@@ -5,7 +5,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,6 +55,22 @@ def history_start(lines: Column) -> Column:
     return F.coalesce(F.array_min(F.transform(lines, begins)), F.size(lines))
 
 
+def history_starts(bodies: DataFrame) -> DataFrame:
+    """``(id, start)`` of ``bodies(id, text)``: history_start() with a row for each line, for bodies that no task should hold as an array of lines.
+
+    Each line looks at a few lines around it (its four followers, and a forward marker within the eight before), so conditions are
+    windows that stream over a body's lines in order; the first line that begins the history is a partial minimum. Null bodies have no start.
+    """
+    lines = bodies.where("text is not null").select("id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    at = Window.partitionBy("id").orderBy("i")
+    marked = lines.select("*", F.last(F.when(F.col("x").rlike(FORWARDED), F.col("i")), ignorenulls=True).over(at.rowsBetween(-FORWARD_HEADER, 0)).alias("marker"), F.lead("x").over(at).alias("following"), F.max(F.col("x").rlike(AFTER_FROM)).over(at.rowsBetween(1, FOLLOW_UP)).alias("header_goes_on"))
+    x = F.col("x")
+    wrapped = ~x.endswith(":") & F.concat_ws(" ", x, "following").rlike(ATTRIBUTION)
+    header = x.rlike(FROM_LINE) & F.coalesce("header_goes_on", F.lit(False))
+    begins = F.col("marker").isNull() & (x.rlike(SIGNATURE) | x.rlike(ORIGINAL) | x.rlike(ATTRIBUTION) | wrapped | header)
+    return marked.groupBy("id").agg(F.coalesce(F.min(F.when(begins, F.col("i"))), F.count("*").cast("int")).alias("start"))
+
+
 def clean_body(text: Column) -> Column:
     """Clean lines up to the history, without quoted ones; at most one empty line in a row."""
     plain = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), INVISIBLE, "")

@@ -76,14 +76,35 @@ def clean_body(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_body(F.col("text")).alias("body"))
 
 
-@query("select page_id, len(list_filter(string_split(html, chr(10)), lambda x: not regexp_matches(x, '^\\s*>'))) as n from pages")
-def drop_quoted_lines(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.size(text.drop_quoted_lines(F.split("html", "\n"))).cast("long").alias("n"))
+#: Documents as bodies with a history: lines before and after the document's own, by id.
+_BODY = "case doc_id % 6 when 0 then text when 1 then text || chr(10) || '-- ' || chr(10) || 'x' when 2 then 'Forwarded message' || chr(10) || 'From: a' || chr(10) || 'Date: b' || chr(10) || text when 3 then 'hi' || chr(10) || 'On 1 Jan, someone' || chr(10) || 'wrote:' || chr(10) || text when 4 then 'From: a' || chr(10) || 'q' || chr(10) || '> z' || chr(10) || 'Sent: b' || chr(10) || text else '> a' || chr(10) || text || chr(10) || '---- Original Message ----' end"
 
 
-@query()
+def bodies(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(_BODY.replace("chr(10)", "char(10)")).alias("text"))
+
+
+@query(
+    f"""with l as (select doc_id, x[i] as x, i - 1 as i, x[i + 1] as y, x[i + 1:i + 4] as after, x[greatest(1, i - 8):i] as before from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split({_BODY}, chr(10)) as x from documents where text is not null))),
+b as (select doc_id, i from l where len(list_filter(before, lambda z: regexp_matches(z, '(?i)^\\s*-*\\s*(Forwarded message|Weitergeleitete Nachricht|Begin forwarded message|Anfang der weitergeleiteten Nachricht)\\s*:?\\s*-*\\s*$'))) = 0 and (x in ('--', '-- ')
+ or regexp_matches(x, '(?i)^\\s*-{{2,}}\\s*(Original Message|Ursprüngliche Nachricht|Originalnachricht)\\s*-{{2,}}\\s*$') or regexp_matches(x, '(?i)^\\s*(Am|On)\\b.{{5,250}}\\b(schrieb|wrote)\\b.*:\\s*$')
+ or (x not like '%:' and regexp_matches(concat_ws(' ', x, y), '(?i)^\\s*(Am|On)\\b.{{5,250}}\\b(schrieb|wrote)\\b.*:\\s*$'))
+ or (regexp_matches(x, '^\\s*\\*?(Von|From)\\s*:\\*?\\s+\\S') and len(list_filter(after, lambda z: regexp_matches(z, '^\\s*\\*?(Gesendet|Sent|Datum|Date|An|To)\\s*:\\*?\\s'))) > 0))),
+n as (select doc_id, max(i) + 1 as n from l group by doc_id)
+select n.doc_id, coalesce(min(b.i), any_value(n.n))::int as start from n left join b using (doc_id) group by n.doc_id"""
+)
+def history_starts(spark, sf_dir):
+    return text.history_starts(bodies(spark, sf_dir).withColumnRenamed("doc_id", "id")).select(F.col("id").alias("doc_id"), "start")
+
+
+@query(ORACLES["history_starts"])
 def history_start(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", text.history_start(F.split("text", "\n")).alias("start"))
+    return bodies(spark, sf_dir).select("doc_id", text.history_start(F.split("text", "\n")).alias("start"))
+
+
+@query(f"select doc_id, len(list_filter(string_split({_BODY}, chr(10)), lambda x: not regexp_matches(x, '^\\s*>'))) as n from documents where text is not null")
+def drop_quoted_lines(spark, sf_dir):
+    return bodies(spark, sf_dir).select("doc_id", F.size(text.drop_quoted_lines(F.split("text", "\n"))).cast("long").alias("n"))
 
 
 _CUT = "(2000 - strpos(reverse(left(text, 2000)), ' '))"
@@ -278,8 +299,13 @@ def _scenarios(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("key"), (F.col("n_nationkey") % 4 + 1).alias("weight"), (F.col("n_nationkey") % 5 == 0).alias("phishing"))
 
 
-_U = "(((((i + 7919 + 5 * 104729 + 1) * 48271) % 2147483647) * 69621 + 1) % 2147483647) / 2147483647.0::double"
-_DRAWN = f"with s as (select n_name as key, n_nationkey % 4 + 1 as weight, n_nationkey % 5 = 0 as phishing, sum(n_nationkey % 4 + 1) over (order by n_nationkey) as high, sum(n_nationkey % 4 + 1) over () as total from nation), d as (select i as row, key, phishing from (select o_orderkey_rank - 1 as i from (select row_number() over () as o_orderkey_rank from orders)) r join s on {_U} * total >= high - weight and {_U} * total < high)"
+#: The SQL looks draws up in the same table; a test holds tables against the weights they were made of.
+_X = "(((i + 7919 + 5 * 104729 + 1) * 48271) % 2147483647 * 69621 + 1) % 2147483647 * 25"
+_SLOTS = ", ".join(f"({a}, {b}, {c})" for a, b, c in synth.alias_table([i % 4 + 1 for i in range(25)]))
+_DRAWN = f"""with s as (select n_name as key, n_nationkey % 5 = 0 as phishing, row_number() over (order by n_nationkey) - 1 as at from nation),
+slots(slot, own, other) as (values {_SLOTS}), room as (select sum(n_nationkey % 4 + 1) as room from nation),
+u as (select i, {_X} // 2147483647 as slot, {_X} % 2147483647 * (select room from room)::bigint // 2147483647 as v from (select row_number() over () - 1 as i from orders)),
+d as (select i as row, key, phishing from u join slots using (slot) join s on s.at = case when v < own then slot else other end)"""
 
 
 @query(_DRAWN + " select row, key from d")

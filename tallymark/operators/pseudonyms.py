@@ -7,6 +7,7 @@ of each key, and numbers over distinct keys only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import types as T
 
 from tallymark.functions import names, spans
 from tallymark.functions.storage import materialized, numbered
+from tallymark.functions.workers import held
 from tallymark.functions.text import detect_language
 from tallymark.operators.votes import draw_sample
 
@@ -281,16 +283,32 @@ Recognizer = Callable[[list[str]], list[list[tuple[int, int]]]]
 
 
 def name_spans(texts: DataFrame, recognize: Recognizer | dict[str, Recognizer], batch: int = 64) -> DataFrame:
-    """Runs an external recognizer over ``texts(id, field, text)`` in batches; gives ``(id, field, found)``.
+    """``name_spans_held`` with recognizers that need no opening."""
+    opened = {k: (lambda f=f: f) for k, f in recognize.items()} if isinstance(recognize, dict) else lambda: recognize
+    return name_spans_held(texts, opened, batch)
 
-    With recognizers by language each text goes to the one of its detected language, without spans where there is none.
+
+def name_spans_held(texts: DataFrame, open_recognizer: Callable[[], Recognizer] | dict[str, Callable[[], Recognizer]], batch: int = 64) -> DataFrame:
+    """Runs an external recognizer over ``texts(id, field, text)`` in lists of ``batch``; gives ``(id, field, found)``.
+
+    Recognizers are opened in the workers and stay open there. With several by language, texts are dealt by ranges of (language, id), so a
+    task has one language, two at a bound, and a worker holds one recognizer at a time; texts of other languages get no spans. A
+    recognizer that gives another number of results than it got texts ends the job.
     """
-    by_language = isinstance(recognize, dict)
-    lang = detect_language(F.coalesce("text", F.lit(""))) if by_language else F.lit("")
+    by_language, key = isinstance(open_recognizer, dict), uuid.uuid4().hex
+    rows = texts.select("id", "field", "text", (detect_language(F.coalesce("text", F.lit(""))) if by_language else F.lit("")).alias("lang"))
+    if by_language:
+        order = ["lang", F.xxhash64("id", "field")]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions("lang")
 
     def spans_of(lang: str, part: list[str]) -> list[list[tuple[int, int]]]:
-        of = recognize.get(lang) if by_language else recognize
-        return of(part) if of else [[] for _ in part]
+        open_ = open_recognizer.get(lang) if by_language else open_recognizer
+        if open_ is None:
+            return [[] for _ in part]
+        found = held(f"{key} {lang}", open_)(part)
+        if len(found) != len(part):
+            raise RuntimeError(f"a recognizer gave {len(found)} results for {len(part)} texts")
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -300,4 +318,4 @@ def name_spans(texts: DataFrame, recognize: Recognizer | dict[str, Recognizer],
                 yield pd.DataFrame({"id": rows["id"], "field": rows["field"], "found": [[{"start": a, "end": b} for a, b in x] for x in found]})
 
     schema = T.StructType([texts.schema["id"], texts.schema["field"], T.StructField("found", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    return texts.select("id", "field", "text", lang.alias("lang")).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)

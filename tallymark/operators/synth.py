@@ -5,27 +5,62 @@ Draws are functions of row number and seed, so any part of a corpus can be drawn
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymark.functions.storage import numbered
 
 _PRIME = 2_147_483_647
 
 
-def uniform(row: Column, salt: int, seed: int) -> Column:
-    """A number in [0, 1) from two multiplicative steps on integers below 2**31, the same in any engine."""
+def drawn_number(row: Column, salt: int, seed: int) -> Column:
+    """A whole number from 0 to below 2**31 - 1 from two multiplicative steps, the same in any engine. Draws of one row with other salts are not independent of it."""
     x = ((row + salt * 7919 + seed * 104_729 + 1) * 48_271) % _PRIME
-    return ((x * 69_621 + salt) % _PRIME) / F.lit(float(_PRIME))
+    return (x * 69_621 + salt) % _PRIME
 
 
-def draw_scenarios(spark: SparkSession, n: int, scenarios: DataFrame, seed: int) -> DataFrame:
-    """``n`` rows with ``row`` from 0 and a scenario drawn by ``weight``; ``scenarios(position, key, weight, ...)`` is small and broadcast."""
-    upto = F.sum("weight").over(Window.orderBy("position"))
-    total = scenarios.agg(F.sum("weight").alias("all"))
-    ranges = scenarios.withColumn("high", upto).withColumn("low", F.col("high") - F.col("weight")).join(F.broadcast(total))
-    rows = spark.range(n).select(F.col("id").alias("row")).withColumn("u", uniform(F.col("row"), 1, seed))
-    return rows.join(F.broadcast(ranges), (F.col("u") * F.col("all") >= F.col("low")) & (F.col("u") * F.col("all") < F.col("high"))).drop("u", "all", "low", "high", "weight", "position")
+def uniform(row: Column, salt: int, seed: int) -> Column:
+    """A number in [0, 1)."""
+    return drawn_number(row, salt, seed) / F.lit(float(_PRIME))
+
+
+def alias_table(weights: list[int]) -> list[tuple[int, int, int]]:
+    """Walker's table for whole weights: ``(slot, own share, other)`` of ``len(weights)`` slots with as much room as all weights together.
+
+    In slot s, draws below the own share go to s and the others to ``other``. Shares are whole numbers, so the table is exact.
+    """
+    n, room = len(weights), sum(weights)
+    left = [w * n for w in weights]
+    small = [i for i in range(n) if left[i] < room]
+    large = [i for i in range(n) if left[i] >= room]
+    table = {}
+    while small and large:
+        s, g = small.pop(), large[-1]
+        table[s] = (s, left[s], g)
+        left[g] -= room - left[s]
+        if left[g] < room:
+            small.append(large.pop())
+    table |= {i: (i, room, i) for i in [*small, *large]}
+    return [table[i] for i in range(n)]
+
+
+def draw_scenarios(spark: SparkSession, n: int, scenarios: DataFrame, seed: int, most: int = 100_000) -> DataFrame:
+    """``n`` rows with ``row`` from 0 and a scenario drawn by whole ``weight``; of ``scenarios(position, key, weight, ...)`` there are at most ``most``.
+
+    One number a row: its place among the slots of the alias table, and what is left of it within the slot picks the slot's own scenario or its
+    other one. Each row meets one slot by its number, so a draw costs the same for any number of scenarios; the table is broadcast, its size is checked.
+    """
+    listed = scenarios.orderBy("position", "key").limit(most + 1).collect()
+    if not listed or len(listed) > most or sum(r.weight for r in listed) <= 0:
+        raise ValueError(f"between 1 and {most} scenarios with some weight are needed, not {len(listed)}")
+    room = sum(r.weight for r in listed)
+    slots = spark.createDataFrame(alias_table([int(r.weight) for r in listed]), "slot long, own long, other long")
+    numbered_ = spark.createDataFrame([(i, *r) for i, r in enumerate(listed)], T.StructType([T.StructField("at", T.LongType()), *scenarios.schema.fields])).drop("weight", "position")
+    place = drawn_number(F.col("row"), 1, seed) * len(listed)
+    rows = spark.range(n).select(F.col("id").alias("row")).select("row", F.floor(place / _PRIME).cast("long").alias("slot"), F.floor(place % _PRIME * room / _PRIME).cast("long").alias("v"))
+    at = F.when(F.col("v") < F.col("own"), F.col("slot")).otherwise(F.col("other")).alias("at")
+    return rows.join(F.broadcast(slots), "slot").select("row", at).join(F.broadcast(numbered_), "at").drop("at")
 
 
 def round_robin_generator(drawn: DataFrame, pool: list[str], special_pool: list[str], special: str = "phishing") -> DataFrame:

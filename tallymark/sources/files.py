@@ -5,6 +5,8 @@ from __future__ import annotations
 import email
 import email.policy
 import email.utils
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.labels import Field
 from tallymark.functions.text import text_of_html
+from tallymark.functions.workers import held
 from tallymark.operators.votes import answer_problems, call_cost
 
 PARSED = "id string, date string, sender struct<name:string,addr:string>, to array<struct<name:string,addr:string>>, cc array<struct<name:string,addr:string>>, subject string, body string, attachments int, is_list boolean, error string"
+PARSED_NAMES = ["id", "date", "sender", "to", "cc", "subject", "body", "attachments", "is_list", "error"]
 RESULT = "model string, id string, answer string, error string, latency_ms double, tokens_in long, tokens_out long, cost_usd double"
 
 
@@ -34,9 +38,38 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("m").alias("id", "f")).select("id", F.explode("f").alias("field", "value"))
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Adds measurements to a log by dataset and model, so that a stopped run can go on."""
-    df.write.mode("append").partitionBy("dataset", "model").parquet(path)
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(batch, rows)`` of the log's complete batches; empty for a new log."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "batch string, rows long")
+    return spark.read.schema("batch string, rows long").option("recursiveFileLookup", "true").json(f"{path}/manifest")
+
+
+def append_results(df: DataFrame, path: str, batch: str) -> bool:
+    """Adds a batch of measurements to a log by dataset and model; whether it was new.
+
+    A batch is data in a folder of its own and then an entry in the manifest. A batch that has an entry is not
+    written again, and what a stopped run left without an entry is written over, so a repeated append counts once.
+    """
+    if not re.fullmatch(r"[\w.\-]+", batch):
+        raise ValueError("a batch is named by letters, digits, dots, dashes and underscores")
+    spark = df.sparkSession
+    if _manifest(spark, path).where(F.col("batch") == batch).limit(1).count():
+        return False
+    df.write.mode("overwrite").partitionBy("dataset", "model").parquet(f"{path}/data/batch={batch}")
+    n = spark.read.schema(df.schema).parquet(f"{path}/data/batch={batch}").count()
+    spark.createDataFrame([(batch, n)], "batch string, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/manifest/{batch}")
+    return True
+
+
+def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A log's measurements with their ``batch``: complete batches only, others' folders are not even opened."""
+    batches = [r.batch for r in _manifest(spark, path).select("batch").distinct().collect()]  # one entry an append
+    if not batches:
+        return spark.createDataFrame([], f"{schema}, batch string")
+    return spark.read.schema(f"{schema}, batch string").option("basePath", f"{path}/data").parquet(*(f"{path}/data/batch={b}" for b in sorted(batches)))
 
 
 def write_sample_ids(sample: DataFrame, path: str) -> None:
@@ -98,7 +131,7 @@ def _content(part) -> str:
 
 def parse_message(path: str, content: bytes) -> dict:
     """One message; ``body`` is its plain text, else its HTML as text, not cleaned yet. Failures go to ``error``."""
-    row = dict.fromkeys(x.split(" ")[0] for x in "id date sender to cc subject body attachments is_list error".split())
+    row = dict.fromkeys(PARSED_NAMES)
     row["id"] = path.rsplit("/", 1)[-1].removesuffix(".eml").split("_", 1)[0]
     try:
         msg = email.message_from_bytes(content, policy=email.policy.default)
@@ -118,39 +151,107 @@ def parse_message(path: str, content: bytes) -> dict:
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of ``.eml`` files as parsed messages; unreadable ones have an ``error``."""
+    """A folder of ``.eml`` files as parsed messages; unreadable ones have an ``error``. Of very many files, or of ones to be read again, make a store (pack_mails)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eml").load(path).select("path", "content")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame([parse_message(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=[f.name for f in spark_fields])
+            yield pd.DataFrame([parse_message(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=PARSED_NAMES)
 
-    from pyspark.sql.types import StructType
-
-    spark_fields = StructType.fromDDL(PARSED).fields
     return files.mapInPandas(parsed, PARSED)
 
 
-def score_with(texts: DataFrame, classify: Callable[[str, str], dict], fields: tuple[Field, ...] | None = None, prices: DataFrame | None = None) -> DataFrame:
-    """Runs a classifier over ``texts(id, text)`` in batches; ``classify(id, text)`` gives the RESULT columns but the id.
+def pack_mails(spark: SparkSession, folder: str, store: str, files_per_batch: int = 10_000, archive: str | None = None) -> int:
+    """Takes new ``.eml`` files of a folder into a store in Parquet; how many contents were parsed.
 
-    A ValueError or TimeoutError becomes a row with an error and no answer; anything else ends the job. With
-    ``fields`` an answer off the schema becomes an error too; with ``prices(model, usd_in, usd_out)`` calls cost by their tokens.
+    Spark's file stream keeps the list of files it has taken, so a rerun reads new and changed ones only, in batches of
+    ``files_per_batch``; with ``archive`` taken files move there, which keeps the folder's listing short. A content is known by its SHA-256 and
+    parsed once, under however many names it comes. Batches have folders of their own, so one that is repeated after a stop is written over.
     """
+    parsed = []
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"sha": s, **parse_message("", c)} for s, c in zip(pdf["sha"], pdf["content"], strict=True)], columns=["sha", *PARSED_NAMES])
+
+    def take(batch: DataFrame, number: int) -> None:
+        files = batch.select("path", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha"), "content")
+        files.select("path", "modified", "sha", F.lit(number).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{store}/files/batch_{number}")
+        known = _stored(spark, f"{store}/mails", "sha string", number)
+        new = files.select("sha", "content").dropDuplicates(["sha"]).join(known, "sha", "left_anti")
+        new.mapInPandas(lambda batches: map(one, batches), f"sha string, {PARSED}").drop("id").write.mode("overwrite").parquet(f"{store}/mails/batch_{number}")
+        parsed.append(spark.read.parquet(f"{store}/mails/batch_{number}").count())
+
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.eml").option("maxFilesPerTrigger", files_per_batch)
+    if archive:
+        stream = stream.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    stream.load(folder).writeStream.foreachBatch(take).option("checkpointLocation", f"{store}/progress").trigger(availableNow=True).start().awaitTermination()
+    return sum(parsed)
+
+
+def _stored(spark: SparkSession, path: str, schema: str, but: int | None = None) -> DataFrame:
+    """A store's table, without what a stopped run may have left of batch ``but``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = [str(s.getPath()) for s in fs.listStatus(folder) if s.getPath().getName() != f"batch_{but}"] if fs.exists(folder) else []
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def read_mails(spark: SparkSession, store: str) -> DataFrame:
+    """A store's messages as read_eml() gives them, each file as it was when last taken."""
+    files = _stored(spark, f"{store}/files", "path string, modified timestamp, sha string, batch long").groupBy("path").agg(F.max_by("sha", F.struct("modified", "batch")).alias("sha"))
+    mails = _stored(spark, f"{store}/mails", "sha string, " + PARSED.removeprefix("id string, "))
+    at = F.regexp_extract("path", r"([^/]*)$", 1)
+    return files.join(mails, "sha").withColumn("id", F.substring_index(F.regexp_replace(at, r"\.eml$", ""), "_", 1)).select(PARSED_NAMES)
+
+
+Classifier = Callable[[list[tuple[str, str]]], dict[str, dict | Exception]]
+
+
+def score_in_batches(texts: DataFrame, open_classifier: Callable[[], Classifier], batch: int = 32, fields: tuple[Field, ...] | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """Runs a classifier over ``texts(id, text)``, opened once a worker and called with lists of ``(id, text)``.
+
+    It gives a dictionary from ids to RESULT columns or to a ValueError or TimeoutError for a text that failed by itself; ids that it leaves out
+    failed too. If a whole call fails with one of these, its texts are asked one by one, so one bad text costs no other its
+    answer. Any other error ends the job. With ``fields`` an answer off the schema becomes an error too; with ``prices(model, usd_in,
+    usd_out)`` calls cost by their tokens.
+    """
+    key, names = uuid.uuid4().hex, [x.strip().split(" ")[0] for x in RESULT.split(",")]
+
+    def asked(classify: Classifier, part: list[tuple[str, str]]) -> dict[str, dict | Exception]:
+        try:
+            return classify(part)
+        except (ValueError, TimeoutError) as e:
+            if len(part) == 1:
+                return {part[0][0]: e}
+            return {i: x for one in part for i, x in asked(classify, [one]).items()}
+
+    def row(i: str, got: dict | Exception | None) -> dict:
+        empty = {"model": None, "id": i, "answer": None, "error": None, "latency_ms": 0.0, "tokens_in": 0, "tokens_out": 0, "cost_usd": 0.0}
+        if isinstance(got, (ValueError, TimeoutError)):
+            return empty | {"error": f"{type(got).__name__}: {got}"}
+        if isinstance(got, Exception):
+            raise got
+        return empty | {"error": "missing: no answer for this id"} if got is None else empty | got | {"id": i}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classify = held(key, open_classifier)
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
-                row = {"model": None, "id": str(i), "answer": None, "error": None, "latency_ms": 0.0, "tokens_in": 0, "tokens_out": 0, "cost_usd": 0.0}
-                try:
-                    row |= classify(str(i), text)
-                except (ValueError, TimeoutError) as e:
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in RESULT.split(",")])
-
-    out = texts.select("id", "text").mapInPandas(run, RESULT)
+            for a in range(0, len(pdf), batch):
+                part = [(str(i), t) for i, t in zip(pdf["id"][a : a + batch], pdf["text"][a : a + batch], strict=True)]
+                got = asked(classify, list(dict(part).items()))
+                rows += [row(i, got.get(i)) for i, _ in part]
+            yield pd.DataFrame(rows, columns=names)
+
+    return _checked(texts.select("id", "text").mapInPandas(run, RESULT), fields, prices)
+
+
+def score_with(texts: DataFrame, classify: Callable[[str, str], dict], fields: tuple[Field, ...] | None = None, prices: DataFrame | None = None) -> DataFrame:
+    """``score_in_batches`` with ``classify(id, text)`` for one text at a time."""
+    return score_in_batches(texts, lambda: lambda part: {i: classify(i, t) for i, t in part}, 1, fields, prices)
+
+
+def _checked(out: DataFrame, fields: tuple[Field, ...] | None, prices: DataFrame | None) -> DataFrame:
     columns = out.columns
     if fields is not None:
         wrong = F.when(F.col("answer").isNotNull(), answer_problems(F.col("answer"), fields))

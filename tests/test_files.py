@@ -31,10 +31,93 @@ def test_decisions_and_ids(spark, tmp_path):
     assert sorted(map(tuple, f.read_decisions(spark, str(tmp_path / "d.json")).collect())) == [("7", "phishing", "true"), ("7", "urgency", "now")]
     f.write_sample_ids(spark.createDataFrame([(1,), (2,)], "id int"), str(tmp_path / "ids"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "ids")).collect()) == ["1", "2"]
-    log = spark.createDataFrame([("real", "m", 1)], "dataset string, model string, id int")
-    for _ in range(2):
-        f.append_results(log, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_append_counts_a_repeated_batch_once(spark, tmp_path):
+    path, schema = str(tmp_path / "log"), "id int, dataset string, model string"
+    log = lambda n: spark.createDataFrame([(i, "real", "ab"[i % 2]) for i in range(n)], schema)
+    assert f.read_results(spark, path, schema).count() == 0
+    assert f.append_results(log(3), path, "first") and not f.append_results(log(3), path, "first")
+    log(5).write.partitionBy("dataset", "model").parquet(f"{path}/data/batch=second")  # what a stopped run has left
+    assert f.read_results(spark, path, schema).count() == 3
+    assert f.append_results(log(2), path, "second")
+    got = f.read_results(spark, path, schema)
+    assert sorted((r.batch, r.id, r.model) for r in got.collect()) == [("first", 0, "a"), ("first", 1, "b"), ("first", 2, "a"), ("second", 0, "a"), ("second", 1, "b")]
+    with pytest.raises(ValueError, match="named"):
+        f.append_results(log(1), path, "a/b")
+    # what is still to be done is told from complete batches only
+    done = got.where("batch = 'first'").withColumn("run", F.lit(1)).withColumn("answer", F.lit("{}"))
+    todo = v.pending_work(spark.createDataFrame([("a",)], "model string"), log(4).select("id"), done, spark.createDataFrame([(1,)], "run int"))
+    assert sorted(r.id for r in todo.collect()) == [1, 3]
+
+
+def eml(subject, body):
+    return f"From: a@x.de\r\nTo: b@y.de\r\nSubject: {subject}\r\n\r\n{body}".encode()
+
+
+def test_store_parses_what_is_new(spark, tmp_path):
+    folder, store = tmp_path / "mail", str(tmp_path / "store")
+    folder.mkdir()
+    for i in range(5):
+        (folder / f"{i:04}_x.eml").write_bytes(eml(f"s{i}", f"text {i}"))
+    (folder / "note.txt").write_bytes(b"no mail")
+    (folder / "0009_copy.eml").write_bytes(eml("s1", "text 1"))
+    assert f.pack_mails(spark, str(folder), store, files_per_batch=2) == 5
+    assert f.pack_mails(spark, str(folder), store) == 0
+    rows = lambda: {r.id: (r.subject, r.body) for r in f.read_mails(spark, store).collect()}
+    assert rows() == {**{f"{i:04}": (f"s{i}", f"text {i}") for i in range(5)}, "0009": ("s1", "text 1")}
+    assert f.read_mails(spark, store).schema == f.read_eml(spark, str(folder)).schema
+    (folder / "0005_y.eml").write_bytes(eml("s5", "text 5"))
+    (folder / "0006_copy.eml").write_bytes(eml("s2", "text 2"))  # a new name for a known content
+    assert f.pack_mails(spark, str(folder), store) == 1 and f.pack_mails(spark, str(folder), store) == 0
+    assert len(rows()) == 8 and rows()["0006"] == ("s2", "text 2") and rows()["0005"] == ("s5", "text 5")
+    want = sorted(map(str, f.read_eml(spark, str(folder)).collect()))
+    assert sorted(map(str, f.read_mails(spark, store).collect())) == want
+
+
+def counting(log):
+    """A classifier's opener; each opening and call leaves a file."""
+
+    def note(what):
+        import os
+        import uuid
+
+        with open(f"{log}/{what}_{os.getpid()}_{uuid.uuid4().hex}", "w"):
+            pass
+
+    def classify(part):
+        note("call")
+        if any(t == "all bad" for _, t in part):
+            raise TimeoutError("too slow")
+        out = {i: {"model": "m", "answer": t, "cost_usd": 0.5} for i, t in reversed(part) if t != "left out"}
+        return out | {i: ValueError("no schema") for i, t in part if t == "bad"}
+
+    def open_():
+        note("open")
+        return classify
+
+    return open_
+
+
+def test_batches_are_aligned_and_failures_told_apart(spark, tmp_path):
+    log = str(tmp_path)
+    texts = [(i, "bad" if i == 3 else "left out" if i == 5 else "all bad" if i == 70 else f"t{i}") for i in range(100)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    got = {int(r.id): r for r in f.score_in_batches(df, counting(log), batch=10).collect()}
+    import os
+
+    kinds = [x.split("_")[0] for x in os.listdir(log)]
+    assert kinds.count("open") == 1 and kinds.count("call") == 10 + 10  # ten lists, and the texts of the one that failed
+    assert got[3].error == "ValueError: no schema" and got[5].error.startswith("missing") and got[70].error == "TimeoutError: too slow"
+    assert all(got[i].answer == f"t{i}" and got[i].error is None for i in range(100) if i not in (3, 5, 70))
+
+
+def test_an_unknown_error_ends_the_job(spark):
+    def classify(part):
+        raise KeyError("bug")
+
+    with pytest.raises(Exception, match="bug"):
+        f.score_in_batches(spark.createDataFrame([(1, "a")], "id long, text string"), lambda: classify).collect()
 
 
 def test_score_with(spark):
@@ -91,3 +174,26 @@ def test_synthetic_corpus(spark):
     assert [r.id for r in record] == ["S001"] and record[0].intent.urgency in ("now", "later") and record[0].frame["tone"] == "t1"
     pending, progress = synth.generation_progress(got, spark.createDataFrame([("S001", True, 0.5), ("S002", False, None)], "id string, ok boolean, cost_usd double"))
     assert pending.count() == 798 and tuple(progress.first()) == (1, 1, 2, 0.5)
+
+
+def test_alias_table_has_the_weights():
+    for weights in ([3, 1], [1], [5, 5, 5], [0, 7, 0, 1], list(range(1, 40)), [10**6, 1, 1]):
+        table, room, n = synth.alias_table(weights), sum(weights), len(weights)
+        share = [0] * n
+        for slot, own, other in table:
+            share[slot] += own
+            share[other] += room - own
+        assert [slot for slot, *_ in table] == list(range(n)) and all(0 <= own <= room for _, own, _ in table) and share == [w * n for w in weights]
+
+
+def test_draws_follow_the_weights_without_a_nested_loop(spark):
+    sc = spark.createDataFrame([(i, f"k{i}", w) for i, w in enumerate([1, 50, 0, 9, 40])], "position int, key string, weight int")
+    drawn = synth.draw_scenarios(spark, 20_000, sc, 11)
+    counts = {r.key: r["count"] for r in drawn.groupBy("key").count().collect()}
+    assert "k2" not in counts and all(abs(counts[f"k{i}"] / 20_000 - w / 100) < 0.015 for i, w in enumerate([1, 50, 0, 9, 40]) if w)
+    assert "NestedLoop" not in drawn._jdf.queryExecution().toString()
+    for bad in (sc.where("weight = 0"), sc.where("false")):
+        with pytest.raises(ValueError, match="weight"):
+            synth.draw_scenarios(spark, 5, bad, 1)
+    with pytest.raises(ValueError, match="between"):
+        synth.draw_scenarios(spark, 5, sc, 1, most=4)

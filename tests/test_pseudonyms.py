@@ -129,3 +129,26 @@ def test_person_ids_take_time_in_proportion(spark, tmp_path):
 
     seconds(1000)
     assert seconds(1_000_000) < 20 * seconds(100_000) + 5
+
+
+def test_recognizers_are_held_by_language(spark, tmp_path):
+    import os
+
+    log = str(tmp_path)
+
+    def opener(lang):
+        def open_():
+            import uuid
+
+            with open(f"{log}/{lang}_{os.getpid()}_{uuid.uuid4().hex}", "w"):
+                pass
+            return lambda part: [[(0, len(lang))] for _ in part]
+
+        return open_
+
+    texts = spark.createDataFrame([(i, 1, "the and is you we with" if i % 3 else "der die das und ist nicht") for i in range(300)], "id long, field int, text string")
+    got = {r.id: [tuple(x) for x in r.found] for r in p.name_spans_held(texts, {"en": opener("en")}, 7).collect()}
+    assert got == {i: [(0, 2)] if i % 3 else [] for i in range(300)}
+    assert {x.split("_")[0] for x in os.listdir(log)} == {"en"} and len(os.listdir(log)) == len({x.split("_")[1] for x in os.listdir(log)})  # once a worker
+    with pytest.raises(Exception, match="1 results for 7 texts"):
+        p.name_spans_held(texts, lambda: lambda part: [[]], 7).collect()

@@ -57,3 +57,14 @@ def test_names(spark):
 )
 def test_looks_like_person(spark, name, addr, want):
     assert spark.createDataFrame([(name, addr)], "a string, b string").select(n.looks_like_person(F.col("a"), F.col("b"))).first()[0] is want
+
+
+def test_lines_as_rows_give_the_same_start(spark):
+    import random
+
+    rng = random.Random(4)
+    lines = ["", "text", "-- ", "--", "> q", "On Mon, 1 Jan 2026 a wrote:", "Am Montag, dem ersten, schrieb", "A B:", "wrote:", "From: a", "Von: b", "Sent: c", "An: d", "Forwarded message", "----- Weitergeleitete Nachricht -----", "--- Original Message ---", "x:"]
+    bodies = ["\n".join(rng.choices(lines, weights=[9, 30] + [1] * 15, k=rng.randrange(1, 40))) for _ in range(400)] + ["", None, "a\n" * 20_000 + "-- \nb", "Forwarded message\n" + "From: a\nTo: b\n" * 4 + "From: a\nTo: b"]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id long, text string")
+    want = {r.id: r.start for r in df.where("text is not null").select("id", t.history_start(F.split("text", "\n")).alias("start")).collect()}
+    assert {r.id: r.start for r in t.history_starts(df).collect()} == want and len(set(want.values())) > 10
