@@ -24,18 +24,18 @@ def hybrids(calls: DataFrame, truth: DataFrame, primary: str, fallbacks: list[st
 
 
 def report_tables(log: DataFrame, truth: DataFrame, emails: DataFrame | None = None, families: dict[str, str] | None = None, primary: tuple[str, ...] = ("primary",), named: float = 0.7, accuracy: int | None = None) -> dict[str, DataFrame]:
-    """Sections by name. The joined pairs are written once and read by all of them.
+    """Sections by name. The joined pairs are scanned once, into the counts that all sections about them are made of.
 
     The first of the ``primary`` models is swept with each model that isn't one of them. ``emails(id, generator, intent)``
     of the synthetic messages give bias and agreement with the intent. ``accuracy`` makes percentiles approximate.
     """
     answers = materialized(fx.answers(log))
-    pairs = materialized(m.pairs(answers, truth))
-    flags = m.message_flags(pairs)
+    counts = materialized(m.report_counts(m.pairs(answers, truth)))
+    confusion, flags = m.counted_confusion(counts), m.counted_flags(counts)
     calls = fx.candidates(log)
-    classes = m.class_recall_precision(pairs)
+    fields, classes = m.counted_accuracy(confusion), m.counted_classes(confusion)
     tables = {
-        "scorecard": m.scorecard(pairs, flags, answers, calls, accuracy=accuracy), "fields": m.field_accuracy(pairs), "classes": classes, "macro_f1": m.macro_f1(classes), "confusion": m.confusion_matrix(pairs), "consistency": m.run_consistency(answers), "latency": m.latency_stats(calls, accuracy),
+        "scorecard": m.scorecard_of(fields, classes, flags, answers, calls, accuracy=accuracy), "fields": fields, "classes": classes, "macro_f1": m.macro_f1(classes), "confusion": confusion, "consistency": m.run_consistency(answers), "latency": m.latency_stats(calls, accuracy),
         "latency_box": m.latency_box(calls, accuracy), "tokens": m.token_means(calls), "baseline": m.majority_baseline(truth), "distribution": m.class_distribution(truth), "significance": m.significance_run1(flags), "mcnemar": m.mcnemar_pairs(flags),
         "errors": error_kinds(calls, m.GROUP),
     }

@@ -42,6 +42,11 @@ def class_recall_precision(p: DataFrame, fields: tuple[Field, ...] = FIELDS) ->
     """
     roles = F.explode(F.array(F.struct(F.col("actual").alias("class"), F.lit(1).alias("actual"), F.lit(0).alias("predicted"), (F.col("pred") == F.col("actual")).cast("int").alias("tp")), F.struct(F.col("pred").alias("class"), F.lit(0).alias("actual"), F.lit(1).alias("predicted"), F.lit(0).alias("tp"))))
     counts = p.select(*GROUP, "field", roles.alias("x")).select(*GROUP, "field", "x.*").groupBy(*GROUP, "field", "class").agg(*(F.sum(c).alias(c) for c in ("tp", "actual", "predicted")))
+    return _every_class(p, counts, fields)
+
+
+def _every_class(p: DataFrame, counts: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """Counts with zeros for listed classes that don't occur, and the rates."""
     classes = p.sparkSession.createDataFrame([(f.name, c) for f in fields for c in f.classes], "field string, class string")
     groups = p.select(*GROUP, "field").distinct().join(F.broadcast(classes), "field")
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "actual", "predicted")]
@@ -60,6 +65,38 @@ def confusion_matrix(p: DataFrame) -> DataFrame:
     return p.groupBy(*GROUP, "field", "actual", "pred").agg(F.count("*").alias("n"))
 
 
+def report_counts(p: DataFrame) -> DataFrame:
+    """What the report's tables are made of, from one scan of the pairs: counts by field, label and answer (``part`` 1) and a row for each answered message (``part`` 2).
+
+    Two grouping sets in one partial aggregation. The first is a few rows a model; the second has ``correct`` and ``complete`` of each message and run.
+    """
+    sets = [[*GROUP, "field", "actual", "pred"], [*GROUP, "id", "run"]]
+    right = F.coalesce(F.col("pred") == F.col("actual"), F.lit(False)).alias("right")
+    rows = p.select(*GROUP, "field", "actual", "pred", "id", "run", "complete", right)
+    part = F.when(F.grouping("field") == 0, 1).otherwise(2).alias("part")
+    return rows.groupingSets(sets, *GROUP, "field", "actual", "pred", "id", "run").agg(part, F.count("*").alias("n"), F.bool_and("right").alias("correct"), F.bool_and("complete").alias("complete"))
+
+
+def counted_confusion(counts: DataFrame) -> DataFrame:
+    return counts.where("part = 1").select(*GROUP, "field", "actual", "pred", "n")
+
+
+def counted_flags(counts: DataFrame) -> DataFrame:
+    return counts.where("part = 2 and complete").select(*GROUP, "id", "run", "correct")
+
+
+def counted_accuracy(confusion: DataFrame) -> DataFrame:
+    n = F.sum("n")
+    return confusion.groupBy(*GROUP, "field").agg(n.alias("n"), rate(F.sum(F.when(F.col("pred") == F.col("actual"), F.col("n")).otherwise(0)), n).alias("accuracy"))
+
+
+def counted_classes(confusion: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
+    """class_recall_precision() from the confusion matrix: each cell counts for its label's class and its answer's class."""
+    cells = confusion.select(*GROUP, "field", F.explode(F.array(F.struct(F.col("actual").alias("class"), F.when(F.col("pred") == F.col("actual"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("actual"), F.lit(0).cast("long").alias("predicted")), F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("actual"), F.col("n").alias("predicted")))).alias("x"))
+    sums = cells.select(*GROUP, "field", "x.*").groupBy(*GROUP, "field", "class").agg(*(F.sum(c).alias(c) for c in ("tp", "actual", "predicted")))
+    return _every_class(confusion, sums, fields)
+
+
 def message_flags(p: DataFrame) -> DataFrame:
     """For answers on complete messages: are all fields right?"""
     return p.where("complete").groupBy(*GROUP, "id", "run").agg(F.bool_and(F.coalesce(F.col("pred") == F.col("actual"), F.lit(False))).alias("correct"))
@@ -273,10 +310,16 @@ def latency_box(log: DataFrame, accuracy: int | None = None) -> DataFrame:
 
 def scorecard(p: DataFrame, flags: DataFrame, answers: DataFrame, log: DataFrame, fields: tuple[Field, ...] = FIELDS, accuracy: int | None = None) -> DataFrame:
     """One row for each dataset and model; all parts are small once aggregated. ``accuracy`` makes percentiles approximate."""
-    acc = field_accuracy(p).groupBy(*GROUP).pivot("field", [f.name for f in fields]).agg(F.first("accuracy"))
+    confusion = confusion_matrix(p)
+    return scorecard_of(counted_accuracy(confusion), counted_classes(confusion, fields), flags, answers, log, fields, accuracy)
+
+
+def scorecard_of(accuracies: DataFrame, classes: DataFrame, flags: DataFrame, answers: DataFrame, log: DataFrame, fields: tuple[Field, ...] = FIELDS, accuracy: int | None = None) -> DataFrame:
+    """The scorecard from tables that are there already."""
+    acc = accuracies.groupBy(*GROUP).pivot("field", [f.name for f in fields]).agg(F.first("accuracy"))
     acc = acc.select(*GROUP, *(F.col(f.name).alias(f"acc_{f.name}") for f in fields))
-    hits = lambda f, c: rate(F.count_if((F.col("field") == f) & (F.col("actual") == c) & (F.col("pred") == c)), F.count_if((F.col("field") == f) & (F.col("actual") == c)))
-    recall = p.groupBy(*GROUP).agg(hits("urgency", '"now"').alias("recall_now"), hits("phishing", "true").alias("recall_phishing"))
+    of = lambda f, c: F.max(F.when((F.col("field") == f) & (F.col("class") == c), F.col("recall")))
+    recall = classes.groupBy(*GROUP).agg(of("urgency", '"now"').alias("recall_now"), of("phishing", "true").alias("recall_phishing"))
     same = run_consistency(answers, fields).where("field = 'all'").select(*GROUP, "consistency")
     out = call_errors(log)
     for part in (acc, recall, all_fields_correct(flags).select(*GROUP, "all_correct"), same, latency_stats(log, accuracy).select(*GROUP, "p50", "p95"), cost_per_1000(log)):

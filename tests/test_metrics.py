@@ -57,3 +57,18 @@ def test_sweep_is_the_same_as_row_by_row(spark):
 def test_mcnemar_of_very_large_counts(spark):
     got = spark.createDataFrame([(21, 20), (39, 14), (10, 0), (10**9, 10**9 + 10**5), (10**15, 10**15 - 10**7)], "a long, b long").select(m.mcnemar_p("a", "b").alias("p")).collect()
     assert [r.p for r in got][:3] == [1.0, 0.0008, round(2 / 1024, 4)] and abs(got[3].p - 0.0253) < 2e-4 and 0.7 < got[4].p < 0.9
+
+
+def test_report_counts_give_the_single_operators_tables(spark, tmp_path):
+    from tallymark.jobs import fixtures as fx
+
+    log = fx.decision_log(spark, "/root/testdata/sf0.001")
+    m.pairs(fx.answers(log), fx.truth(log)).write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    counts = m.report_counts(p)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("Expand") == 1
+    confusion, flags = m.counted_confusion(counts), m.counted_flags(counts)
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())) and b.count() > 0
+    assert same(confusion, m.confusion_matrix(p)) and same(flags, m.message_flags(p))
+    assert same(m.counted_accuracy(confusion), m.field_accuracy(p)) and same(m.counted_classes(confusion), m.class_recall_precision(p))
