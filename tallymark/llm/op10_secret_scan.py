@@ -15,8 +15,10 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 import string
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -100,10 +102,13 @@ def _mixed(candidate: str) -> bool:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, around: int, least: float) -> list[tuple[int, int, int]]:
+    """New strings near sensitive words, outside ``taken`` spans, which are sorted by their starts."""
     spans, done = [], -1
+    starts, furthest = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
 
     def is_hit(start: int, end: int) -> bool:
-        if any(s < end and start < e for s, _, e in taken):
+        before = bisect_left(starts, end)  # so many taken spans begin before its end; the furthest of them must not reach into it
+        if before and furthest[before - 1] > start:
             return False
         step = math.ceil((end - start) / math.ceil((end - start) / PIECE))
         pieces = ((i, min(end, i + step)) for i in range(start, end, step))

@@ -119,3 +119,27 @@ def test_query_matches_brute_force(spark, small):
     for r in m.op10_secret_scan(spark, small).collect():
         assert r.base_sha256 == hashlib.sha256(m._joined(brute(texts[r.doc_id])).encode()).hexdigest()
         assert set(m._joined(brute(texts[r.doc_id])).split(",")) <= set(r.spans.split(","))
+
+
+def test_many_secrets_in_one_text_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert len(m.find_secrets("token=abcdefgh1 " * n)) == n
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(100_000) < 20 * seconds(10_000) + 2
+
+
+def test_novel_strings_lie_outside_base_spans():
+    """A candidate counts unless some base span, however it lies among the others, reaches into it."""
+    rng = random.Random(6)
+    words = ["password=", "token: ", "auth ", "key=", "AKIA" + "Q" * 20, "0f" * 14, "q8Zr2LmX0vTy7Kp4NdB1sWc9", "plain", "\n", " ", "Zx81q8Zr2LmX0vTy7Kp4"]
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=12)).replace("= ", "=")
+        base = m.base_spans(text)
+        novel = m.novel_spans(text, base, 32, 512, 0.8)
+        assert not any(s < z and a < e for a, _, z in novel for s, _, e in base)
+        assert novel == m.novel_spans(text, [*base, *base], 32, 512, 0.8) or base != sorted(base)
