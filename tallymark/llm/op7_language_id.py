@@ -49,31 +49,41 @@ def _beginnings(pieces: tuple[str, ...]) -> dict[str, int]:
     return {p[:n]: -1 for p in pieces for n in range(1, len(p))} | {p: i for i, p in enumerate(pieces)}
 
 
+@functools.cache
+def _longest(pieces: tuple[str, ...]) -> int:
+    return max(map(len, pieces), default=1)
+
+
 class Lattice:
     """All pieces that fit into each of some words: an edge from where a piece begins to where it ends.
 
-    A character that is no piece is the unknown piece, whose index is the vocabulary's size.
+    A character that is no piece is the unknown piece, whose index is the vocabulary's size. Edges are packed into 63 bits, with as many for
+    each part as these words and this vocabulary need; what doesn't fit is an error.
     """
 
     def __init__(self, words: list[str], pieces: dict[str, int]):
-        unknown, edges = len(pieces), []
-        add, get = edges.append, _beginnings(tuple(pieces)).get
+        unknown, edges, names = len(pieces), [], tuple(pieces)
+        add, get = edges.append, _beginnings(names).get
+        for_piece, for_size, for_start = unknown.bit_length(), _longest(names).bit_length(), max(map(len, words), default=0).bit_length() + 1
+        if for_piece + for_size + for_start + len(words).bit_length() > 63:
+            raise ValueError("too many words, or pieces or words that are too long, for one lattice")
+        low = for_piece + for_size
         for n, w in enumerate(words):
             s = START + w
             for i in range(len(s)):
-                head = (n << 24 | i) << 22  # word, start; then length and piece
+                head = (n << for_start | i) << low  # word, start; then length and piece
                 p = get(s[i], -1)
-                add(head | 1 << 16 | (p if p >= 0 else unknown))
+                add(head | 1 << for_piece | (p if p >= 0 else unknown))
                 for j in range(i + 2, len(s) + 1):
                     p = get(s[i:j])
                     if p is None:
                         break
                     if p >= 0:
-                        add(head | (j - i) << 16 | p)
+                        add(head | (j - i) << for_piece | p)
         code = np.array(edges, np.int64)
         self.length = np.array([len(w) + 1 for w in words], np.int64)
-        self.word, self.start, self.piece = code >> 46, code >> 22 & 0xFFFFFF, code & 0xFFFF
-        size = code >> 16 & 0x3F
+        self.word, self.start, self.piece = code >> for_start + low, code >> low & (1 << for_start) - 1, code & (1 << for_piece) - 1
+        size = code >> for_piece & (1 << for_size) - 1
         self.end, self.reach = self.start + size, int(size.max(initial=1))
 
     def _by(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +236,7 @@ def learn(docs: DataFrame, vocabulary_name: str, max_docs_per_lang: int, rounds:
     if not per:
         return [], np.empty((len(vocabulary(vocabulary_name)) + 1, 0))
     share = F.create_map(*[F.lit(x) for r in per for x in (r[0], min(1.0, max_docs_per_lang / r[1]))])
-    sample = docs.where(F.pmod("pick", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    sample = docs.where(F.pmod("pick", F.lit(1 << 53)) < share[F.col("lang")] * float(1 << 53))
     words = sample.select("text", "lang").mapInArrow(_sample_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def fitted(pdf):
