@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from tallymark.llm.common import bounded_batches, column, table, tokenizer_path
 
 BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
+#: Where a long stretch without such a space can be cut: no piece of the vocabulary's splitting goes from letters to digits or back.
+WITHOUT_SPACE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 #: Bytes in one call of the encoder, characters of a text split at a time, parts remembered by a worker.
 BATCH_BYTES, WINDOW_CHARS, REMEMBERED = 256 << 10, 1 << 20, 400_000
 
 
+def n_bytes(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 class PartCounter:
     """Token counts of text parts, with the parts seen so far remembered up to a bound."""
 
@@ -40,12 +46,12 @@ class PartCounter:
     def _learn(self, parts: set[str]) -> None:
         batch, size = [], 0
         for part in [*parts, None]:
-            if batch and (part is None or size + len(part) > BATCH_BYTES):
+            if batch and (part is None or size + n_bytes(part) > BATCH_BYTES):
                 self._known.update(zip(batch, (len(x.ids) for x in self._encoder.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
                 batch, size = [], 0
             if part is not None:
                 batch.append(part)
-                size += len(part)
+                size += n_bytes(part)
 
     def count(self, texts: list[str]) -> list[int]:
         counts = []
@@ -66,7 +72,8 @@ def split_parts(text: str) -> Iterator[list[str]]:
     """The parts of a text between safe boundaries, a bounded stretch at a time; each keeps its leading space."""
     start = 0
     while start < len(text):
-        cut = BOUNDARY.search(text, start + WINDOW_CHARS) if len(text) - start > WINDOW_CHARS else None
+        far = start + WINDOW_CHARS
+        cut = len(text) > far and (BOUNDARY.search(text, far, far + WINDOW_CHARS) or WITHOUT_SPACE.search(text, far) or BOUNDARY.search(text, far))
         end = cut.start() if cut else len(text)
         first, *rest = BOUNDARY.split(text[start:end])
         # A stretch after the first begins with the space of its boundary, which splits off no part of its own.
@@ -90,7 +97,9 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row of ``docs(doc_id, text)``.
 
     Null texts count as empty: no bytes, no tokens. No begin, end or other special tokens are added;
-    special strings inside a text count as the library reads them by default. Nothing is truncated.
+    special strings inside a text count as the library reads them by default. Nothing is truncated. Repeated rows are counted alike, and other
+    columns are ignored. A very long text is encoded in stretches of about a million characters, cut before a space or between a letter and a digit; one
+    of letters alone for longer than that (no spaces, no digits, no marks) is a single piece to the vocabulary, which has no boundary inside, and is encoded whole.
     """
     bounded_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))

@@ -27,3 +27,24 @@ def test_query_matches_library(spark, small):
     got = m.op4_token_count(spark, small).collect()
     assert {r.doc_id: r.n_tokens for r in got} == want
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+
+
+def test_very_long_texts_without_spaces(monkeypatch):
+    """Cut between letters and digits, parts add up to the whole."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = m.tokenizer_path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = ["".join(rng.choices(alphabet + extra, k=5000)) for extra in ("", "+/", "日本é'", "\n\t ", "'s 't're") for _ in range(4)] + ["é1" * 2000, "日本語" * 1000, "a'1s'2t" * 500]
+    monkeypatch.setattr(m, "WINDOW_CHARS", 50)
+    counter = m.PartCounter(path)
+    assert counter.count(texts) == [len(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert all(len(list(m.split_parts(t))) > 20 for t in texts[:8])
+
+
+def test_batches_are_balanced_by_bytes():
+    assert m.n_bytes("abc") == 3 and m.n_bytes("é日😀") == 9
