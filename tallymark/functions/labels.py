@@ -40,11 +40,6 @@ def long_form(struct: str, fields: tuple[Field, ...] = FIELDS, value: str = "lab
     return F.explode(F.array(*(F.struct(F.lit(f.name).alias("field"), label(F.col(f"{struct}.{f.name}"), f).alias(value)) for f in fields)))
 
 
-def quantiles(value: Column, shares: list[float], accuracy: int) -> Column:
-    """Approximate percentiles as an array; memory doesn't grow with a group's distinct values."""
-    return F.percentile_approx(value, shares, accuracy)
-
-
 def rate(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole, rounded; null for nothing."""
     return F.round(F.try_divide(part, whole), digits)

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymark.functions.labels import FIELDS, Field, long_form, quantiles, rate
-from tallymark.functions.storage import materialized, numbered
+from tallymark.functions.labels import FIELDS, Field, long_form, rate
+from tallymark.functions.quantiles import group_quantiles
+from tallymark.functions.storage import materialized
 
 GROUP = ["dataset", "model"]
 THRESHOLDS = (0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.01)
@@ -119,36 +120,10 @@ def run_consistency(answers: DataFrame, fields: tuple[Field, ...] = FIELDS) -> D
     return rows.groupBy(*GROUP, "x.field").agg(rate(F.count_if("x.same"), F.count("*")).alias("consistency"))
 
 
-def exact_quantiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """``(dataset, model, q array)``: interpolated percentiles of groups of any size, by selecting ranks.
-
-    Equal values are counted first. The distinct ones are dealt by ranges of (group, value) and know from the counts of the ranges
-    before how many values lie below them, so the two values around a wanted rank are picked where they are: no task holds
-    a group, and only two rows a percentile and group meet.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*GROUP, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    below = numbered(counts, [F.col("v")], "below", amount=F.col("c"), within=tuple(GROUP)).withColumn("below", F.col("below").cast("long"))
-    totals = counts.groupBy(*GROUP).agg(F.sum("c").alias("n"))
-    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("n") - 1)).alias("at")) for i, s in enumerate(shares))))
-    ranks = totals.select(*GROUP, wanted.alias("w")).select(*GROUP, "w.i", "w.at", F.explode(F.array_distinct(F.array(F.floor("w.at"), F.ceil("w.at")))).alias("rank"))
-    hit = (F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c"))
-    found = below.join(ranks, GROUP).where(hit)
-    weight = F.when(F.floor("at") == F.ceil("at"), 1.0).when(F.col("rank") == F.floor("at"), F.ceil("at") - F.col("at")).otherwise(F.col("at") - F.floor("at"))
-    each = found.groupBy(*GROUP, "i").agg(F.sum(weight * F.col("v")).alias("q"))
-    return each.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x.q).alias("q"))
-
-
-def group_quantiles(df: DataFrame, value: str, shares: list[float], accuracy: int | None = None) -> DataFrame:
-    """Percentiles by group, exact or, with ``accuracy``, approximate in one pass."""
-    if accuracy is None:
-        return exact_quantiles(df, value, shares)
-    return df.groupBy(*GROUP).agg(quantiles(F.col(value), shares, accuracy).alias("q"))
-
-
 def latency_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Median, 95th percentile (interpolated; approximate with ``accuracy``) and mean over valid answers."""
     valid = log.where("answer is not null")
-    got = valid.groupBy(*GROUP).agg(F.avg("latency_ms").alias("mean")).join(group_quantiles(valid, "latency_ms", [0.5, 0.95], accuracy), GROUP, "left")
+    got = valid.groupBy(*GROUP).agg(F.avg("latency_ms").alias("mean")).join(group_quantiles(valid, GROUP, "latency_ms", [0.5, 0.95], accuracy), GROUP, "left")
     return got.select(*GROUP, F.round(F.col("q")[0], 1).alias("p50"), F.round(F.col("q")[1], 1).alias("p95"), F.round("mean", 1).alias("mean"))
 
 
@@ -301,7 +276,7 @@ def mcnemar_pairs(flags: DataFrame) -> DataFrame:
 def latency_box(log: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Quartiles (approximate with ``accuracy``) and whiskers: the furthest valid latencies within 1.5 times the quartiles' distance."""
     valid = log.where("answer is not null")
-    q = materialized(group_quantiles(valid, "latency_ms", [0.25, 0.5, 0.75], accuracy))
+    q = materialized(group_quantiles(valid, GROUP, "latency_ms", [0.25, 0.5, 0.75], accuracy))
     reach = (F.col("q")[2] - F.col("q")[0]) * 1.5
     both = valid.join(q, GROUP).where(F.col("latency_ms").between(F.col("q")[0] - reach, F.col("q")[2] + reach))
     got = both.groupBy(*GROUP).agg(F.first("q").alias("q"), F.min("latency_ms").alias("low"), F.max("latency_ms").alias("high"))

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.functions.labels import FIELDS, Field, long_form, quantiles, rate, unlabel
+from tallymark.functions.labels import FIELDS, Field, long_form, rate, unlabel
+from tallymark.functions.quantiles import group_quantiles
 from tallymark.functions.storage import numbered
 
 
@@ -90,7 +91,9 @@ def apply_decisions(truth: DataFrame, decisions: DataFrame, fields: tuple[Field,
 def judge_stats(log: DataFrame, accuracy: int | None = None) -> DataFrame:
     """By model: valid and failed calls, cost, median latency of valid calls (approximate with ``accuracy``); ``error_kinds`` has the failures' kinds."""
     ok = F.col("answer").isNotNull()
-    return log.groupBy("model").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(quantiles(F.when(ok, F.col("latency_ms")), [0.5], accuracy)[0], 0).alias("latency_p50_ms"))
+    counts = log.groupBy("model").agg(F.count_if(ok).alias("ok"), F.count_if(~ok).alias("failed"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    median = group_quantiles(log.where(ok), ["model"], "latency_ms", [0.5], accuracy)
+    return counts.join(median, "model", "left").select("model", "ok", "failed", "cost_usd", F.round(F.col("q")[0], 0).alias("latency_p50_ms"))
 
 
 def error_kinds(log: DataFrame, keys: list[str]) -> DataFrame:

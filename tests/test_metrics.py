@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.functions.quantiles import exact_quantiles
 from tallymark.operators import metrics as m
 
 
@@ -21,7 +22,7 @@ def test_exact_quantiles_of_large_and_odd_groups(spark):
     rows = [("d", "many", float(x)) for x in rng.normal(size=3001)] + [("d", "ties", float(i % 3)) for i in range(1000)] + [("d", "one", 5.0), ("e", "two", 1.0), ("e", "two", 2.0), ("e", "none", None)]
     df = spark.createDataFrame(rows, "dataset string, model string, v double")
     shares = [0.0, 0.25, 0.5, 0.95, 1.0]
-    got = {(r.dataset, r.model): r.q for r in m.exact_quantiles(df, "v", shares).collect()}
+    got = {(r.dataset, r.model): r.q for r in exact_quantiles(df, m.GROUP, "v", shares).collect()}
     want = {}
     for d, n, x in rows:
         if x is not None:
