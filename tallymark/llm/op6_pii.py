@@ -30,7 +30,7 @@ KINDS = BASE + FOUND
 _OPEN, _CLOSE, _SEEN, _OTHER = "\ue000", "\ue001", "\ue003", "\ue002"
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Gazetteers: words before personal data, and before other things; titles and greetings; first names; words of organisations.
-PERSONAL = ("account", "call", "card", "cell", "compte", "contact", "cuenta", "dob", "fax", "handy", "iban", "id", "insurance", "konto", "kontonummer", "mail", "mobil", "mobile", "passport", "patient", "phone", "reach", "ssn", "tel", "telefon", "telefono", "telephone", "teléfono", "téléphone", "whatsapp")
+PERSONAL = ("account", "atentamente", "call", "card", "cell", "compte", "contact", "cordialement", "cuenta", "dob", "fax", "gruß", "grüße", "grüßen", "handy", "iban", "id", "insurance", "konto", "kontonummer", "mail", "mobil", "mobile", "name", "passport", "patient", "phone", "reach", "regards", "saludos", "signed", "sincerely", "ssn", "tel", "telefon", "telefono", "telephone", "teléfono", "téléphone", "whatsapp")
 IMPERSONAL = ("article", "build", "chapter", "eur", "isbn", "issue", "line", "order", "page", "part", "population", "price", "seite", "serial", "total", "usd", "version", "vol", "year")
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Herrn", "Frau", "Sr", "Sra", "Señor", "Señora", "Monsieur", "Madame", "Mme", "Dear", "Hello", "Hallo", "Liebe", "Lieber", "Cher", "Chère", "Estimado", "Estimada", "Hola")
 FIRST_NAMES = ("Alexander", "Ana", "Andrea", "Anna", "Antonio", "Camille", "Carlos", "Charlotte", "Christian", "Claudia", "Daniel", "David", "Elena", "Elizabeth", "Emma", "Felix", "François", "Hans", "Isabel", "James", "Jan", "Javier", "Jean", "John", "José", "Juan", "Julia", "Jürgen", "Karl", "Laura", "Léa", "Louis", "Lucas", "Luis", "Manuel", "Maria", "María", "Marie", "Martin", "Mary", "Michael", "Miguel", "Nicolas", "Patricia", "Paul", "Peter", "Pierre", "Robert", "Sabine", "Sarah", "Sophie", "Stefan", "Susanne", "Thomas", "William")
@@ -64,8 +64,8 @@ def _pieces(text: Column, kind: str) -> Column:
     return F.when(F.contains(text, F.lit(_NEEDED[kind])), marked).otherwise(F.array(text)) if kind in _NEEDED else marked
 
 
-def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
-    """Adds for each kind a column of all its matches, in code points: array of (start, end, value, before, after); what is around goes no further than over CLOSE_BY other matches."""
+def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...], around: bool = False) -> DataFrame:
+    """Adds for each kind a column of all its matches, in code points: array of (start, end, value), with ``around`` also before and after, which go no further than over CLOSE_BY other matches."""
     df = df.select("*", *(_pieces(F.col(text), k).alias(f"_p_{k}") for k in kinds))
     lengths = [F.transform(f"_p_{k}", lambda p, i: F.length(p) - F.when(i > 0, 1).otherwise(0)).alias(f"_l_{k}") for k in kinds]
     df = df.select("*", *lengths)
@@ -82,12 +82,15 @@ def with_spans(df: DataFrame, text: str, kinds: tuple[str, ...]) -> DataFrame:
             start = F.element_at(f"_b_{k}", c + 1) + F.aggregate(F.slice(f"_l_{k}", c * STRIDE + 1, i - c * STRIDE), F.lit(0), add)
             piece = F.element_at(f"_p_{k}", i + 1)
             value = F.substring_index(piece, _CLOSE, 1)
-            plain = lambda at, n: F.replace(F.array_join(F.slice(f"_p_{k}", at, n), ""), F.lit(_CLOSE), F.lit(""))
-            before = F.substring(plain(F.greatest(i - CLOSE_BY, F.lit(0)) + 1, F.least(i, F.lit(CLOSE_BY))), -NEAR, NEAR)
-            after = F.substr(plain(i + 1, F.lit(CLOSE_BY)), F.length(value) + 1, F.lit(NEAR))
-            return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), before.alias("before"), after.alias("after"))
+            found = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")]
+            if around:
+                plain = lambda at, n: F.replace(F.array_join(F.slice(f"_p_{k}", at, n), ""), F.lit(_CLOSE), F.lit(""))
+                before = F.substring(plain(F.greatest(i - CLOSE_BY, F.lit(0)) + 1, F.least(i, F.lit(CLOSE_BY))), -NEAR, NEAR)
+                after = F.substr(plain(i + 1, F.lit(CLOSE_BY)), F.length(value) + 1, F.lit(NEAR))
+                found += [before.alias("before"), after.alias("after")]
+            return F.struct(*found)
 
-        return F.when(F.size(f"_p_{k}") > 1, F.transform(F.sequence(F.lit(1), F.size(f"_p_{k}") - 1), span)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>"))
+        return F.when(F.size(f"_p_{k}") > 1, F.transform(F.sequence(F.lit(1), F.size(f"_p_{k}") - 1), span)).otherwise(F.array().cast(f"array<struct<start:int,end:int,value:string{',before:string,after:string' if around else ''}>>"))
 
     return df.select(*[c for c in df.columns if c[:3] not in ("_p_", "_l_", "_s_", "_b_")], *(spans(k).alias(k) for k in kinds))
 
@@ -123,7 +126,7 @@ def _kind_of(value: Column) -> Column:
 
 def _votes(kind: Column, value: Column, before: Column, after: Column, near: Column) -> dict[str, Column]:
     """1 for, 0 against, null no vote; by the names in LABELERS."""
-    word = F.regexp_extract(F.lower(before), r"([\p{L}]+)[\s:#.=(+]*$", 1)
+    word = F.regexp_extract(F.lower(before), r"([\p{L}]+)[\s:#.,=(+]*$", 1)
     digits = _digits(value)
     words = F.split(value, " ")
     any_of = lambda names: F.exists(words, lambda x: x.isin(*names))
@@ -145,32 +148,41 @@ def _votes(kind: Column, value: Column, before: Column, after: Column, near: Col
     }
 
 
-def em_reliabilities(patterns: list[tuple[tuple, int]], rounds: int = 50, prior: float = 0.5, anchor: float = 5.0) -> tuple[list[list[list[float]]], list[float]]:
+def em_reliabilities(patterns: list[tuple[tuple, int]], rounds: int = 500, anchor: float = 10.0) -> tuple[list[list[list[float]]], list[float], float]:
     """Dawid and Skene for two classes on counted vote patterns; not voting is an outcome too.
 
-    Gives each labeler's probabilities of outcomes (against, for, no vote) for true and for false spans, and
-    the posterior of every pattern; ``prior`` is the share of true spans, which votes alone can't tell. Starts from labelers that vote for every second true span
-    and for one false one in fifty, and the other way round against; ``anchor`` times as many pseudo-votes as there are spans keep them near.
+    Gives each labeler's probabilities of outcomes (against, for, no vote) for true and for false spans, the
+    posterior of every pattern, and the share of true spans. Starts from labelers that vote for every second true span
+    and for one false one in fifty, and the other way round against, and from a share of one half; ``anchor`` pseudo-spans of each class keep
+    them there when spans are few, and weigh nothing against many: a labeler that contradicts the others comes out as bad. Ends
+    when the likelihood stands still.
     """
     n = len(patterns[0][0]) if patterns else 0
     start = [[0.02, 0.5, 0.48], [0.5, 0.02, 0.48]]
     rates = [[list(x) for x in start] for _ in range(n)]
     outcome = lambda v: 2 if v is None else v
-    posts = [prior] * len(patterns)
     total = sum(c for _, c in patterns)
+    posts, share, before = [], 0.5, -math.inf
     for _ in range(rounds if total else 0):
-        posts = []
-        for votes, _ in patterns:
-            a = math.log(prior) + sum(math.log(r[0][outcome(v)]) for v, r in zip(votes, rates, strict=True))
-            b = math.log(1 - prior) + sum(math.log(r[1][outcome(v)]) for v, r in zip(votes, rates, strict=True))
-            posts.append(1 / (1 + math.exp(max(-700, min(700, b - a)))))
+        posts, likelihood = [], anchor / 2 * math.log(share * (1 - share))
+        likelihood += anchor * sum(s * math.log(r) for own in rates for y in (0, 1) for s, r in zip(start[y], own[y], strict=True))
+        for votes, c in patterns:
+            a = math.log(share) + sum(math.log(r[0][outcome(v)]) for v, r in zip(votes, rates, strict=True))
+            b = math.log(1 - share) + sum(math.log(r[1][outcome(v)]) for v, r in zip(votes, rates, strict=True))
+            both = max(a, b) + math.log1p(math.exp(-abs(a - b)))
+            posts.append(math.exp(a - both))
+            likelihood += c * both
+        if likelihood - before <= 1e-9 * abs(likelihood):
+            break
+        before = likelihood
+        share = (anchor / 2 + sum(c * p for p, (_, c) in zip(posts, patterns, strict=True))) / (anchor + total)
         for i in range(n):
             for y in (0, 1):
-                sums = [anchor * total * x for x in start[y]]
+                sums = [anchor * x for x in start[y]]
                 for p, (v, c) in zip(posts, patterns, strict=True):
                     sums[outcome(v[i])] += c * (1 - p if y else p)
                 rates[i][y] = [x / sum(sums) for x in sums]
-    return rates, posts
+    return rates, posts, share
 
 
 def _features(c: Column) -> Column:
@@ -221,7 +233,7 @@ def find_personal_data(docs: DataFrame, least: float = 0.9) -> DataFrame:
     valid = lambda k: lambda x: _VALID[k](x.value)
     rows = with_spans(docs.select("doc_id", clean.alias("text")), "text", BASE)
     rows = rows.select("doc_id", "text", *(F.transform(F.filter(k, valid(k)), lambda x: F.struct(x.start.alias("start"), x.end.alias("end"))).alias(k) for k in BASE))
-    rows = with_spans(masked(rows, "text", BASE), "text", ("found",))
+    rows = with_spans(masked(rows, "text", BASE), "text", ("found",), around=True)
     rows = rows.withColumn("found", F.transform("found", lambda x: F.struct(_kind_of(x.value).alias("kind"), x.start.alias("start"), x.end.alias("end"), x.value.alias("value"), x.before.alias("before"), x.after.alias("after"))))
 
     def candidate(x: Column) -> Column:

@@ -44,29 +44,56 @@ def test_base_spans_equal_brute_force(spark):
     assert m.find_personal_data(docs.limit(0)).count() == 0
 
 
+def counted(votes):
+    seen = {}
+    for v in votes:
+        seen[v] = seen.get(v, 0) + 1
+    return sorted(seen.items(), key=str)
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng = random.Random(2)
-    seen = {}
+    votes = []
     for _ in range(20000):
         y = rng.random() < 0.3
-        v = tuple((y if rng.random() < acc else not y) * 1 if rng.random() < 0.8 else None for acc in (0.95, 0.9, 0.6))
-        seen[v] = seen.get(v, 0) + 1
-    rates, _ = m.em_reliabilities(sorted(seen.items(), key=str), prior=0.3, anchor=1e-3)
+        votes.append(tuple((y if rng.random() < acc else not y) * 1 if rng.random() < 0.8 else None for acc in (0.95, 0.9, 0.6)))
+    rates, _, share = m.em_reliabilities(counted(votes))
     right = [r[0][1] / (r[0][0] + r[0][1]) for r in rates]
     assert [abs(a - b) < 0.05 for a, b in zip(right, (0.95, 0.9, 0.6), strict=True)] == [True] * 3
+    assert abs(share - 0.3) < 0.03
     assert m.em_reliabilities([])[1] == []
 
 
+def test_a_labeler_that_is_always_wrong_comes_out_as_bad():
+    rng = random.Random(7)
+    votes = []
+    for i in range(1000):
+        y = i % 2
+        votes.append((y if rng.random() < 0.9 else None, y if rng.random() < 0.8 else None, 1 - y))
+    rates, posts, share = m.em_reliabilities(counted(votes))
+    wrong = rates[2]
+    assert wrong[0][1] < 0.05 < 0.9 < wrong[1][1] and wrong[0][0] > 0.9 > 0.05 > wrong[1][0]
+    assert abs(share - 0.5) < 0.05
+    assert all((p > 0.9) == (v[2] == 0) for (v, _), p in zip(counted(votes), posts, strict=True))
+
+
+def test_reliabilities_do_not_depend_on_the_number_of_spans():
+    patterns = [((1, 1), 77), ((1, None), 84)]
+    for times in (1, 1000):
+        assert min(m.em_reliabilities([(v, c * times) for v, c in patterns])[1]) > 0.99
+
+
 def planted(rng):
     """Texts with one marked span of personal data each, and texts with none, in about equal numbers."""
     word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 8)))
     fill = lambda n: " ".join(word() for _ in range(n))
     digits = lambda n: "".join(rng.choices("0123456789", k=n))
     name = lambda: f"{rng.choice(m.FIRST_NAMES)} {word().capitalize()}"
+    unlisted = lambda: f"{word().capitalize()} {word().capitalize()}"
     card = lambda: next(d for d in iter(lambda: digits(16), None) if not luhn(d))
     good = [
         ("number", "please call ", lambda: f"({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{digits(4)}"), ("number", "ssn ", lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"), ("number", "card ", card),
-        ("name", "Dear ", lambda: word().capitalize()), ("name", "regards, ", name), ("name", "met Dr. ", lambda: word().capitalize()), ("address", "lives at ", lambda: f"{rng.randrange(1, 300)} {word().capitalize()} Street"), ("address", "in der ", lambda: f"{word().capitalize()}straße {rng.randrange(1, 99)}"),
+        ("name", "Dear ", lambda: word().capitalize()), ("name", "regards, ", name), ("name", "kind regards, ", unlisted), ("name", "patient ", unlisted), ("name", "met Dr. ", lambda: word().capitalize()), ("address", "lives at ", lambda: f"{rng.randrange(1, 300)} {word().capitalize()} Street"), ("address", "in der ", lambda: f"{word().capitalize()}straße {rng.randrange(1, 99)}"),
         ("id", "iban ", lambda: f"DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"), ("mail", "write to ", lambda: f"{word()} (at) {word()} (dot) com"), ("mail", "mail ", lambda: f"{word()}.{word()} at {word()} dot org"),
     ]
     bad = [lambda: f"the total {digits(9)} was", lambda: f"on 2024-0{rng.randrange(1, 9)}-1{rng.randrange(9)} it", lambda: f"the {word().capitalize()} {word().capitalize()} Museum", lambda: f"part {rng.choice('ABC')}{digits(6)} was", lambda: f"order {digits(10)} of", lambda: f"at {word().capitalize()} {word().capitalize()}", lambda: f"isbn {digits(13)} in"]
