@@ -31,11 +31,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
     """One row for each id and text, with a number ``name`` in the order of ids (null last) and of the texts' hashes.
 
-    Of rows with the same id and text the one stays whose other columns come first.
+    Of rows with the same id and text the one stays whose other columns, as JSON, come first: columns of
+    any type will do, also maps, which have no order.
     """
     columns = docs.columns
-    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"{name}_text"))
-    once = keyed.groupBy(F.col("doc_id").alias(f"{name}_id"), f"{name}_text").agg(F.min(F.struct(*columns)).alias("row"))
+    has_text, others = F.col("text").isNotNull(), F.struct(*(c for c in columns if c != "text"))
+    keyed = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias(f"{name}_text"), F.struct(has_text, F.to_json(others)).alias(f"{name}_rank"))
+    once = keyed.groupBy(F.col("doc_id").alias(f"{name}_id"), f"{name}_text").agg(F.min_by(F.struct(*columns), f"{name}_rank").alias("row"))
     order = [F.col(f"{name}_id").isNull(), F.coalesce(f"{name}_id", F.lit(0)), F.col(f"{name}_text")]
     return numbered(once, order, name).select("row.*", F.col(name).cast("long").alias(name))
 
@@ -44,7 +46,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each group the row with the smallest id stays.
 
     Rows without an id, and different texts under one id, are documents of their own and come after smaller ids, in the order
-    of their texts' hashes; a row that stands repeatedly counts once. Texts without words all stay.
+    of their texts' hashes; a row that stands repeatedly counts once. Texts without words all stay. Other columns may
+    have any name and type.
     """
     columns, key = docs.columns, "doc_id"
     if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
