@@ -68,8 +68,8 @@ def warmup_excluded(spark, log, sf_dir):
     """A warm-up call for each model (here: as dear as its first) is paid for but not among the logged calls."""
     first = log.groupBy("model").agg(F.min_by("cost_usd", "seq").alias("cost_usd")).select("model", F.lit("warmup").alias("id"), "cost_usd")
     calls = log.select("model", F.col("id").cast("string").alias("id"), "cost_usd").unionByName(first)
-    logged = F.col("id") != "warmup"
-    return calls.groupBy("model").agg(F.count_if(logged).alias("calls"), F.round(F.sum(F.when(logged, F.col("cost_usd"))), 6).alias("logged_cost"), F.round(F.sum("cost_usd"), 6).alias("cost_with_warmup"))
+    logged = v.without_warmup(calls).groupBy("model").agg(F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 6).alias("logged_cost"))
+    return logged.join(v.spent(calls).select("model", F.round("cost_usd", 6).alias("cost_with_warmup")), "model")
 
 
 @query(
@@ -284,7 +284,11 @@ def mcnemar_counts(spark, log, sf_dir):
     return m.mcnemar_pairs(flags_of(log)).drop("p")
 
 
-@query()
+@query(
+    CTES
+    + """, c as (select a.dataset, a.model as model_a, b.model as model_b, count_if(a.correct and not b.correct) as only_a, count_if(b.correct and not a.correct) as only_b from flags a join flags b on a.dataset = b.dataset and a.id = b.id and a.run = 1 and b.run = 1 and a.model < b.model group by all)
+select *, case when only_a = only_b then 1.0 else round(least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b)::bigint + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))), 4) end::double as p from c"""
+)
 def mcnemar_pairs(spark, log, sf_dir):
     return m.mcnemar_pairs(flags_of(log))
 

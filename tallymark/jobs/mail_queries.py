@@ -71,11 +71,6 @@ def clean_inline(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_inline(F.col("text"))).alias("cleaned"))
 
 
-@query()
-def clean_body(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_body(F.col("text")).alias("body"))
-
-
 #: Documents as bodies with a history: lines before and after the document's own, by id.
 _BODY = "case doc_id % 6 when 0 then text when 1 then text || chr(10) || '-- ' || chr(10) || 'x' when 2 then 'Forwarded message' || chr(10) || 'From: a' || chr(10) || 'Date: b' || chr(10) || text when 3 then 'hi' || chr(10) || 'On 1 Jan, someone' || chr(10) || 'wrote:' || chr(10) || text when 4 then 'From: a' || chr(10) || 'q' || chr(10) || '> z' || chr(10) || 'Sent: b' || chr(10) || text else '> a' || chr(10) || text || chr(10) || '---- Original Message ----' end"
 
@@ -84,15 +79,21 @@ def bodies(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.expr(_BODY.replace("chr(10)", "char(10)")).alias("text"))
 
 
-@query(
-    f"""with l as (select doc_id, x[i] as x, i - 1 as i, x[i + 1] as y, x[i + 1:i + 4] as after, x[greatest(1, i - 8):i] as before from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from (select doc_id, string_split({_BODY}, chr(10)) as x from documents where text is not null))),
+def _starts(lines: str) -> str:
+    """Common tables of the SQL: ``starts`` has the line at which the history begins, of ``lines(doc_id, x array)``."""
+    return f"""l as (select doc_id, x[i] as x, i - 1 as i, x[i + 1] as y, x[i + 1:i + 4] as after, x[greatest(1, i - 8):i] as before from (select doc_id, x, unnest(range(1, len(x) + 1)) as i from ({lines}))),
 b as (select doc_id, i from l where len(list_filter(before, lambda z: regexp_matches(z, '(?i)^\\s*-*\\s*(Forwarded message|Weitergeleitete Nachricht|Begin forwarded message|Anfang der weitergeleiteten Nachricht)\\s*:?\\s*-*\\s*$'))) = 0 and (x in ('--', '-- ')
  or regexp_matches(x, '(?i)^\\s*-{{2,}}\\s*(Original Message|Ursprüngliche Nachricht|Originalnachricht)\\s*-{{2,}}\\s*$') or regexp_matches(x, '(?i)^\\s*(Am|On)\\b.{{5,250}}\\b(schrieb|wrote)\\b.*:\\s*$')
  or (x not like '%:' and regexp_matches(concat_ws(' ', x, y), '(?i)^\\s*(Am|On)\\b.{{5,250}}\\b(schrieb|wrote)\\b.*:\\s*$'))
  or (regexp_matches(x, '^\\s*\\*?(Von|From)\\s*:\\*?\\s+\\S') and len(list_filter(after, lambda z: regexp_matches(z, '^\\s*\\*?(Gesendet|Sent|Datum|Date|An|To)\\s*:\\*?\\s'))) > 0))),
-n as (select doc_id, max(i) + 1 as n from l group by doc_id)
-select n.doc_id, coalesce(min(b.i), any_value(n.n))::int as start from n left join b using (doc_id) group by n.doc_id"""
-)
+n as (select doc_id, max(i) + 1 as n from l group by doc_id),
+starts as (select n.doc_id, coalesce(min(b.i), any_value(n.n))::int as start from n left join b using (doc_id) group by n.doc_id)"""
+
+
+_LINES = f"select doc_id, string_split({_BODY}, chr(10)) as x from documents where text is not null"
+
+
+@query(f"with {_starts(_LINES)} select doc_id, start from starts")
 def history_starts(spark, sf_dir):
     return text.history_starts(bodies(spark, sf_dir).withColumnRenamed("doc_id", "id")).select(F.col("id").alias("doc_id"), "start")
 
@@ -102,6 +103,17 @@ def history_start(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", text.history_start(F.split("text", "\n")).alias("start"))
 
 
+_CLEANED = f"select doc_id, list_transform(string_split(regexp_replace(regexp_replace({_BODY}, '\\r\\n?', chr(10), 'g'), '{text.INVISIBLE}', '', 'g'), chr(10)), lambda x: regexp_replace(regexp_replace(x, '{text.SPACES}', ' ', 'g'), '^\\s+|\\s+$', '', 'g')) as x from documents where text is not null"
+
+
+@query(
+    f"""with lines as ({_CLEANED}), {_starts("select doc_id, x from lines")}
+select doc_id, md5(regexp_replace(regexp_replace(array_to_string(list_filter(x[1:start], lambda y: not regexp_matches(y, '^\\s*>')), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as body from lines join starts using (doc_id)"""
+)
+def clean_body(spark, sf_dir):
+    return bodies(spark, sf_dir).select("doc_id", F.md5(text.clean_body(F.col("text"))).alias("body"))
+
+
 @query(f"select doc_id, len(list_filter(string_split({_BODY}, chr(10)), lambda x: not regexp_matches(x, '^\\s*>'))) as n from documents where text is not null")
 def drop_quoted_lines(spark, sf_dir):
     return bodies(spark, sf_dir).select("doc_id", F.size(text.drop_quoted_lines(F.split("text", "\n"))).cast("long").alias("n"))
@@ -166,7 +178,12 @@ def looks_like_person(spark, sf_dir):
     return mails(spark, sf_dir).select("doc_id", names.looks_like_person(F.substring_index("subject", " ", 2), F.col("sender.addr")).alias("person"))
 
 
-@query(f"select '{OWN}' as addr, 'Own Er' as name from documents limit 1")
+@query(
+    f"""with boxes as (select doc_id, case when doc_id % 3 = 0 then ['{OWN}', o] when doc_id % 3 = 1 then [o, '{OWN}'] else [o] end as a from (select doc_id, 'p' || doc_id % 7 || '@x.example' as o from documents)),
+each as (select doc_id, unnest(a) as addr, generate_subscripts(a, 1) as n from boxes), named as (select *, case when addr = '{OWN}' then 'Own Er' end as name from each),
+own as (select addr from named group by addr order by count(*) desc, min(doc_id * 10 + n) limit 1)
+select addr, (select name from named where length(name) > 0 and addr = own.addr group by name order by count(*) desc, min(doc_id * 10 + n) limit 1) as name from own"""
+)
 def infer_identity(spark, sf_dir):
     return spark.createDataFrame([pseudonyms.infer_identity(mails(spark, sf_dir))], "addr string, name string")
 
@@ -319,10 +336,22 @@ def round_robin_generator(spark, sf_dir):
     return synth.round_robin_generator(drawn, ["x", "y", "z"], ["x", "z"]).select("row", "generator")
 
 
-@query()
+_U = lambda salt: f"((((row + {salt} * 7919 + 5 * 104729 + 1) * 48271) % 2147483647 * 69621 + 1) % 2147483647 / 2147483647.0)"
+_ONE_OF = lambda salt, x: f"{list(x)}[(1 + floor({_U(salt)} * {len(x)}))::int]"
+
+
+@query(
+    _DRAWN
+    + f""", a as (select row, key, case when row + 1 < 1000 then 'S' || lpad((row + 1)::varchar, 3, '0') else 'S' || (row + 1) end as id, {_ONE_OF(2, "abc")} as industry, {_ONE_OF(3, ("short", "long"))} as length, {_ONE_OF(4, ("plain", "warm"))} as tone,
+case when {_U(5)} < 0.15 then 'englisch' else 'deutsch' end as language, (case key when 'FRANCE' then 3 + floor({_U(8)} * 38) when 'CHINA' then 500 else 1 end)::int as recipients,
+timestamp '2026-09-01 08:00:00' + to_days(floor({_U(6)} * 30)::int) + to_minutes(floor({_U(7)} * 601)::int) as sent from d)
+select id, industry, length, tone, language, recipients, strftime(sent, '%Y-%m-%d %H:%M:%S') as date, 'Szenario: ' || key || chr(10) || 'Organisation des Empfängers: ' || industry || chr(10) || 'Gesendet ' || case key when 'FRANCE' then 'an andere, ich stehe nur in CC' when 'CHINA' then 'an einen Verteiler' else 'direkt an mich' end
+|| '; Datum ' || strftime(sent, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'Länge: ' || length || '; Ton: ' || tone || '; Sprache: ' || language || chr(10) || 'Schreibe genau diese eine E-Mail.' as prompt from a"""
+)
 def draw_attributes(spark, sf_dir):
     drawn = synth.draw_scenarios(spark, read(spark, sf_dir, "orders").count(), _scenarios(spark, sf_dir), 5).withColumn("description", F.col("key"))
-    return synth.draw_attributes(drawn, 5, ("a", "b", "c"), ("short", "long"), ("plain", "warm"), copies=("FRANCE",), mass=("CHINA",)).select("id", "industry", "length", "tone", "language", "recipients", "date", synth.render_prompt().alias("prompt"))
+    got = synth.draw_attributes(drawn, 5, ("a", "b", "c"), ("short", "long"), ("plain", "warm"), copies=("FRANCE",), mass=("CHINA",))
+    return got.select("id", "industry", "length", "tone", "language", "recipients", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), synth.render_prompt().alias("prompt"))
 
 
 @query("select conv_id, turn, turn % 3 <> 0 and trim(text) <> '' and trim(role) <> '' as ok from conversations")

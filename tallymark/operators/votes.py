@@ -37,6 +37,21 @@ def pending_work(models: DataFrame, ids: DataFrame, log: DataFrame, runs: DataFr
     return todo.join(log.where("answer is not null").select(keys), keys, "left_anti").select(keys)
 
 
+def warmup_calls(todo: DataFrame, n: int, warmup: str = "warmup") -> DataFrame:
+    """``(model, id, turn)``: ``n`` warm-up calls for each model that still has work in ``todo(model, ...)``, none for the others."""
+    return todo.select("model").distinct().select("model", F.lit(warmup).alias("id"), F.explode(F.sequence(F.lit(1), F.lit(n)) if n > 0 else F.array().cast("array<int>")).alias("turn"))
+
+
+def without_warmup(calls: DataFrame, warmup: str = "warmup") -> DataFrame:
+    """The calls that are logged: warm-up calls are paid for (``spent``), but count in no figure."""
+    return calls.where(~F.col("id").eqNullSafe(F.lit(warmup)))
+
+
+def spent(calls: DataFrame, *keys: str) -> DataFrame:
+    """``cost_usd`` of all calls by ``keys`` (by model, if none are named), warm-up and failed ones included; what budgets are held against."""
+    return calls.groupBy(*(keys or ("model",))).agg(F.sum(F.coalesce("cost_usd", F.lit(0.0))).alias("cost_usd"))
+
+
 def budget_cutoff(calls: DataFrame, limit: float, per: list[str], spent: float = 0.0) -> DataFrame:
     """Calls that start: in order of ``seq``, those before which less than the limit was spent; the last may overshoot.
 
