@@ -3,9 +3,10 @@
 Fixed rules of host and path decide the pages they fit; those decisions are the labels. Spark's
 FP-growth mines which combinations of URL tokens go with which label. A rule's confidence is the lower bound
 of Wilson's interval, so that rules of few pages are not sure ones. Rules below the thresholds of
-support and confidence are pruned, and so is every rule that a shorter one makes superfluous. A token that
+support and confidence are pruned, and so is every rule that one of a token less makes superfluous. A token that
 goes with one label alone makes every longer rule superfluous, so such tokens don't enter combinations. Tokens that the same
-pages have are one token, so what always comes together makes no combinations.
+pages have are one token, so what always comes together makes no combinations. Nothing else bounds them: rules of any length
+are complete at the support, and where pages share many tokens freely, their number grows exponentially with these.
 The remaining pages' token sets meet the rules by an inverted index from token to rule: a rule fits
 when all its tokens are found.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,16 +74,19 @@ def lower_bound(hits: Column, n: Column, z: float = 1.96) -> Column:
 class Mining:
     """Bounds of the rules that are mined: shares of all labelled pages and numbers of pages, lower bound of confidence.
 
-    Tokens that more than ``max_share`` of the pages have tell nothing and are left out. Rules of one and two tokens are complete at
-    ``min_support``. So are longer ones while at most ``max_pairs`` pairs of tokens are that frequent; with more, combinations would grow
-    without bound, and those of three tokens or more need the support of the ``max_pairs``-th most frequent pair.
+    Tokens that more than ``max_share`` of the pages have tell nothing and are left out.
     """
 
     min_support: float = 0.005
     min_pages: int = 5
     min_confidence: float = 0.8
     max_share: float = 0.9
-    max_pairs: int = 190
+
+
+def least_hits(confidence: float, z: float = 1.96) -> int:
+    """No rule of fewer pages has this lower bound, even if all go with its label: hits / (hits + z * z) is below it."""
+    low = confidence - 1e-9  # bounds are rounded
+    return max(0, math.ceil(z * z * low / (1 - low)) - 1) if low < 1 else 0
 
 
 def equal_tokens(kept: DataFrame, tokens: list[str]) -> dict[str, str]:
@@ -103,13 +106,20 @@ def mapped(tokens: Column, same: dict[str, str]) -> Column:
     return F.array_distinct(F.transform(tokens, lambda x: F.coalesce(names[x], x)))
 
 
-def frequent_pairs(items: DataFrame, floor: int, most: int) -> tuple[DataFrame, int]:
-    """``(tokens, listed, hits, n)`` of pairs of tokens on ``floor`` pages, and the support that longer combinations need."""
-    two = F.flatten(F.transform("t", lambda a: F.transform(F.filter("t", lambda b: b > a), lambda b: F.array(a, b))))
-    told = items.select("listed", F.explode(two).alias("tokens")).groupBy("tokens", "listed").agg(F.count("*").alias("hits"))
-    pairs = written(told.join(told.groupBy("tokens").agg(F.sum("hits").alias("n")), "tokens").where(F.col("n") >= floor))
-    top = [r.n for r in pairs.groupBy("tokens").agg(F.first("n").alias("n")).orderBy(F.desc("n")).limit(most + 1).collect()]
-    return pairs, floor if len(top) <= most else top[most] + 1
+def combinations(baskets: DataFrame, support: int, labels: list[str]) -> DataFrame:
+    """``(items, verdict, hits, n)`` of all combinations from ``baskets(items)`` that ``support`` pages of a label have.
+
+    Items are numbers of tokens from 1 and, below 0, one of the page's label: -1 for the first of ``labels``.
+    """
+    share = (support - 0.5) / baskets.count()
+    if share > 1:
+        return baskets.sparkSession.createDataFrame([], "items array<int>, verdict string, hits long, n long")
+    sets = FPGrowth(itemsCol="items", minSupport=share, minConfidence=0.0).fit(baskets).freqItemsets
+    # A combination comes once alone, and once with each label that is frequent in it.
+    sets = sets.select(F.array_sort("items").alias("all"), "freq").select(F.filter("all", lambda x: x > 0).alias("items"), F.when(F.col("all")[0] < 0, F.col("all")[0]).alias("label"), "freq").where("size(items) > 1")
+    told = sets.groupBy("items").agg(F.max("freq").alias("n"), *(F.max(F.when(F.col("label") == -1 - i, F.col("freq"))).alias(f"hits_{i}") for i in range(len(labels))))
+    each = F.array(*(F.struct(F.lit(x).alias("verdict"), F.col(f"hits_{i}").alias("hits")) for i, x in enumerate(labels)))
+    return told.select("items", "n", F.explode(each).alias("x")).where("x.hits is not null").select("items", "x.verdict", "x.hits", "n")
 
 
 def mine_rules(labelled: DataFrame, mining: Mining) -> tuple[DataFrame, dict[str, str]]:
@@ -126,33 +136,20 @@ def mine_rules(labelled: DataFrame, mining: Mining) -> tuple[DataFrame, dict[str
     both = sorted(r[0] for r in told.where((F.col("hits") < F.col("n")) & (F.col("n") >= floor)).select("token").distinct().collect())
     same = equal_tokens(kept, both)
     single = told.where((F.col("hits") >= floor) & ~F.col("token").isin(list(same))).select(F.array("token").alias("tokens"), F.col("listed").alias("verdict"), "hits", "n")
-    firsts = F.array(*(F.lit(x) for x in both if x not in same)).cast("array<string>")
-    items = written(kept.select(F.array_intersect("tokens", firsts).alias("t"), "listed").where("size(t) > 1"))
-    levels = [with_confidence(single)]
-    if total := items.count():
-        pairs, longer = frequent_pairs(items, floor, mining.max_pairs)
-        levels.append(with_confidence(pairs.where(F.col("hits") >= floor).withColumnRenamed("listed", "verdict")))
-        baskets = items.where("size(t) > 2").select(F.concat("t", F.array(F.concat(F.lit("="), "listed"))).alias("items"))
-        if longer <= total and baskets.limit(1).count():
-            sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (longer - 0.5) / baskets.count()), minConfidence=0.0).fit(baskets).freqItemsets
-            sets = written(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
-            label = F.filter("items", lambda x: x.startswith("="))
-            found = sets.where(F.size(label) == 1).where(F.size("items") > 3).select(F.array_except("items", label).alias("tokens"), F.substring(label[0], 2, 1000).alias("verdict"), F.col("n").alias("hits"))
-            found = written(with_confidence(found.join(sets.select(F.col("items").alias("tokens"), "n"), "tokens").select("tokens", "verdict", "hits", "n")))
-            largest = found.agg(F.max(F.size("tokens"))).first()[0] or 2
-            levels += [found.where(F.size("tokens") == k) for k in range(3, largest + 1)]
-    rules, best = [], None
-    for sets in levels:
-        # The surest of all shorter rules within a set comes down through its parts of one token less, which are as frequent.
-        if best is not None:
-            parts = sets.select("tokens", "verdict", F.explode("tokens").alias("x")).select("tokens", "verdict", F.array_remove(F.col("tokens"), F.col("x")).alias("part"))
-            inner = parts.join(best.select(F.col("tokens").alias("part"), "verdict", "surest"), ["part", "verdict"]).groupBy("tokens", "verdict").agg(F.max("surest").alias("inner"))
-            sets = sets.join(inner, ["tokens", "verdict"], "left")
-        else:
-            sets = sets.withColumn("inner", F.lit(None).cast("double"))
-        best = written(sets.withColumn("surest", F.greatest("confidence", F.coalesce("inner", F.lit(0.0)))))
-        rules.append(best.where(F.col("confidence") >= mining.min_confidence).where("inner is null or inner < confidence").select("tokens", "verdict", "confidence", "hits"))
-    return reduce(DataFrame.unionByName, rules), same
+    rules = with_confidence(single)
+    labels = sorted(r[0] for r in told.select("listed").distinct().collect())
+    firsts, names = (F.array(*map(F.lit, x)).cast("array<string>") for x in ([x for x in both if x not in same], labels))
+    items = kept.select(F.array_intersect("tokens", firsts).alias("t"), (-F.array_position(names, F.col("listed"))).cast("int").alias("label")).where("size(t) > 1")
+    baskets = written(items.select(F.concat(F.transform("t", lambda x: F.array_position(firsts, x).cast("int")), F.array("label")).alias("items")))
+    if baskets.limit(1).count():
+        found = with_confidence(combinations(baskets, max(1, floor, least_hits(mining.min_confidence)), labels).withColumnRenamed("items", "tokens"))
+        found = found.where(F.col("confidence") >= mining.min_confidence).withColumn("tokens", F.transform("tokens", lambda x: F.element_at(firsts, x)))
+        rules = rules.unionByName(found)
+    rules = written(rules.where(F.col("confidence") >= mining.min_confidence))
+    parts = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("x")).select("tokens", "verdict", "confidence", F.array_remove(F.col("tokens"), F.col("x")).alias("part"))
+    known = rules.select(F.col("tokens").alias("part"), "verdict", F.col("confidence").alias("theirs"))
+    needless = parts.join(known, ["part", "verdict"]).where("theirs >= confidence").select("tokens", "verdict").distinct()
+    return rules.join(needless, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "hits"), same
 
 
 def with_confidence(sets: DataFrame) -> DataFrame:
