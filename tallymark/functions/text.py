@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Characters, words and patterns that results depend on.
+# Characters, words and patterns that results depend on. Runs that can't be cut otherwise are possessive, or a line of spaces would take powers of its length.
 INVISIBLE = "[\u200b\u200c\u200d\u2060\ufeff\u00ad\u034f]"
 SPACES = "[ \t\u00a0\u2007\u202f]+"
 GERMAN = ("der", "die", "das", "und", "ist", "nicht", "ich", "sie", "wir", "mit", "für", "auf", "ein", "eine", "zu", "von", "den", "dem", "bitte", "ihr", "ihre", "sind", "wird", "auch", "noch", "bei", "aus", "hallo", "grüße")
 ENGLISH = ("the", "and", "is", "not", "you", "we", "with", "for", "on", "a", "to", "of", "your", "please", "this", "that", "are", "will", "be", "from", "have", "our", "hi", "thanks", "regards")
 ATTRIBUTION = r"(?iU)^\s*(Am|On)\b.{5,250}\b(schrieb|wrote)\b.*:\s*$"
-ORIGINAL = r"(?iU)^\s*-{2,}\s*(Original Message|Ursprüngliche Nachricht|Originalnachricht)\s*-{2,}\s*$"
-FORWARDED = r"(?iU)^\s*-*\s*(Forwarded message|Weitergeleitete Nachricht|Begin forwarded message|Anfang der weitergeleiteten Nachricht)\s*:?\s*-*\s*$"
+ORIGINAL = r"(?iU)^\s*+-{2,}+\s*+(Original Message|Ursprüngliche Nachricht|Originalnachricht)\s*+-{2,}+\s*+$"
+FORWARDED = r"(?iU)^\s*+-*+\s*+(Forwarded message|Weitergeleitete Nachricht|Begin forwarded message|Anfang der weitergeleiteten Nachricht)\s*+:?\s*+-*+\s*+$"
 FROM_LINE = r"^\s*\*?(Von|From)\s*:\*?\s+\S"
 AFTER_FROM = r"^\s*\*?(Gesendet|Sent|Datum|Date|An|To)\s*:\*?\s"
 SIGNATURE = "^-- ?$"
@@ -24,9 +27,14 @@ SIGNATURE = "^-- ?$"
 FORWARD_HEADER, FOLLOW_UP = 8, 4
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row: an expression that a lambda mentions is computed anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends, of whatever kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends, of whatever kind. A run inside is tried from its first character only."""
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def clean_inline(text: Column) -> Column:
@@ -43,14 +51,20 @@ def history_start(lines: Column) -> Column:
 
     A forward marker and the lines of the header after it are exempt. Attributions may be wrapped over two lines.
     """
-    markers = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(FORWARDED), i)), lambda i: i.isNotNull())
+    return bound(lines, _history_start)
+
+
+def _history_start(lines: Column) -> Column:
+    """history_start() of lines that are at hand: each looks at a few others by index, so work grows with their number."""
+
+    def near(i: Column, places: range, pattern: str) -> Column:
+        return F.coalesce(reduce(or_, (F.get(lines, i + k).rlike(pattern) for k in places)), F.lit(False))
 
     def begins(x: Column, i: Column) -> Column:
-        joined = F.concat_ws(" ", x, F.get(lines, i + 1))
-        wrapped = ~x.endswith(":") & joined.rlike(ATTRIBUTION)
-        header = x.rlike(FROM_LINE) & F.exists(F.slice(lines, i + 2, FOLLOW_UP), lambda y: y.rlike(AFTER_FROM))
-        exempt = F.exists(markers, lambda m: (m <= i) & (i <= m + FORWARD_HEADER))
-        return F.when(~exempt & (x.rlike(SIGNATURE) | x.rlike(ORIGINAL) | x.rlike(ATTRIBUTION) | wrapped | header), i)
+        wrapped = ~x.endswith(":") & F.concat_ws(" ", x, F.get(lines, i + 1)).rlike(ATTRIBUTION)
+        header = x.rlike(FROM_LINE) & near(i, range(1, FOLLOW_UP + 1), AFTER_FROM)
+        begun = x.rlike(SIGNATURE) | x.rlike(ORIGINAL) | x.rlike(ATTRIBUTION) | wrapped | header
+        return F.when(begun & ~near(i, range(-FORWARD_HEADER, 1), FORWARDED), i)
 
     return F.coalesce(F.array_min(F.transform(lines, begins)), F.size(lines))
 
@@ -73,9 +87,9 @@ def history_starts(bodies: DataFrame) -> DataFrame:
 
 def clean_body(text: Column) -> Column:
     """Clean lines up to the history, without quoted ones; at most one empty line in a row."""
-    plain = F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), INVISIBLE, "")
+    plain = reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), INVISIBLE[1:-1], F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
     lines = F.transform(F.split(plain, "\n"), lambda x: strip(F.regexp_replace(x, SPACES, " ")))
-    kept = drop_quoted_lines(F.slice(lines, F.lit(1), history_start(lines)))
+    kept = bound(lines, lambda x: drop_quoted_lines(F.slice(x, F.lit(1), history_start(x))))
     return strip(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"))
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,19 @@ def test_lines_as_rows_give_the_same_start(spark):
     df = spark.createDataFrame(list(enumerate(bodies)), "id long, text string")
     want = {r.id: r.start for r in df.where("text is not null").select("id", t.history_start(F.split("text", "\n")).alias("start")).collect()}
     assert {r.id: r.start for r in t.history_starts(df).collect()} == want and len(set(want.values())) > 10
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [
+        ("\n".join(["a  b", "> q"] * 4000 + ["Forwarded message", "From: x", "To: y", "", "On Monday someone", "wrote:", "c", "d", "e", "-- ", "z"]), "\n".join(["a b"] * 4000 + ["Forwarded message", "From: x", "To: y", "", "On Monday someone", "wrote:", "c", "d", "e"])),
+        ("Forwarded message\n" * 4000 + "From: a\nTo: b\n" * 8, "\n".join(["Forwarded message"] * 4000 + ["From: a", "To: b"] * 4)),
+        ("a" + "\u2003" * 200_000 + "b", "a" + "\u2003" * 200_000 + "b"),
+        ("Forwarded message" + "\u2003" * 5000 + "x", "Forwarded message" + "\u2003" * 5000 + "x"),
+        ("\u200b\r\r\n\u00ada\u2060\ufeff\u034f\u200c\u200db \u2003\x85\n\u3000\n\n\n\x0bc\r\n\r", "ab\n\nc"),
+    ],
+)
+def test_long_bodies_take_time_in_proportion(spark, raw, want):
+    start = time.perf_counter()
+    assert one(spark, t.clean_body, raw) == want
+    assert time.perf_counter() - start < 20
