@@ -275,8 +275,9 @@ def mark_placeholders(text: Column) -> Column:
 
 def review_sample(originals: DataFrame, records: DataFrame, n: int, seed: int, columns: tuple[str, ...] = ("subject", "text")) -> DataFrame:
     """``n`` drawn records, always the same for a seed, beside their originals: ``<column>_before`` and ``<column>_after``, as HTML with placeholders marked."""
-    some = draw_sample(records.select("id", *columns), n, seed, columns).select("id", *(mark_placeholders(F.col(c)).alias(f"{c}_after") for c in columns))
-    return originals.select("id", *(mark_placeholders(F.col(c)).alias(f"{c}_before") for c in columns)).join(some, "id").select("id", *(f"{c}_{side}" for c in columns for side in ("before", "after")))
+    some = draw_sample(records.select("id", *columns), n, seed, columns).select("id", *(F.col(c).alias(f"{c}_after") for c in columns))
+    both = originals.select("id", *(F.col(c).alias(f"{c}_before") for c in columns)).join(some, "id")
+    return both.select("id", *(mark_placeholders(F.col(f"{c}_{side}")).alias(f"{c}_{side}") for c in columns for side in ("before", "after")))
 
 
 Recognizer = Callable[[list[str]], list[list[tuple[int, int]]]]

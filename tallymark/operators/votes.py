@@ -13,16 +13,47 @@ from tallymark.functions.labels import FIELDS, Field, long_form, rate, unlabel
 from tallymark.functions.quantiles import group_quantiles
 from tallymark.functions.storage import numbered
 
+#: Records that a task may hold to draw the first of them.
+HELD = 100
+
 
 def draw_sample(records: DataFrame, n: int, seed: int, texts: tuple[str, ...] = ("text", "subject")) -> DataFrame:
     """``n`` records that have a text, always the same for a seed, sorted by id; all if there are no more.
 
-    A top-n by hash, without a full sort.
+    The smallest hashes are drawn: by a top-n where a task can hold that many, else up to a bound found from counts, and
+    ``records`` are read twice or more.
     """
     some = F.lit(False)
     for t in texts:
         some |= F.coalesce(F.length(t), F.lit(0)) > 0
-    return records.where(some).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), "id").limit(n).orderBy(F.col("id").cast("string"))
+    hashed = records.where(some).withColumn("_draw", F.xxhash64(F.col("id").cast("string"), F.lit(seed)))
+    if n <= HELD:
+        drawn = hashed.orderBy("_draw", "id").limit(n)
+    else:  # a draw of all needs no look at texts
+        drawn = hashed if records.count() <= n else _smallest(hashed, n)
+    return drawn.drop("_draw").orderBy(F.col("id").cast("string"))
+
+
+def _smallest(hashed: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows with the smallest ``_draw``, all if there are no more; no task holds or receives the others.
+
+    Rows are counted by the hash's first 16 bits, then by the next ones where the bound lies, until it has ``n`` rows below it, mostly
+    at once or in the second round. Rows of one hash, thus of one id, are told apart by their JSON and dealt by ranges.
+    """
+    rows, left = hashed, n
+    for shift in (48, 32, 16, 0):
+        bits = F.shiftright("_draw", shift)
+        for prefix, count in sorted(map(tuple, rows.groupBy(bits).count().collect())):
+            if count >= left:
+                break
+            left -= count
+        else:
+            return hashed
+        if count == left:
+            return hashed.where(bits <= prefix)
+        rows = rows.where(bits == prefix)
+    at = numbered(rows, [F.col("id"), F.sha2(F.to_json(F.struct("*")), 256), F.monotonically_increasing_id()], "_at")
+    return hashed.where(F.col("_draw") < prefix).unionByName(at.where(F.col("_at") <= left).drop("_at"))
 
 
 def pending_work(models: DataFrame, ids: DataFrame, log: DataFrame, runs: DataFrame | None = None) -> DataFrame:

@@ -52,6 +52,38 @@ def test_review_sample(spark):
     assert all(r.text_before == f"&lt;{r.id}&gt; Anna" and r.text_after == f"&lt;{r.id}&gt; <mark>[PERSON_1]</mark>" for r in a)
 
 
+def test_large_samples_go_through_no_single_task(spark, monkeypatch):
+    rows = [(i if i % 7 else None if i % 2 else 7, i, {"a": i % 5}, f"t{i % 50}" if i % 9 else "") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, row int, extra map<string,int>, text string").repartition(5)
+    draw = lambda n, df=df: v.draw_sample(df, n, 3, ("text",))
+    hashes = {r.row: r.h for r in df.where("text <> ''").select("row", F.xxhash64(F.col("id").cast("string"), F.lit(3)).alias("h")).collect()}
+    total = len(hashes)
+    for n in (101, 700, 2000, total - 1, total, total + 1):
+        got = draw(n)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Limit" not in plan
+        got = [r.row for r in got.collect()]
+        assert len(got) == len(set(got)) == min(n, total) and sorted(hashes[r] for r in got) == sorted(hashes.values())[:n]
+        assert sorted(r.row for r in draw(n, df.repartition(3, "row")).collect()) == sorted(got)
+    unique = df.where("id % 7 <> 0")
+    few = draw(60, unique).collect()
+    monkeypatch.setattr(v, "HELD", 0)
+    assert draw(60, unique).collect() == few and draw(0).collect() == [] and draw(5, df.limit(0)).collect() == []
+    hot = spark.createDataFrame([(7, "same")] * 400, "id long, text string")
+    assert v.draw_sample(hot, 150, 1, ("text",)).count() == 150
+
+
+def test_large_reviews_go_through_no_single_task(spark):
+    before = spark.createDataFrame([(i, f"<{i}> Anna") for i in range(500)], "id int, text string").repartition(5)
+    after = before.withColumn("text", F.replace("text", F.lit("Anna"), F.lit("[PERSON_1]")))
+    for n in (300, 500):
+        got = p.review_sample(before, after, n, 1, ("text",))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "Limit" not in plan and "SinglePartition" not in plan
+        got = got.collect()
+        assert len({r.id for r in got}) == len(got) == n and all((r.text_before, r.text_after) == (f"&lt;{r.id}&gt; Anna", f"&lt;{r.id}&gt; <mark>[PERSON_1]</mark>") for r in got)
+
+
 def test_recognizers_by_language(spark):
     texts = spark.createDataFrame([(1, "body", "the cat and the dog is here with you"), (2, "body", "und der Hund ist nicht da"), (3, "body", None)], "id long, field string, text string")
     got = p.name_spans(texts, {"en": lambda xs: [[(4, 7)] for _ in xs]})
